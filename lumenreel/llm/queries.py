@@ -5,11 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import licenses, pieces, pseudonyms, simhash
+from . import licenses, pieces, pseudonyms, simhash, toxicity
 from .common import read
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -27,6 +34,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_toxicity": op3_toxicity,
     "op4_pii": op4_pii,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_license_scan": op8_license_scan,
