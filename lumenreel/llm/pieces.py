@@ -10,7 +10,9 @@ in one boundary. The ids are those that merging pair by pair over the whole text
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +24,7 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "\u2581"
 #: Segmented words a worker remembers; it forgets all of them when there are more.
 REMEMBERED = 400_000
+_NONE: dict[str, bool] = {}
 
 
 class Vocabulary:
@@ -55,10 +58,11 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
         self.longest = max(map(len, vocabulary.scores))
-        self.prefixes = {p[:k] for p in vocabulary.scores for k in range(1, len(p) + 1)}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, list[int]] = {}
-        self.final: dict[str, bool] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.known: dict[str, array] = {}
+        # of each start of a piece, whether it is one that its own characters merge to
+        self.starts = {p[:k]: False for p in vocabulary.scores for k in range(1, len(p) + 1)}
+        self.starts |= {p: True for p in vocabulary.scores if len(p) == 1 or self.merged(p) == [p]}
         # words with the spaces before them; no piece reaches over these bounds
         self.words = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
 
@@ -79,19 +83,14 @@ class Encoder:
 
     def fits(self, a: str, b: str) -> bool:
         """Whether a and b stay two pieces when their characters are merged together."""
-        got = self.pairs.get((a, b))
-        if got is None:
-            if len(self.pairs) > 4 * REMEMBERED:
+        of = self.pairs.get(a)
+        if of is None:
+            if len(self.pairs) > REMEMBERED:
                 self.pairs.clear()
-            got = self.pairs[a, b] = self.merged(a + b) == [a, b]
-        return got
-
-    def whole(self, p: str) -> bool:
-        got = self.final.get(p)
+            of = self.pairs[a] = {}
+        got = of.get(b)
         if got is None:
-            if len(self.final) > REMEMBERED:
-                self.final.clear()
-            got = self.final[p] = len(p) == 1 or self.merged(p) == [p]
+            got = of[b] = self.merged(a + b) == [a, b]
         return got
 
     def search(self, chars: Iterable[str]) -> Iterator[str]:
@@ -102,26 +101,41 @@ class Encoder:
         todo = 0  # the first place from which no piece was tried yet
         done = False
         source = iter(chars)
+        starts, pairs = self.starts, self.pairs
         while not done:
-            while len(window) < todo + self.longest:
-                c = next(source, None)
-                if c is None:
-                    done = True
-                    break
-                window += c
-                ended.append(None)
-            stop = len(window) if done else todo + 1
+            more = "".join(islice(source, self.longest))
+            done = len(more) < self.longest
+            window += more
+            ended += [None] * len(more)
+            size = len(window)
+            # a piece from here on may need characters that are not read yet
+            stop = size if done else max(todo, size - self.longest + 1)
             while todo < stop:
-                last = before if todo == 0 else ended[todo]
-                most = min(self.longest, len(window) - todo)
-                for k in range(1, most + 1):
-                    p = window[todo : todo + k]
-                    if k > 1 and p not in self.prefixes:
+                last = ended[todo] if todo else before
+                after = pairs.get(last, _NONE)
+                k = todo + 1
+                p = window[todo]
+                whole = starts.get(p)
+                if whole is None:  # a character of no piece; nothing merges with it
+                    if ended[k] is None:
+                        ended[k] = p
+                while whole is not None:
+                    if (whole or k == todo + 1) and ended[k] is None:
+                        if last is None:
+                            ended[k] = p
+                        else:
+                            fit = after.get(p)
+                            if fit is None:
+                                fit = self.fits(last, p)
+                            if fit:
+                                ended[k] = p
+                    k += 1
+                    if k > size:
                         break
-                    if (k == 1 or p in self.v.scores) and ended[todo + k] is None and self.whole(p) and (last is None or self.fits(last, p)):
-                        ended[todo + k] = p
+                    p = window[todo:k]
+                    whole = starts.get(p)
                 todo += 1
-            if not done and todo % self.longest == 0:
+            if not done:
                 # places from `todo` on may still start a piece: where do their paths meet?
                 live = {q for q in range(todo, len(window) + 1) if ended[q] is not None}
                 while len(live) > 1:
@@ -134,9 +148,7 @@ class Encoder:
                 if meet:
                     out = self.trace(ended, meet)
                     yield from out
-                    before, window, ended, todo = out[-1], window[meet:], [None, *ended[meet + 1 :]], todo - meet
-                    if todo < 0:
-                        todo = 0
+                    before, window, ended, todo = out[-1], window[meet:], [None, *ended[meet + 1 :]], max(0, todo - meet)
         yield from self.trace(ended, len(window))
 
     @staticmethod
@@ -147,10 +159,10 @@ class Encoder:
             at -= len(out[-1])
         return out[::-1]
 
-    def word(self, w: str) -> list[int]:
+    def word(self, w: str) -> array:
         got = self.known.get(w)
         if got is None:
-            got = []
+            got = array("i")
             for p in self.search(w):
                 s = self.v.scores.get(p)
                 if s:
@@ -163,16 +175,17 @@ class Encoder:
                 self.known[w] = got
         return got
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text. A character of the text that is the space mark itself goes into bytes, so that decoding is exact."""
+    def encode(self, text: str) -> array:
+        """Ids (32 bits) of a text. A character of the text that is the space mark itself goes into bytes, so that decoding is exact."""
+        ids = array("i")
         if not text:
-            return []
-        ids: list[int] = []
+            return ids
+        known, word, extend = self.known, self.word, ids.extend
         for k, part in enumerate(text.split(SPACE)):
             if k:
-                ids.extend(self.v.byte_ids[b] for b in SPACE.encode())
+                extend(self.v.byte_ids[b] for b in SPACE.encode())
             for w in self.words.findall((SPACE if not k else "") + part.replace(" ", SPACE)):
-                ids.extend(self.known.get(w) or self.word(w))
+                extend(known.get(w) or word(w))
         return ids
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -211,7 +224,7 @@ def encode(docs: DataFrame, model_file: str = DEFAULT_MODEL) -> DataFrame:
                 ids.append(None), counts.append(0), exact.append(True)
                 continue
             one = e.encode(raw.decode("utf-8", errors="replace"))
-            ids.append(pa.array(one, pa.int32()))
+            ids.append(pa.Array.from_buffers(pa.int32(), len(one), [None, pa.py_buffer(one)]))
             counts.append(len(one))
             exact.append(b"".join(map(e.v.bytes_of.__getitem__, one)).removeprefix(b" ") == raw)
         offsets = [0]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forest, langid, licenses, pieces, pseudonyms, simhash, toxicity
+from . import decontaminate, forest, langid, licenses, pieces, pseudonyms, simhash, toxicity
 from .common import read
 
 
@@ -25,6 +25,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(read(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_pii": op4_pii,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_license_scan": op8_license_scan,
     "op9_language_id": op9_language_id,
