@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, forest, langid, licenses, pieces, pseudonyms, simhash, toxicity
+from . import decontaminate, forest, langid, licenses, pieces, pseudonyms, repeats, simhash, toxicity
 from .common import read
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_bytes(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.near_duplicates(read(spark, sf_dir, "embeddings"))
 
@@ -25,6 +29,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_words(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -47,9 +55,11 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_pii": op4_pii,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_license_scan": op8_license_scan,

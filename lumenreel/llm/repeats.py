@@ -357,7 +357,7 @@ def find(docs: DataFrame, kind: Kind, finish, schema: str) -> DataFrame:
                 covered = c.covered(np.concatenate((first, start)), np.concatenate((last, start)))
                 yield finish(batch.column("ids")[r].as_py(), c, covered)
 
-    anchored = _by_chunk(_compare(base.select("chunk", "ends", "blob").mapInArrow(name_anchors, NAMES) if False else base.mapInArrow(name_anchors, NAMES), True), "anchored")
+    anchored = _by_chunk(_compare(base.mapInArrow(name_anchors, NAMES), True), "anchored")
     with_anchors = base.join(anchored.hint("shuffle_hash"), "chunk", "left")
     windowed = _by_chunk(_compare(with_anchors.mapInArrow(name_windows, NAMES), False), "windowed")
     return with_anchors.join(windowed.hint("shuffle_hash"), "chunk", "left").mapInArrow(apply, schema)
