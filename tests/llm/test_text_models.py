@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lumenreel.llm import decontaminate, langid, queries, toxicity
 from lumenreel.llm.common import read
 
-SF01 = "/root/testdata/sf0.01"
+SF01, SF1 = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 ODD = [(1, None), (2, ""), (3, "   "), (4, "1234 !!"), (5, "word"), (5, "word"), (None, "word"), (6, "x" * 200_000), (7, "你好")]
 
 
@@ -16,13 +16,16 @@ def odd(spark, names):
 
 
 def test_toxicity_on_held_out_rows(spark):
-    got = queries.op3_toxicity(spark, SF01)
+    """On the tables with over a thousand held-out marks; some toxic marks there are noise that no text shows."""
+    got = queries.op3_toxicity(spark, SF1)
     assert got.columns == ["doc_id", "held_out", "score", "predicted"]
-    rows = got.join(read(spark, SF01, "labels"), "doc_id").where("held_out and toxic is not null").collect()
+    rows = got.join(read(spark, SF1, "labels"), "doc_id").where("held_out and toxic is not null").collect()
     assert rows and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
     right = sum(r["predicted"] == r["toxic"] for r in rows) / len(rows)
-    toxic = [r for r in rows if r["toxic"] == 1]
-    assert right > 0.9 and sum(r["predicted"] for r in toxic) >= 0.6 * len(toxic)
+    found = [r for r in rows if r["predicted"] == 1]
+    assert right > 0.93 and sum(r["toxic"] for r in found) > 0.95 * len(found)
+    scores = {k: [r["score"] for r in rows if r["toxic"] == k] for k in (0, 1)}
+    assert sum(a < b for a in scores[0] for b in scores[1]) > 0.9 * len(scores[0]) * len(scores[1])
     assert got.where("score < 0 or score > 1 or predicted <> cast(score >= 0.7 as int)").count() == 0
 
 
