@@ -11,7 +11,12 @@ from lumenreel.tables import first_of_key, running
 from .registry import Tables, query
 
 NOW = "TIMESTAMP '2024-01-30 00:00:00'"
-now = F.expr("TIMESTAMP_NTZ '2024-01-30 00:00:00'")
+
+
+def now():
+    return F.expr("TIMESTAMP_NTZ '2024-01-30 00:00:00'")
+
+
 #: The states that the event types play.
 STATES = {"click": "queued", "view": "processing", "purchase": "completed", "error": "failed", "signup": "canceled"}
 STATE_SQL = "CASE event_type WHEN 'click' THEN 'queued' WHEN 'view' THEN 'processing' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'canceled' END"
@@ -67,7 +72,7 @@ def running_with_parent(t: Tables) -> DataFrame:
 def orphan_anti_join(t: Tables) -> DataFrame:
     """Jobs whose worker hasn't been heard of; a job without a worker is one of them."""
     beats = t.events.select(F.col("user_id").alias("o_custkey"), "ts", F.when(F.col("event_type") == "signup", "stopped").otherwise("live").alias("beat"))
-    return store.orphans(t.orders.where("o_orderstatus = 'O'"), beats, "o_custkey", "ts", "beat", now, 5 * 86400).select("o_orderkey", "o_custkey")
+    return store.orphans(t.orders.where("o_orderstatus = 'O'"), beats, "o_custkey", "ts", "beat", now(), 5 * 86400).select("o_orderkey", "o_custkey")
 
 
 @query("SELECT event_id, ts, user_id, event_type FROM events WHERE event_type IN ('error', 'purchase')")
@@ -136,7 +141,7 @@ def case_update(t: Tables) -> DataFrame:
 
 @query(f"SELECT event_id, CASE WHEN event_type = 'view' AND ts < {NOW} - INTERVAL 90 SECOND THEN 'queued' ELSE {STATE_SQL} END AS status, CASE WHEN event_type = 'view' AND ts < {NOW} - INTERVAL 90 SECOND THEN NULL ELSE user_id END AS user_id FROM events")
 def stale_requeue(t: Tables) -> DataFrame:
-    return store.requeue_stale(job_events(t), "status", "ts", "user_id", now, 90).select("event_id", "status", "user_id")
+    return store.requeue_stale(job_events(t), "status", "ts", "user_id", now(), 90).select("event_id", "status", "user_id")
 
 
 @query("""
@@ -238,7 +243,7 @@ def cancel_superseded(t: Tables) -> DataFrame:
 def worker_health(t: Tables) -> DataFrame:
     last = store.latest_by_key(t.events, ["user_id"], ["ts", "event_id"])
     beats = last.withColumns({"status": F.when(F.col("event_type") == "signup", "stopped"), "job": F.when(F.col("event_type") == "view", F.col("event_id"))})
-    return jobs.worker_health(beats, "user_id", "ts", "status", "job", now, 2 * 86400).drop("last_beat")
+    return jobs.worker_health(beats, "user_id", "ts", "status", "job", now(), 2 * 86400).drop("last_beat")
 
 
 @query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS slot FROM events WHERE event_type = 'click' QUALIFY slot <= 4")
