@@ -21,6 +21,7 @@ from .common import map_arrow, text_bytes
 HIDDEN, SNIPPET, WINDOW = 8, 96, 256
 PER_LANGUAGE, LANGUAGES = 1500, 200
 BATCH, STEPS, RATE, SEED = 128, 700, 0.02, 7
+PARTS = 64  # of each language, in drawing the sample
 LANES = 4096  # windows that go through the network side by side
 UNKNOWN = "und"
 
@@ -185,8 +186,10 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = L
     rows = docs.where(F.col("lang").isNotNull() & text.isNotNull() & (F.length(text) > 0) & ~held_out(F.col("doc_id")))
     at = F.pmod(F.xxhash64(text), F.greatest(F.length(text) - SNIPPET, F.lit(0)) + 1) + 1
     cut = rows.select("lang", F.substring(text, at.cast("int"), F.lit(SNIPPET)).alias("snippet")).withColumn("h", F.xxhash64("snippet"))
-    # the row limit by language is applied in each task before rows are dealt by language
-    few = cut.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "snippet"))).where(F.col("n") <= per_language)
+    # first within parts of each language, so that a language of any size spreads over many tasks
+    order = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("h", "snippet"))
+    parts = cut.withColumn("part", F.pmod(F.col("h"), F.lit(PARTS))).withColumn("n", order("lang", "part")).where(F.col("n") <= per_language)
+    few = parts.withColumn("n", order("lang")).where(F.col("n") <= per_language)
     common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
     return few.join(F.broadcast(common), "lang").select("lang", F.col("snippet").cast("binary").alias("snippet"))
 
