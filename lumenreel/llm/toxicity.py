@@ -8,9 +8,10 @@ The log-likelihood ratio of a text is compared by the length of the text and of
 byte, its mean excess by word, and that of its two strongest words, weighed by logistic regression
 on rows that gave no counts.
 
-Bounds of the fit (everything else covers all rows and whole texts): at most MAX_ROWS labelled rows
-of each class by hash of the id, which also bounds what is broadcast, and the MODEL_GRAMS commonest
-n-grams.
+Bound of the fit (everything else covers all rows and whole texts): at most MAX_ROWS labelled rows of
+each class by hash of the id, which also bounds what is broadcast. Of those all n-grams count. A class
+that is drawn in part has more weight in the regression by as much, so scores are probabilities at the
+classes' shares of all labelled rows, whatever the size of the input.
 """
 
 from __future__ import annotations
@@ -29,8 +30,7 @@ DISCOUNTS = (1.0, 1.6, 2.2)  # of n-grams of one, two and more counts
 SHARED_DISCOUNT = 0.75
 THRESHOLD = 0.7
 MAX_ROWS = {0: 60_000, 1: 60_000}
-MODEL_GRAMS = 4_000_000
-CALIBRATION = (5, 20_000)  # one labelled text in so many weighs the features, at most so many
+CALIBRATION = 5  # one labelled text in so many weighs the features
 EXCESS = 4.0
 PIECE = 1 << 21
 
@@ -206,11 +206,11 @@ def build(gram: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> Model:
     return Model(Table(gram, llr.astype(np.float32)), Table(contexts, back.astype(np.float32)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, rounds: int = 80) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.01, rounds: int = 80) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (p - y) + ridge * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (weight * (p - y)) + ridge * w)
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
@@ -222,19 +222,24 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
+def marked_rows(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of all rows with a toxic mark that are not held out, one of each id."""
+    return labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+
+
 def learning_rows(labels: DataFrame, max_rows: dict[int, int] = MAX_ROWS) -> DataFrame:
-    """(doc_id, toxic) to learn from: the rows with a toxic mark that are not held out, at most so many of each class, first by hash of the id."""
-    rows = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    """(doc_id, toxic) to learn from: of the marked rows at most so many of each class, first by hash of the id."""
+    rows = marked_rows(labels)
     by_hash = lambda c: rows.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows[c])
     return by_hash(0).unionAll(by_hash(1))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: dict[int, int] = MAX_ROWS) -> Model:
     """Learn from the texts of `docs` (doc_id, text) that `labels` (doc_id, toxic) marks. Without texts of both classes the model scores 0."""
-    few = F.broadcast(learning_rows(labels))  # at most MAX_ROWS rows of each class
+    few = F.broadcast(learning_rows(labels, max_rows))  # at most max_rows rows of each class
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(few, "doc_id").select("text", "toxic")
-    part = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(CALIBRATION[0]))
-    grams = count_grams(rows.where(part != 0)).orderBy(F.desc(F.col("c0") + F.col("c1")), "gram").limit(MODEL_GRAMS).toArrow()
+    part = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(CALIBRATION))  # by text, so that no copy of a counted text weighs features
+    grams = count_grams(rows.where(part != 0)).toArrow()
     if not grams.num_rows:
         return Model(Table(np.empty(0, np.uint64), np.empty(0)), Table(np.empty(0, np.uint64), np.empty(0)))
     gram, c0, c1 = (grams.column(c).to_numpy() for c in ("gram", "c0", "c1"))
@@ -247,11 +252,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         f = shared.value.features(b.column(0).to_pylist())
         return pa.RecordBatch.from_arrays([b.column(1), *[pa.array(f[:, k]) for k in range(6)]], ["toxic", *[f"f{k}" for k in range(6)]])
 
+    names = [f"f{k}" for k in range(6)]
     sample = rows.where(part == 0).select(text_bytes(rows).alias("text"), "toxic")
-    held = map_arrow(sample, measure, "toxic int, " + ", ".join(f"f{k} double" for k in range(6))).limit(CALIBRATION[1]).toArrow()
+    held = map_arrow(sample, measure, "toxic int, " + ", ".join(f"{f} double" for f in names)).groupBy("toxic", *names).count().toArrow()  # copies are one row
     y = held.column("toxic").to_numpy().astype(float)
     if len(set(y.tolist())) == 2:
-        model.weights = logistic(np.column_stack([held.column(f"f{k}").to_numpy() for k in range(6)]), y)
+        of_all = dict(marked_rows(labels).groupBy("toxic").count().collect())
+        drawn = np.array([max(1, of_all[c] / max_rows[c]) for c in (0, 1)])  # marked rows for each one drawn
+        weight = held.column("count").to_numpy() * drawn[y.astype(int)]
+        x = np.column_stack([held.column(f).to_numpy() for f in names])
+        order = np.lexsort((y, *x.T))
+        model.weights = logistic(x[order], y[order], (weight * held.column("count").to_numpy().sum() / weight.sum())[order])
     return model
 
 

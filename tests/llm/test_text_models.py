@@ -1,5 +1,6 @@
 """op3, op6 and op9: held-out accuracy, planted cases and edge cases."""
 
+import random
 import zlib
 
 from pyspark.sql import functions as F
@@ -37,6 +38,21 @@ def test_toxicity_edge_cases(spark):
     assert toxicity.score(df, toxicity.fit(df.limit(0), labels.limit(0))).count() == len(ODD)
 
 
+def test_toxicity_of_a_thinned_class(spark):
+    """Scores are those of the classes' natural shares, however few rows of one class are drawn."""
+    rng = random.Random(5)
+    some = lambda n: " ".join(rng.choices(["tree", "house", "river", "stone", "cloud", "apple"], k=n))
+    rows = [(i, f"{some(9)}{' xyzzyx' if i % 9 < 2 else ''} {some(9)}", int(i % 9 == 0)) for i in range(3600)]  # half of those with the word are toxic
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int").repartition(4)
+    odds = {}
+    for most in (3600, 300):
+        model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), {0: most, 1: 3600})
+        got = toxicity.score(df.where("text like '%xyzzyx%'"), model).agg(F.avg("score"), F.avg("predicted")).first()
+        odds[most] = got[0]
+        assert 0.4 < got[0] < 0.6, (most, got)
+    assert abs(odds[3600] - odds[300]) < 0.06
+
+
 def test_language_on_held_out_rows(spark):
     docs = read(spark, SF01, "documents")
     rows = queries.op9_language_id(spark, SF01).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
