@@ -49,14 +49,14 @@ def majority_bits(hashes: np.ndarray, block: int = 1 << 16) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp: bigint) for each row; a text that is null or has no words has fingerprint 0."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE, id_type: str = "bigint") -> DataFrame:
+    """(doc_id, fp: bigint) for each row, the id as `id_type`; a text that is null or has no words has fingerprint 0."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         fps = [majority_bits(np.array(shingle_hashes(t.as_py(), size), np.uint64)) for t in b.column(1)]
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes(docs).alias("text")), run, "doc_id bigint, fp bigint")
+    return map_arrow(docs.select(F.col("doc_id").cast(id_type).alias("doc_id"), text_bytes(docs).alias("text")), run, f"doc_id {id_type}, fp bigint")
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -190,6 +190,13 @@ def fingerprint_links(distinct: DataFrame, k: int = MAX_BITS, split_over: int =
     return grouped.select("grp", "fp").repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "a bigint, b bigint")
 
 
+def _named(fps: DataFrame, k: int) -> DataFrame:
+    """(fp, low, root) of each distinct fingerprint of `fps` (doc_id, fp): its smallest id and the fingerprint that names its component."""
+    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    roots = connected_components(fingerprint_links(classes.select("fp"), k))
+    return materialize(classes.join(roots, classes.fp == roots.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, k: int = MAX_BITS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of `docs` (doc_id, text).
 
@@ -198,27 +205,33 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, k: int = MAX_BITS) ->
     of the component's ids are null. Empty table: no rows. Extra columns are not returned.
     """
     fps = materialize(fingerprints(docs, size))
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = connected_components(fingerprint_links(classes.select("fp"), k))
-    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
-    named = materialize(named)
+    named = _named(fps, k)
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
     by_fp = named.join(lows, "root").select("fp", "component_id")
     return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, size: int = SHINGLE, k: int = MAX_BITS) -> DataFrame:
-    """The rows of `docs` of the smallest doc_id of each near-duplicate component, one row of each; columns as they were.
+    """One row of `docs` of each near-duplicate component, the first by doc_id and then text; columns as they were.
 
-    Rows of null doc_id stand for themselves only if no other row of their component has an id.
+    Null ids come last, so a row of null doc_id stands for its component only if no other row there has
+    an id. Ids need not be unique: a row belongs to the component of its own text.
     """
+    key, one, two, root, row = (free_name(docs, f"keep_{x}") for x in ("key", "one", "two", "root", "row"))
+    text = F.col("text").cast("binary")
+    digests = [F.xxhash64(F.col("text").isNull(), text).alias(one), F.xxhash64(F.lit(1), text).alias(two)]  # with the id they stand for the text
+    fps = materialize(fingerprints(docs.select(F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), *digests).alias("doc_id"), "text"), size, f"struct<doc_id:bigint,{one}:bigint,{two}:bigint>"))
+    fps = fps.select("doc_id.*", "fp")
+    named = _named(fps.select("doc_id", "fp"), k)
+    lows = named.groupBy("root").agg(F.min("low").alias("lowest"))
+    of = fps.join(named.join(lows, "root").select("fp", "root", "lowest"), "fp").where(F.col("doc_id").eqNullSafe(F.col("lowest")))
     none = F.lit(-(1 << 63)).cast("bigint")
-    parts = near_duplicates(docs, size, k).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    key, row = free_name(docs, "keep_key"), free_name(docs, "keep_row")
-    ids = parts.select(F.coalesce("doc_id", none).alias(key)).distinct()
-    kept = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("bigint"), none)).join(ids, key, "left_semi")
-    w = Window.partitionBy(key).orderBy(F.col("text").asc_nulls_last())
-    return kept.withColumn(row, F.row_number().over(w)).where(F.col(row) == 1).drop(key, row)
+    firsts = of.select(F.coalesce("doc_id", none).alias(key), one, two, F.col("root").alias(root)).distinct()
+    mine = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("bigint"), none), one: digests[0], two: digests[1]})
+    kept = mine.join(firsts, [key, one, two])
+    # an id that is really the stand-in for null comes before null
+    w = Window.partitionBy(root).orderBy(F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_last())
+    return kept.withColumn(row, F.row_number().over(w)).where(F.col(row) == 1).select(*docs.columns)
 
 
 __all__ = ["fingerprints", "fingerprint_links", "index_links", "keep_one_of_each", "near_duplicates", "shingle_hashes"]

@@ -62,6 +62,16 @@ def test_edge_cases(spark):
     assert simhash.keep_one_of_each(df.limit(0)).count() == 0
 
 
+def test_rows_without_an_id_of_their_own_are_kept(spark):
+    long = [" ".join(f"t{k}w{j}" for j in range(40)) for k in range(6)]
+    rows = [(None, long[0]), (None, long[0]), (None, long[1]), (None, long[2]), (1, long[2]), (7, long[3]), (7, long[4]), (7, long[4]), (7, long[5]), (3, long[5]), (None, None), (-(1 << 63), "")]
+    df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id bigint, text string, keep_key int").repartition(3)
+    kept = simhash.keep_one_of_each(df)
+    assert kept.columns == df.columns
+    want = [(None, long[0]), (None, long[1]), (1, long[2]), (7, long[3]), (7, long[4]), (3, long[5]), (-(1 << 63), "")]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
 def test_index_and_split_groups_lose_no_link(spark):
     rng = random.Random(3)
     base = rng.getrandbits(64)
