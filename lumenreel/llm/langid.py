@@ -2,8 +2,8 @@
 
 The network reads the bytes of a text in both directions, gives every position the probabilities of
 the languages, and the document the mean of those of its positions. It is trained here in numpy by
-backpropagation through time, on a bounded sample: at most PER_LANGUAGE snippets of each of the
-LANGUAGES commonest languages. Whole texts are labelled, in windows of WINDOW bytes.
+backpropagation through time, on a bounded sample: at most PER_LANGUAGE different snippets of each
+language. Whole texts are labelled, in windows of WINDOW bytes.
 """
 
 from __future__ import annotations
@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 from .common import map_arrow, text_bytes
 
 HIDDEN, SNIPPET, WINDOW = 8, 96, 256
-PER_LANGUAGE, LANGUAGES = 1500, 200
+PER_LANGUAGE = 1500
 BATCH, STEPS, RATE, SEED = 128, 700, 0.02, 7
 PARTS = 64  # of each language, in drawing the sample
-LANES = 4096  # windows that go through the network side by side
+LANES = 4096  # windows that go through the network side by side; fewer beyond WIDE languages
+WIDE = 32
 UNKNOWN = "und"
 
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
@@ -133,8 +134,9 @@ class Network:
 
         def flush() -> None:
             held.sort(key=lambda w: len(w[1]))
-            for at in range(0, len(held), LANES):
-                part = held[at : at + LANES]
+            lanes = max(1, LANES * WIDE // max(WIDE, len(self.languages)))
+            for at in range(0, len(held), lanes):
+                part = held[at : at + lanes]
                 sizes = np.array([len(w) for _, w in part])
                 t = int(sizes.max())
                 x = np.frombuffer(b"".join(w.ljust(t, b"\0") for _, w in part), np.uint8).reshape(len(part), t).T
@@ -180,18 +182,17 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> DataFrame:
-    """(lang, snippet) to learn from: bounded, from any place of the texts, first by hash of the text."""
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """(lang, snippet) to learn from: of each language a bounded number of different ones, from any place of the texts, first by hash."""
     text = F.col("text")
     rows = docs.where(F.col("lang").isNotNull() & text.isNotNull() & (F.length(text) > 0) & ~held_out(F.col("doc_id")))
     at = F.pmod(F.xxhash64(text), F.greatest(F.length(text) - SNIPPET, F.lit(0)) + 1) + 1
-    cut = rows.select("lang", F.substring(text, at.cast("int"), F.lit(SNIPPET)).alias("snippet")).withColumn("h", F.xxhash64("snippet"))
+    cut = rows.select("lang", F.substring(text, at.cast("int"), F.lit(SNIPPET)).alias("snippet")).distinct().withColumn("h", F.xxhash64("snippet"))
     # first within parts of each language, so that a language of any size spreads over many tasks
     order = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("h", "snippet"))
     parts = cut.withColumn("part", F.pmod(F.col("h"), F.lit(PARTS))).withColumn("n", order("lang", "part")).where(F.col("n") <= per_language)
     few = parts.withColumn("n", order("lang")).where(F.col("n") <= per_language)
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
-    return few.join(F.broadcast(common), "lang").select("lang", F.col("snippet").cast("binary").alias("snippet"))
+    return few.select("lang", F.col("snippet").cast("binary").alias("snippet"))
 
 
 def fit(docs: DataFrame) -> Network | None:

@@ -60,6 +60,14 @@ def test_language_on_held_out_rows(spark):
     assert sum(r["lang_pred"] == r["lang"] for r in rows) > 0.95 * len(rows)
 
 
+def test_language_sample_has_no_copies_and_all_languages(spark):
+    rows = [(i, f"text number {i % 40 if i >= 3000 else 0} of all", "en") for i in range(4000)] + [(i, f"rare {i}", f"l{i}") for i in range(300)]
+    df = spark.createDataFrame([r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2], "doc_id bigint, text string, lang string")
+    got = [(r["lang"], bytes(r["snippet"])) for r in langid.sample(df, 30).collect()]
+    assert len(got) == len(set(got)) and sum(x == "en" for x, _ in got) == 30
+    assert {x for x, _ in got} == {r["lang"] for r in df.select("lang").distinct().collect()}
+
+
 def test_language_edge_cases(spark):
     df = odd(spark, ["lang_pred", "score"]).withColumn("lang", F.lit("en"))
     net = langid.train([b"the cat and the dog", b"der hund und die katze"] * 20, ["en", "de"] * 20, steps=30)
