@@ -14,79 +14,79 @@ from pyspark.sql import functions as F
 # Phrases and their labels that every result must have.
 BASE_PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: label, keyword, how the license is named in normalised words, its identifier in normalised words
+#: label, keywords (each name has one of them), how the license is named in normalised words, its identifier in normalised words
 FAMILIES = (
-    ("apache-1.1", "apache", r"apache(?: software)?(?: license)?(?: version)? 1 1", "apache 1 1"),
-    ("apache-2.0", "apache", r"apache(?: software)?(?: license)?(?: version)? 2(?: 0)?", "apache 2 0"),
-    ("apache", "apache", r"apache(?: software)?", "apache"),
-    ("mit", "mit", r"(?:mit|massachusetts institute of technology)", "mit"),
-    ("x11", "x11", r"x11", "x11"),
-    ("isc", "isc", r"isc|internet systems consortium", "isc"),
-    ("bsd-2-clause", "bsd", r"(?:2|two) clause bsd|simplified bsd|freebsd|bsd 2 clause", "bsd 2 clause"),
-    ("bsd-3-clause", "bsd", r"(?:3|three) clause bsd|(?:new|modified|revised) bsd|bsd 3 clause", "bsd 3 clause"),
-    ("bsd-4-clause", "bsd", r"(?:4|four) clause bsd|original bsd|bsd 4 clause", "bsd 4 clause"),
-    ("bsd", "bsd", r"bsd|berkeley software distribution", "bsd"),
-    ("gpl-1.0", "gpl", r"gpl ?v?1(?: 0)?", "gpl 1 0"),
-    ("gpl-2.0", "gpl", r"gpl ?v?2(?: 0)?", "gpl 2 0"),
-    ("gpl-3.0", "gpl", r"gpl ?v?3(?: 0)?", "gpl 3 0"),
-    ("gpl-2.0", "general public", r"(?:gnu )?general public license(?: v| version)? ?2(?: 0)?", "gnu general public 2"),
-    ("gpl-3.0", "general public", r"(?:gnu )?general public license(?: v| version)? ?3(?: 0)?", "gnu general public 3"),
-    ("gpl", "general public", r"(?:gnu )?general public", "gnu general public"),
-    ("lgpl-2.1", "lgpl", r"lgpl ?v?2 1", "lgpl 2 1"),
-    ("lgpl-3.0", "lgpl", r"lgpl ?v?3(?: 0)?", "lgpl 3 0"),
-    ("lgpl", "lesser general", r"(?:gnu )?lesser general public", "gnu lesser general public"),
-    ("agpl-3.0", "agpl", r"agpl ?v?3(?: 0)?", "agpl 3 0"),
-    ("agpl", "affero", r"(?:gnu )?affero general public", "gnu affero general public"),
-    ("gfdl-1.3", "documentation", r"(?:gnu )?free documentation(?: license)?(?: version)? 1 3", "gfdl 1 3"),
-    ("gfdl", "documentation", r"(?:gnu )?free documentation", "gfdl"),
-    ("mpl-1.1", "mozilla", r"mozilla public(?: license)?(?: version)? 1 1", "mpl 1 1"),
-    ("mpl-2.0", "mozilla", r"mozilla public(?: license)?(?: version)? 2 0", "mpl 2 0"),
-    ("mpl", "mozilla", r"mozilla public", "mpl"),
-    ("epl-1.0", "eclipse", r"eclipse public(?: license)?(?: version)? 1 0", "epl 1 0"),
-    ("epl-2.0", "eclipse", r"eclipse public(?: license)?(?: version)? 2 0", "epl 2 0"),
-    ("cddl-1.0", "common development", r"common development and distribution", "cddl 1 0"),
-    ("cpl-1.0", "common public", r"common public", "cpl 1 0"),
-    ("eupl-1.2", "european union", r"european union public(?: licence| license)?(?: version| v)? ?1 2", "eupl 1 2"),
-    ("artistic-1.0", "artistic", r"artistic(?: license)?(?: version)? 1 0", "artistic 1 0"),
-    ("artistic-2.0", "artistic", r"artistic(?: license)?(?: version)? 2 0", "artistic 2 0"),
-    ("cc0-1.0", "cc0", r"(?:creative commons )?cc0(?: 1 0)?(?: universal)?", "cc0 1 0"),
-    ("cc-by-2.0", "cc by", r"cc by 2 0", "cc by 2 0"),
-    ("cc-by-3.0", "cc by", r"cc by 3 0", "cc by 3 0"),
-    ("cc-by-4.0", "cc by", r"cc by 4 0", "cc by 4 0"),
-    ("cc-by-sa-3.0", "cc by", r"cc by sa 3 0", "cc by sa 3 0"),
-    ("cc-by-sa-4.0", "cc by", r"cc by sa 4 0", "cc by sa 4 0"),
-    ("cc-by-nc-4.0", "cc by", r"cc by nc 4 0", "cc by nc 4 0"),
-    ("cc-by-nd-4.0", "cc by", r"cc by nd 4 0", "cc by nd 4 0"),
-    ("cc-by-nc-sa-4.0", "cc by", r"cc by nc sa 4 0", "cc by nc sa 4 0"),
-    ("cc-by-nc-nd-4.0", "cc by", r"cc by nc nd 4 0", "cc by nc nd 4 0"),
-    ("cc-by-nc", "cc by", r"cc by nc", "cc by nc"),
-    ("cc-by-sa", "cc by", r"cc by sa", "cc by sa"),
-    ("cc-by", "creative commons", r"creative commons attribution", "creative commons attribution"),
-    ("cc-by-sa", "creative commons", r"creative commons attribution share ?alike", "creative commons attribution sharealike"),
-    ("cc-by-nc", "creative commons", r"creative commons attribution non ?commercial", "creative commons attribution noncommercial"),
-    ("cc-by-nd", "creative commons", r"creative commons attribution no ?deriv(?:s|atives)", "creative commons attribution noderivatives"),
-    ("unlicense", "unlicense", r"(?:the )?unlicense", "unlicense"),
-    ("wtfpl", "wtfpl", r"wtfpl|do what the fuck you want to public", "wtfpl"),
-    ("zlib", "zlib", r"zlib(?: libpng)?", "zlib"),
-    ("bsl-1.0", "boost", r"boost software", "bsl 1 0"),
-    ("psf-2.0", "python", r"python software foundation|psf", "python 2 0"),
-    ("ofl-1.1", "open font", r"(?:sil )?open font", "ofl 1 1"),
-    ("odbl-1.0", "open database", r"open database|open data commons", "odbl 1 0"),
-    ("ms-pl", "microsoft", r"microsoft public|ms pl", "ms pl"),
-    ("ms-rl", "microsoft", r"microsoft reciprocal|ms rl", "ms rl"),
-    ("postgresql", "postgresql", r"postgresql", "postgresql"),
-    ("openssl", "openssl", r"openssl", "openssl"),
-    ("ncsa", "illinois", r"university of illinois(?: ncsa)?(?: open source)?|ncsa", "ncsa"),
-    ("afl-3.0", "academic free", r"academic free", "afl 3 0"),
+    ("apache-1.1", ("apache",), r"apache(?: software)?(?: license)?(?: version)? 1 1", "apache 1 1"),
+    ("apache-2.0", ("apache",), r"apache(?: software)?(?: license)?(?: version)? 2(?: 0)?", "apache 2 0"),
+    ("apache", ("apache",), r"apache(?: software)?", "apache"),
+    ("mit", (" mit", " massachusetts institute"), r"(?:mit|massachusetts institute of technology)", "mit"),
+    ("x11", ("x11",), r"x11", "x11"),
+    ("isc", (" isc", " internet systems consortium"), r"isc|internet systems consortium", "isc"),
+    ("bsd-2-clause", ("bsd",), r"(?:2|two) clause bsd|simplified bsd|freebsd|bsd 2 clause", "bsd 2 clause"),
+    ("bsd-3-clause", ("bsd",), r"(?:3|three) clause bsd|(?:new|modified|revised) bsd|bsd 3 clause", "bsd 3 clause"),
+    ("bsd-4-clause", ("bsd",), r"(?:4|four) clause bsd|original bsd|bsd 4 clause", "bsd 4 clause"),
+    ("bsd", ("bsd", " berkeley software"), r"bsd|berkeley software distribution", "bsd"),
+    ("gpl-1.0", ("gpl",), r"gpl ?v?1(?: 0)?", "gpl 1 0"),
+    ("gpl-2.0", ("gpl",), r"gpl ?v?2(?: 0)?", "gpl 2 0"),
+    ("gpl-3.0", ("gpl",), r"gpl ?v?3(?: 0)?", "gpl 3 0"),
+    ("gpl-2.0", ("general public",), r"(?:gnu )?general public license(?: v| version)? ?2(?: 0)?", "gnu general public 2"),
+    ("gpl-3.0", ("general public",), r"(?:gnu )?general public license(?: v| version)? ?3(?: 0)?", "gnu general public 3"),
+    ("gpl", ("general public",), r"(?:gnu )?general public", "gnu general public"),
+    ("lgpl-2.1", ("lgpl",), r"lgpl ?v?2 1", "lgpl 2 1"),
+    ("lgpl-3.0", ("lgpl",), r"lgpl ?v?3(?: 0)?", "lgpl 3 0"),
+    ("lgpl", ("lesser general",), r"(?:gnu )?lesser general public", "gnu lesser general public"),
+    ("agpl-3.0", ("agpl",), r"agpl ?v?3(?: 0)?", "agpl 3 0"),
+    ("agpl", ("affero",), r"(?:gnu )?affero general public", "gnu affero general public"),
+    ("gfdl-1.3", ("documentation",), r"(?:gnu )?free documentation(?: license)?(?: version)? 1 3", "gfdl 1 3"),
+    ("gfdl", ("documentation",), r"(?:gnu )?free documentation", "gfdl"),
+    ("mpl-1.1", ("mozilla",), r"mozilla public(?: license)?(?: version)? 1 1", "mpl 1 1"),
+    ("mpl-2.0", ("mozilla",), r"mozilla public(?: license)?(?: version)? 2 0", "mpl 2 0"),
+    ("mpl", ("mozilla",), r"mozilla public", "mpl"),
+    ("epl-1.0", ("eclipse",), r"eclipse public(?: license)?(?: version)? 1 0", "epl 1 0"),
+    ("epl-2.0", ("eclipse",), r"eclipse public(?: license)?(?: version)? 2 0", "epl 2 0"),
+    ("cddl-1.0", ("common development",), r"common development and distribution", "cddl 1 0"),
+    ("cpl-1.0", ("common public",), r"common public", "cpl 1 0"),
+    ("eupl-1.2", ("european union",), r"european union public(?: licence| license)?(?: version| v)? ?1 2", "eupl 1 2"),
+    ("artistic-1.0", ("artistic",), r"artistic(?: license)?(?: version)? 1 0", "artistic 1 0"),
+    ("artistic-2.0", ("artistic",), r"artistic(?: license)?(?: version)? 2 0", "artistic 2 0"),
+    ("cc0-1.0", ("cc0",), r"(?:creative commons )?cc0(?: 1 0)?(?: universal)?", "cc0 1 0"),
+    ("cc-by-2.0", ("cc by",), r"cc by 2 0", "cc by 2 0"),
+    ("cc-by-3.0", ("cc by",), r"cc by 3 0", "cc by 3 0"),
+    ("cc-by-4.0", ("cc by",), r"cc by 4 0", "cc by 4 0"),
+    ("cc-by-sa-3.0", ("cc by",), r"cc by sa 3 0", "cc by sa 3 0"),
+    ("cc-by-sa-4.0", ("cc by",), r"cc by sa 4 0", "cc by sa 4 0"),
+    ("cc-by-nc-4.0", ("cc by",), r"cc by nc 4 0", "cc by nc 4 0"),
+    ("cc-by-nd-4.0", ("cc by",), r"cc by nd 4 0", "cc by nd 4 0"),
+    ("cc-by-nc-sa-4.0", ("cc by",), r"cc by nc sa 4 0", "cc by nc sa 4 0"),
+    ("cc-by-nc-nd-4.0", ("cc by",), r"cc by nc nd 4 0", "cc by nc nd 4 0"),
+    ("cc-by-nc", ("cc by",), r"cc by nc", "cc by nc"),
+    ("cc-by-sa", ("cc by",), r"cc by sa", "cc by sa"),
+    ("cc-by", ("creative commons",), r"creative commons attribution", "creative commons attribution"),
+    ("cc-by-sa", ("creative commons",), r"creative commons attribution share ?alike", "creative commons attribution sharealike"),
+    ("cc-by-nc", ("creative commons",), r"creative commons attribution non ?commercial", "creative commons attribution noncommercial"),
+    ("cc-by-nd", ("creative commons",), r"creative commons attribution no ?deriv(?:s|atives)", "creative commons attribution noderivatives"),
+    ("unlicense", ("unlicense",), r"(?:the )?unlicense", "unlicense"),
+    ("wtfpl", ("wtfpl", " do what the fuck"), r"wtfpl|do what the fuck you want to public", "wtfpl"),
+    ("zlib", ("zlib",), r"zlib(?: libpng)?", "zlib"),
+    ("bsl-1.0", ("boost",), r"boost software", "bsl 1 0"),
+    ("psf-2.0", ("python software", " psf"), r"python software foundation|psf", "python 2 0"),
+    ("ofl-1.1", ("open font",), r"(?:sil )?open font", "ofl 1 1"),
+    ("odbl-1.0", ("open database", " open data commons"), r"open database|open data commons", "odbl 1 0"),
+    ("ms-pl", ("microsoft", " ms pl"), r"microsoft public|ms pl", "ms pl"),
+    ("ms-rl", ("microsoft", " ms rl"), r"microsoft reciprocal|ms rl", "ms rl"),
+    ("postgresql", ("postgresql",), r"postgresql", "postgresql"),
+    ("openssl", ("openssl",), r"openssl", "openssl"),
+    ("ncsa", ("illinois", " ncsa"), r"university of illinois(?: ncsa)?(?: open source)?|ncsa", "ncsa"),
+    ("afl-3.0", ("academic free",), r"academic free", "afl 3 0"),
 )
 
-#: priority and shape of a mention of a license; {n} is its name and {i} its identifier
+#: priority, what each match has besides the name, and shape of a mention of a license; {n} is its name and {i} its identifier
 SHAPES = (
-    (90, r"spdx license identifier {i}"),
-    (80, r"(?:licensed|released|distributed|published|provided|available|dual licensed|redistributed) (?:to you )?under (?:the )?(?:terms of )?(?:the )?(?:{n})(?: licen[sc]e)?"),
-    (70, r"(?:under|subject to|governed by|according to|covered by) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:{n}) licen[sc]e"),
-    (60, r"licen[sc]e (?:is )?(?:{n})"),
-    (50, r"(?:{n}) licen[sc]ed?"),
+    (90, ("spdx license identifier",), r"spdx license identifier {i}"),
+    (80, ("licensed under ", "released under ", "distributed under ", "published under ", "provided under ", "available under ", "to you under "), r"(?:licensed|released|distributed|published|provided|available|dual licensed|redistributed) (?:to you )?under (?:the )?(?:terms of )?(?:the )?(?:{n})(?: licen[sc]e)?"),
+    (70, ("licen",), r"(?:under|subject to|governed by|according to|covered by) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:{n}) licen[sc]e"),
+    (60, ("licen",), r"licen[sc]e (?:is )?(?:{n})"),
+    (50, ("licen",), r"(?:{n}) licen[sc]ed?"),
 )
 
 #: rules of their own: priority, label, keyword, expression
@@ -106,14 +106,14 @@ SINGLES = (
     (20, "permission", "permission", r"permission is hereby granted free of charge"),
 )
 
-#: A text without any of these has no rule's keyword in a matching place.
-GATES = ("licen", "rights", "copyright", "cc by", "general public", "public domain", "unlicense", "warrant", "as is", "proprietary", "commercial", "redistribution", "permission", "cc0")
+#: A text without any of these matches no rule.
+GATES = tuple(sorted({g for _, gates, _ in SHAPES for g in gates} | {key for _, _, key, _ in SINGLES}))
 
 
-def rules() -> list[tuple[str, str, str, int]]:
-    """(keyword, expression, label, priority), some hundreds, in order of falling priority."""
-    made = [(key, shape.format(n=name, i=spdx), label, priority) for priority, shape in SHAPES for label, key, name, spdx in FAMILIES]
-    made += [(key, shape, label, priority) for priority, label, key, shape in SINGLES]
+def rules() -> list[tuple[tuple[str, ...], str, str, int]]:
+    """(keywords, expression, label, priority), some hundreds, in order of falling priority. Every match has one of the keywords."""
+    made = [(keys if "{n}" in shape else gates, shape.format(n=name, i=spdx), label, priority) for priority, gates, shape in SHAPES for label, keys, name, spdx in FAMILIES]
+    made += [((key,), shape, label, priority) for priority, label, key, shape in SINGLES]
     return sorted(((k, f"(?<= )(?:{e})(?= )", x, p) for k, e, x, p in made), key=lambda r: -r[3])
 
 
@@ -123,11 +123,11 @@ def _count(words: Column) -> Column:
 
 
 def _detections(norm: Column) -> Column:
-    """Array of (start, end, priority, label) of the rules whose keyword the text has."""
-    by_key: dict[str, list] = {}
+    """Array of (start, end, priority, label) of the rules of which the text has a keyword."""
+    by_key: dict[tuple[str, ...], list] = {}
     for key, expression, label, priority in rules():
         by_key.setdefault(key, []).append(F.struct(F.lit(expression).alias("rx"), F.lit(label).alias("label"), F.lit(priority).alias("priority")))
-    keyed = F.array(*[F.struct(F.lit(k).alias("key"), F.array(*rs).alias("rules")) for k, rs in by_key.items()])
+    keyed = F.array(*[F.struct(F.array(*map(F.lit, k)).alias("keys"), F.array(*rs).alias("rules")) for k, rs in by_key.items()])
 
     def places(rule: Column) -> Column:
         gaps = F.transform(F.split(norm, rule["rx"]), lambda g: F.length(g))
@@ -142,7 +142,7 @@ def _detections(norm: Column) -> Column:
         spans = F.aggregate(pairs, start, step, lambda acc: acc["out"])
         return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus_end"), (-rule["priority"]).alias("minus_priority"), rule["label"].alias("label")))
 
-    present = F.flatten(F.transform(F.filter(keyed, lambda k: F.contains(norm, k["key"])), lambda k: k["rules"]))
+    present = F.flatten(F.transform(F.filter(keyed, lambda k: F.exists(k["keys"], lambda key: F.contains(norm, key))), lambda k: k["rules"]))
     return F.flatten(F.transform(F.filter(present, lambda r: F.regexp_like(norm, r["rx"])), places))
 
 

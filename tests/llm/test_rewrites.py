@@ -140,6 +140,53 @@ def test_license_rules(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def spelled(parsed):
+    """Strings that an expression matches: each way of its alternatives and optional parts, other parts in one way."""
+    out = [""]
+    for op, value in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            new = [chr(value)]
+        elif name == "IN":
+            new = [chr(value[0][1] if str(value[0][0]) == "LITERAL" else value[0][1][0])]
+        elif name == "BRANCH":
+            new = [x for branch in value[1] for x in spelled(branch)]
+        elif name == "SUBPATTERN":
+            new = spelled(value[3])
+        elif name == "MAX_REPEAT":
+            new = [x * max(value[0], n) for x in spelled(value[2]) for n in {0, 1} if n >= min(value[0], 1)]
+        else:
+            assert name in ("ASSERT", "ASSERT_NOT"), name
+            new = [""]
+        out = [x + y for x in out for y in new]
+    return out
+
+
+def test_gates_let_every_match_through():
+    for keys, expression, label, priority in licenses.rules():
+        for text in spelled(re._parser.parse(expression)):
+            assert re.fullmatch(expression.removeprefix("(?<= )").removesuffix("(?= )"), text)
+            assert any(k in f" {text} " for k in keys), (label, text)
+            assert any(g in f" {text} " for g in licenses.GATES), (label, priority, text)
+
+
+def test_licenses_without_their_old_keyword(spark):
+    spdx = ["MPL-2.0", "EPL-2.0", "EUPL-1.2", "BSL-1.0", "OFL-1.1", "CDDL-1.0", "GFDL-1.3", "AFL-3.0", "ODbL-1.0"]
+    rows = [(f"SPDX-License-Identifier: {x}", x.lower()) for x in spdx] + [
+        ("the open data commons license", "odbl-1.0"),
+        ("licensed under MS-PL", "ms-pl"),
+        ("the NCSA license", "ncsa"),
+        ("a Berkeley Software Distribution license", "bsd"),
+        ("the Internet Systems Consortium license", "isc"),
+        ("the Massachusetts Institute of Technology license", "mit"),
+        ("is available under the Apache 2.0", "apache-2.0"),
+        ("released under MIT", "mit"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(df).collect()}
+    assert all(want in got[i] for i, (_, want) in enumerate(rows)), got
+
+
 def test_license_scan_runs_no_python(spark, sf):
     plan = queries.op8_license_scan(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
