@@ -98,6 +98,53 @@ def iban(s: str, key: bytes) -> str | None:
     return "".join(" " if c == " " else next(new) for c in s)
 
 
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+
+
+def card_ends(text: str, m: re.Match) -> list[int]:
+    """Where a number that begins as `m` may end: the longest first, then before each digit group; a month of an expiry date comes last."""
+    ends = [m.end(), *(m.start() + g.start() for g in reversed(list(re.finditer("[ -]", m[0]))))]
+    return ends[1:] + ends[:1] if re.match(r"/\d", text[m.end() : m.end() + 2]) else ends
+
+
+def iban_ends(text: str, m: re.Match) -> list[int]:
+    """Where the country's length ends, if a group or word does, then the longest, then before each group."""
+    ends = [m.end(), *(m.start() + g.start() for g in reversed(list(re.finditer(" ", m[0]))))]
+    n = IBAN_LENGTHS.get(m[0][:2])
+    return sorted(ends, key=lambda e: len(text[m.start() : e].replace(" ", "")) != n)
+
+
+#: For kinds whose expression may take in what stands behind the value.
+ENDS: dict[str, Callable[[str, re.Match], list[int]]] = {"iban": iban_ends, "card": card_ends}
+
+
+def _moved(kind: str, pattern: re.Pattern, move: Callable[[str, bytes], str | None], text: str, key: bytes):
+    """(start, end, new value, kind) of the values of a kind, in order of place."""
+    if kind not in ENDS:
+        for m in pattern.finditer(text):
+            if (to := move(m[0], key)) is not None:
+                yield m.start(), m.end(), to, kind
+        return
+    at = 0
+    while m := pattern.search(text, at):
+        for end in ENDS[kind](text, m):
+            if (to := move(text[m.start() : end], key)) is not None:
+                yield m.start(), end, to, kind
+                at = end
+                break
+        else:  # a value may begin at the next group
+            at = m.start() + len(re.match(r"[^ -]+", m[0])[0])
+
+
 def ip(s: str, key: bytes) -> str | None:
     try:
         n = int(ipaddress.IPv4Address(s))
@@ -194,10 +241,7 @@ def pseudonymise_text(text: str | None, key: bytes) -> tuple[str | None, list[st
     for kind, pattern, move in KINDS:
         if not hints & GATES[kind]:
             continue
-        new = []
-        for m in pattern.finditer(text):
-            if (to := move(m[0], key)) is not None:
-                new.append((m.start(), m.end(), to, kind))
+        new = list(_moved(kind, pattern, move, text, key))
         if new and taken:
             marks = sorted(taken)
             k, free = 0, []

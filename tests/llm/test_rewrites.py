@@ -43,6 +43,22 @@ def test_what_fails_its_check_stays():
     assert pseudonyms.pseudonymise_text(text, KEY) == (text, [])
 
 
+@pytest.mark.parametrize(
+    ("kind", "value", "behind"),
+    [("card", "4111 1111 1111 1111", x) for x in (" 12/26", " 123", " 12/2026 123", " 5500 0000 0000 0004")]
+    + [("card", "4111-1111-1111-1111", "-12"), ("card", "3782 822463 10005", " 1234")]
+    + [("iban", "BE68 5390 0754 7034", x) for x in (" ABC", " KRED", " KREDBEBB", " 1 EUR")]
+    + [("iban", "AT61 1904 3002 3457 3201", " BIC"), ("iban", "DE89370400440532013000", " BIC")],
+)
+def test_values_with_more_behind_them(kind, value, behind):
+    key = pseudonyms._key("k")
+    move = dict((k, f) for k, _, f in pseudonyms.KINDS)[kind]
+    got, kinds = pseudonyms.pseudonymise_text(f"paid by {value}{behind} ok", key)
+    assert got.startswith(f"paid by {move(value, key)}{behind[0]}") and kinds[0] == kind and value not in got
+    ahead, _ = pseudonyms.pseudonymise_text(f"no 1205 {value}, ok", key)
+    assert ahead == f"no 1205 {move(value, key)}, ok"
+
+
 def test_pseudonyms_of_a_table(spark, sf):
     df = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "x@y.org", "c"), (3, "x@y.org", "c"), (None, "no data", "d"), (4, "z" * 300_000 + " x@y.org", "e")], "doc_id bigint, text string, N_PII string")
     out = pseudonyms.pseudonymise(df)
