@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,10 +15,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names; set a local one only where none is named."""
+    """Use the shared folder that the cluster names; one below the warehouse, which is shared too, where none is named."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "lumenreel-checkpoints"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -40,6 +38,11 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
+def columns_of(df: DataFrame, names: list[str] | None = None) -> list[Column]:
+    """Columns of df by name, whatever stands in the names."""
+    return [df["`" + c.replace("`", "``") + "`"] for c in (df.columns if names is None else names)]
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that clashes with no column of df, upper and lower case alike."""
     taken = {c.lower() for c in df.columns}

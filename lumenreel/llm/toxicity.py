@@ -1,65 +1,126 @@
 """Toxicity by class-conditional Kneser-Ney models over the bytes of words.
 
-Each class has its own discounted counts of byte n-grams, and both back off to one shared Kneser-Ney
-model of all labelled texts, so an expression that is rare in a class is judged by the shared counts
-and counts for neither side. As the shared probability of an n-gram that no class has seen cancels in
-the ratio of the two, scoring needs one table of seen n-grams and one of seen contexts.
-The log-likelihood ratio of a text is compared by the length of the text and of its words: its mean by
-byte, its mean excess by word, and that of its two strongest words, weighed by logistic regression
-on rows that gave no counts.
-
-Bound of the fit (everything else covers all rows and whole texts): at most MAX_ROWS labelled rows of
-each class by hash of the id, which also bounds what is broadcast. Of those all n-grams count. A class
-that is drawn in part has more weight in the regression by as much, so scores are probabilities at the
-classes' shares of all labelled rows, whatever the size of the input.
+Each class has its own discounted counts of byte n-grams within words, an n-gram counting once a text,
+and both back off to one shared Kneser-Ney model of all labelled texts: what a class has not seen more
+often than the discount keeps no mass of its own, so a rare expression is judged by the shared counts
+and speaks for neither side.
+
+A text's score compares length-normalised log-likelihoods: the toxic model's minus the ordinary model's,
+a word, over the whole text and over its most toxic passage of a few words. One logistic curve that
+rises in both turns them into a probability. The curve always exists: it is fitted to labelled texts,
+each measured with its own counts taken out, and drawn towards the curve that the class shares alone
+give; it equals the latter where a class has no text. Of DISCOUNTS and PASSAGES those with the smallest
+loss on these texts are taken.
+
+Bounds of the fit (everything else covers all rows and whole texts): at most MAX_ROWS labelled rows of
+each class by hash of the id give counts, which also bounds what is broadcast, and at most CURVE_ROWS
+of their texts, by hash of the text, the curve. All n-grams of the rows count. One that no class has
+more often than the discount has the shared probability in both models exactly, and is left out of the
+tables for that reason alone. A class that is drawn in part has more weight in the curve by as much, so
+scores are probabilities at the classes' shares of all labelled rows at every size of input.
+
+Null and empty texts have no words and get the score of the class shares. Copies of a text are learned
+from once; repeated rows get equal scores; of two marks of an id, and of copies with different marks,
+the toxic one counts. Very long texts are read PIECE bytes at a time and held as one number a word (a
+word is cut where it is longer than that). Empty tables give empty results, and extra columns stay.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_columns, map_arrow, text_bytes
+from .common import columns_of, keep_columns, map_arrow, materialize, text_bytes
 
 ORDER = 5
-DISCOUNTS = (1.0, 1.6, 2.2)  # of n-grams of one, two and more counts
+DISCOUNTS = (1.5, 3.0, 5.0)
+PASSAGES = (1, 3)  # words
 SHARED_DISCOUNT = 0.75
 THRESHOLD = 0.7
-MAX_ROWS = {0: 60_000, 1: 60_000}
-CALIBRATION = 5  # one labelled text in so many weighs the features
-EXCESS = 4.0
+MAX_ROWS = {0: 30_000, 1: 30_000}
+CURVE_ROWS = 10_000
+RIDGE = 0.1
 PIECE = 1 << 21
 
-_LOW = np.arange(256, dtype=np.uint8)
-_LOW[65:91] += 32
-_LOW[:33] = 32
+_LOW = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
+_BYTE = np.uint64(8)
 
 
-def _keys(b: np.ndarray, n: int) -> np.ndarray:
-    """The n bytes that end at each place, packed into one word; the last byte is the lowest."""
-    b = b.astype(np.uint64)
-    out = b.copy()
-    for k in range(1, n):
-        out[k:] |= b[:-k] << np.uint64(8 * k)
+@dataclass
+class Piece:
+    """Words of some texts: a space before the first word of each text and one behind every word."""
+
+    keys: np.ndarray  # the n-gram that ends at each byte, from the space before the word on; the last byte is the lowest
+    begin: np.ndarray  # of each word
+    end: np.ndarray  # the space behind it
+    doc: np.ndarray  # the place of each word's text in the list
+
+    def sums(self, ratio: np.ndarray) -> np.ndarray:
+        """What each word's bytes add up to."""
+        total = np.concatenate(([0.0], np.cumsum(ratio, dtype=np.float64)))
+        return total[self.end + 1] - total[self.begin]
+
+
+def pieces(texts: list[bytes | None]) -> Iterator[Piece]:
+    """The words of all texts in order, some megabytes at a time."""
+    held: list[tuple[int, bytes]] = []
+    size = 0
+    for k, text in enumerate(texts):
+        at = 0
+        while text and at < len(text):
+            end = len(text) if len(text) - at <= PIECE else text.rfind(b" ", at, at + PIECE) + 1 or at + PIECE
+            held.append((k, text[at:end]))
+            size, at = size + end - at, end
+            if size >= PIECE:
+                yield _piece(held)
+                held, size = [], 0
+    if held:
+        yield _piece(held)
+
+
+def _piece(held: list[tuple[int, bytes]]) -> Piece:
+    b = _LOW[np.frombuffer(b"".join(b" " + t + b" " for _, t in held), np.uint8)]
+    first = np.cumsum([0] + [len(t) + 2 for _, t in held[:-1]])
+    keep = np.ones(len(b), bool)
+    keep[1:] = (b[1:] != 32) | (b[:-1] != 32)
+    keep[first] = True
+    first = np.cumsum(keep)[first] - 1
+    b = b[keep]
+    space = np.flatnonzero(b == 32)
+    real = np.diff(space) > 1
+    begin, end = space[:-1][real] + 1, space[1:][real]
+    since = np.arange(len(b)) - np.repeat(np.concatenate(([0], space)), np.diff(np.concatenate(([0], space + 1, [len(b)]))))  # bytes since the space before
+    keys = b.astype(np.uint64)
+    for n in range(1, ORDER):
+        keys[n:] |= np.where(since[n:] >= n, b[:-n].astype(np.uint64) << np.uint64(8 * n), np.uint64(0))
+    return Piece(keys, begin, end, np.array([k for k, _ in held])[np.searchsorted(first, begin, "right") - 1])
+
+
+def passages(doc: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
+    """For each of n texts: the mean a word, and the largest sum of as many consecutive words as PASSAGES says (of all, where a text has fewer)."""
+    out = np.zeros((n, 1 + len(PASSAGES)))
+    if not len(doc):
+        return out
+    size = np.bincount(doc, minlength=n)
+    whole = np.bincount(doc, weights=word, minlength=n)
+    out[:, 0] = whole / np.maximum(size, 1)
+    start = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+    total = np.concatenate(([0.0], np.cumsum(word)))
+    for k, width in enumerate(PASSAGES, 1):
+        run = np.full(len(word), -np.inf)
+        if len(word) >= width:
+            inside = doc[width - 1 :] == doc[: len(doc) - width + 1]
+            run[: len(inside)] = np.where(inside, total[width:] - total[: len(total) - width], -np.inf)
+        out[doc[start], k] = np.maximum.reduceat(run, start)
+        out[:, k] = np.where(size < width, whole, out[:, k])
     return out
 
 
-def _pieces(texts: list[bytes | None]):
-    """Joined normalised texts and the place where each begins, some megabytes at a time; a space stands before and after each."""
-    held, size = [], 0
-    for i, t in enumerate(texts):
-        held.append((i, _LOW[np.frombuffer(b" " * ORDER + (t or b"") + b" ", np.uint8)]))
-        size += len(held[-1][1])
-        if size >= PIECE or i == len(texts) - 1:
-            starts = np.cumsum([0] + [len(x) for _, x in held])
-            yield held[0][0], np.concatenate([x for _, x in held]), starts
-            held, size = [], 0
-
-
 class Table:
     """A hash table of 64-bit keys for whole arrays: what collides goes to a next, smaller table."""
 
@@ -84,17 +145,12 @@ class Table:
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(value or 0, whether there is one)."""
         out, hit = np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
-        todo = None
+        todo = np.arange(len(keys))
         for salt, (bits, own, val) in enumerate(self.parts):
-            k = keys if todo is None else keys[todo]
-            at = self.slots(k, salt, bits)
-            same = own[at] == k
-            if todo is None:
-                out, hit = np.where(same, val[at], np.float32(0)), same
-                todo = np.flatnonzero(~same)
-            else:
-                out[todo[same]], hit[todo[same]] = val[at[same]], True
-                todo = todo[~same]
+            at = self.slots(keys[todo], salt, bits)
+            same = own[at] == keys[todo]
+            out[todo[same]], hit[todo[same]] = val[at[same]], True
+            todo = todo[~same]
             if not len(todo):
                 break
         return out, hit
@@ -102,118 +158,151 @@ class Table:
 
 @dataclass
 class Model:
+    """Log-likelihood ratios of seen n-grams and, for others, of their contexts; and the curve over (mean, passage, 1)."""
+
     grams: Table
     contexts: Table
-    weights: np.ndarray | None = None
-
-    def features(self, texts: list[bytes | None]) -> np.ndarray:
-        """Rows of (mean by byte, mean excess by word, strongest word, second, log of words, 1)."""
-        out = np.zeros((len(texts), 6))
-        for first, b, starts in _pieces(texts):
-            keys = _keys(b, ORDER)
-            llr, seen = self.grams.get(keys)
-            lost = np.flatnonzero(~seen)
-            llr[lost] = self.contexts.get(keys[lost] >> np.uint64(8))[0]
-            for s in starts[:-1]:
-                llr[s : s + ORDER] = 0
-            space = np.flatnonzero(b == 32)
-            begin = np.concatenate(([0], space[:-1] + 1))
-            word = np.add.reduceat(llr, begin, dtype=np.float64)
-            real = space > begin  # not a space alone
-            word = np.where(real, word, 0)
-            at = np.searchsorted(begin, starts[:-1])
-            n = np.maximum(np.add.reduceat(real.astype(np.int64), at), 1)
-            top = np.maximum.reduceat(word, at)
-            rest = word.copy()
-            doc = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(word))))
-            peak = np.flatnonzero(word == top[doc])
-            rest[peak[np.unique(doc[peak], return_index=True)[1]]] = 0
-            second = np.maximum.reduceat(rest, at)
-            rows = out[first : first + len(at)]
-            rows[:, 0] = 20 * np.add.reduceat(llr, starts[:-1], dtype=np.float64) / np.maximum(np.diff(starts) - ORDER, 1)
-            rows[:, 1] = np.log1p(20 * np.add.reduceat(np.maximum(word - EXCESS, 0), at) / n)
-            rows[:, 2], rows[:, 3], rows[:, 4], rows[:, 5] = np.maximum(top, 0) / 5, np.maximum(second, 0) / 5, np.log(n) / 3, 1
-        return out
+    weights: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0, 0.0]))
+    passage: int = 0  # which of PASSAGES
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
-        if self.weights is None:
-            return np.zeros(len(texts))
-        return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.weights, -40, 40)))
+        docs, words = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for p in pieces(texts):
+            ratio, seen = self.grams.get(p.keys)
+            lost = np.flatnonzero(~seen)
+            ratio[lost] = self.contexts.get(p.keys[lost] >> _BYTE)[0]
+            docs.append(p.doc), words.append(p.sums(ratio))
+        f = passages(np.concatenate(docs), np.concatenate(words), len(texts))[:, [0, 1 + self.passage]]
+        return 1 / (1 + np.exp(-np.clip(f @ self.weights[:2] + self.weights[2], -40, 40)))
 
 
-def count_grams(labelled: DataFrame) -> DataFrame:
-    """(gram, c0, c1) of all n-grams of `labelled` (text, toxic): counts by class, combined in each task before the shuffle."""
+@dataclass
+class Counts:
+    """Counts of n-grams by class, with what follows from them; `gram` and `context` are sorted."""
 
-    def run(batches):
-        held = [np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)]
+    gram: np.ndarray
+    count: np.ndarray  # (2, grams)
+    shared: np.ndarray  # shared probability of each n-gram's last byte
+    context: np.ndarray
+    of: np.ndarray  # context of each n-gram
+    size: np.ndarray  # (2, contexts)
+    free: dict[float, np.ndarray]  # by discount: counts that are backed off, (2, contexts)
+
+    @staticmethod
+    def made(gram: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> Counts:
+        count = np.stack((c0, c1)).astype(float)
+        levels, g, n = [(gram, count.sum(axis=0))], gram, ORDER
+        while n > 1:  # below the top, an n-gram counts by the different bytes seen before it
+            n -= 1
+            g, kinds = np.unique(g & np.uint64((1 << (8 * n)) - 1), return_counts=True)
+            levels.append((g, kinds.astype(float)))
+        levels.reverse()
+        p = None
+        for k, (g, c) in enumerate(levels):
+            _, ctx = np.unique(g >> _BYTE, return_inverse=True)
+            size, kinds = np.bincount(ctx, weights=c), np.bincount(ctx)
+            lower = np.full(len(g), 1 / 256) if p is None else p[np.searchsorted(levels[k - 1][0], g & np.uint64((1 << (8 * k)) - 1))]
+            p = (np.maximum(c - SHARED_DISCOUNT, 0) + SHARED_DISCOUNT * kinds[ctx] * lower) / size[ctx]
+        context, of = np.unique(gram >> _BYTE, return_inverse=True)
+        total = lambda values: np.stack([np.bincount(of, weights=v) for v in values])
+        return Counts(gram, count, p, context, of, total(count), {d: total(np.minimum(count, d)) for d in DISCOUNTS})
+
+    def common(self) -> Counts:
+        """Without the n-grams that no class has twice; the others, and all contexts, stay as they are."""
+        keep = self.count.max(axis=0) > 1
+        keep[:1] = True
+        return Counts(self.gram[keep], self.count[:, keep], self.shared[keep], self.context, self.of[keep], self.size, self.free)
+
+    def tables(self, discount: float) -> tuple[Table, Table]:
+        size, free = self.size, self.free[discount]
+        back = np.where(size > 0, free / np.maximum(size, 1), 1)
+        keep = self.count.max(axis=0) > discount
+        of = self.of[keep]
+        p = np.maximum(self.count[:, keep] - discount, 0) / np.maximum(size[:, of], 1) + back[:, of] * self.shared[keep]
+        ratio, rest = np.log(p[1] / p[0]), np.log(back[1] / back[0])
+        some = rest != 0
+        return Table(self.gram[keep], ratio.astype(np.float32)), Table(self.context[some], rest[some].astype(np.float32))
+
+    def without(self, text: bytes, toxic: int) -> np.ndarray:
+        """Features of a counted text by each discount, its own counts taken out: (discounts, 1 + passages)."""
+        found = list(pieces([text]))
+        keys = np.concatenate([p.keys for p in found] or [np.zeros(0, np.uint64)])
+        out = np.zeros((len(DISCOUNTS), 1 + len(PASSAGES)))
+        if not len(keys):
+            return out
+        gram, inverse = np.unique(keys, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.gram, gram), len(self.gram) - 1)
+        hit = self.gram[at] == gram
+        ctx = np.minimum(np.searchsorted(self.context, gram >> _BYTE), len(self.context) - 1)
+        known = self.context[ctx] == gram >> _BYTE  # all but the space before the text
+        own = np.where(hit, self.count[toxic][at], 1.0)
+        here, which = np.unique(ctx, return_inverse=True)
+        fewer = np.bincount(which, weights=known)[which]
+        for k, d in enumerate(DISCOUNTS):
+            logs = []
+            for c in (0, 1):
+                size, free, count = self.size[c][ctx], self.free[d][c][ctx], self.count[c][at]
+                if c == toxic:
+                    size, count = size - fewer, count - 1
+                    free = free - np.bincount(which, weights=known * (np.minimum(own, d) - np.minimum(own - 1, d)))[which]
+                back = np.where((size > 0) & known, np.maximum(free, 1e-9) / np.maximum(size, 1), 1)
+                logs.append(np.log(np.where(hit, np.where(size > 0, np.maximum(count - d, 0) / np.maximum(size, 1), 0) + back * self.shared[at], back)))
+            ratio = (logs[1] - logs[0])[inverse]
+            place, words = 0, []
+            for p in found:
+                words.append(p.sums(ratio[place : place + len(p.keys)]))
+                place += len(p.keys)
+            out[k] = passages(np.concatenate([p.doc for p in found]), np.concatenate(words), 1)[0]
+        return out
 
-        def add(keys: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> None:
-            keys = np.concatenate((held[0], keys))
-            order = np.argsort(keys, kind="stable")
-            keys = keys[order]
-            new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            held[0] = keys[new]
-            held[1], held[2] = (np.add.reduceat(np.concatenate(p)[order], new) for p in ((held[1], c0), (held[2], c1)))
+
+def count_grams(texts: DataFrame) -> DataFrame:
+    """(gram, c0, c1) of all n-grams of `texts` (text, toxic): in how many texts of each class, combined in each task before the shuffle."""
+
+    def run(batches):
+        held, size = [[], []], 0
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(held[0].view(np.int64)), pa.array(held[1]), pa.array(held[2])], ["gram", "c0", "c1"])
+            u = [np.unique(np.concatenate([np.zeros(0, np.uint64), *h]), return_counts=True) for h in held]
+            gram = np.union1d(u[0][0], u[1][0])
+            count = [np.zeros(len(gram), np.int64) for _ in u]
+            for (g, n), c in zip(u, count, strict=True):
+                c[np.searchsorted(gram, g)] = n
+            return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), *map(pa.array, count)], ["gram", "c0", "c1"])
 
         for b in batches:
-            toxic = b.column(1).to_numpy(zero_copy_only=False)
-            texts = b.column(0).to_pylist()
-            for c in (0, 1):
-                for _, buf, starts in _pieces([t for t, x in zip(texts, toxic, strict=True) if x == c]):
-                    keys = _keys(buf, ORDER)
-                    own = np.ones(len(keys), bool)
-                    for s in starts[:-1]:
-                        own[s : s + ORDER] = False
-                    u, n = np.unique(keys[own], return_counts=True)
-                    add(u, n if c == 0 else np.zeros_like(n), n if c else np.zeros_like(n))
-            if len(held[0]) > 2_000_000:
-                yield out()
-                held[:] = [np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)]
-        if len(held[0]):
+            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                grams = np.unique(np.concatenate([np.zeros(0, np.uint64), *[np.unique(p.keys) for p in pieces([text])]]))
+                grams = grams[grams != 32]  # the space before the text
+                held[y].append(grams)
+                size += len(grams)
+                if size > 4_000_000:
+                    yield out()
+                    held, size = [[], []], 0
+        if size:
             yield out()
 
-    rows = labelled.select(text_bytes(labelled).alias("text"), F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "gram bigint, c0 bigint, c1 bigint")
+    rows = texts.select(text_bytes(texts).alias("text"), F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "gram bigint, c0 bigint, c1 bigint")
     return rows.groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
 
 
-def build(gram: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> Model:
-    """The tables of log-likelihood ratios from counts; gram is sorted."""
-    total = (c0 + c1).astype(float)
-    levels, g, n = [(gram, total)], gram, ORDER
-    while n > 1:  # below the top, an n-gram counts by the different bytes seen before it
-        n -= 1
-        g, kinds = np.unique(g & np.uint64((1 << (8 * n)) - 1), return_counts=True)
-        levels.append((g, kinds.astype(float)))
-    levels.reverse()
-    p = None
-    for k, (g, c) in enumerate(levels):
-        _, ctx = np.unique(g >> np.uint64(8), return_inverse=True)
-        size, kinds = np.bincount(ctx, weights=c), np.bincount(ctx)
-        lower = np.full(len(g), 1 / 256) if p is None else p[np.searchsorted(levels[k - 1][0], g & np.uint64((1 << (8 * k)) - 1))]
-        p = (np.maximum(c - SHARED_DISCOUNT, 0) + SHARED_DISCOUNT * kinds[ctx] * lower) / size[ctx]
-    contexts, ctx = np.unique(gram >> np.uint64(8), return_inverse=True)
-    llr, back = np.zeros(len(gram)), np.zeros(len(contexts))
-    for sign, c in ((-1, c0), (1, c1)):
-        off = np.where(c <= 1, DISCOUNTS[0], np.where(c == 2, DISCOUNTS[1], DISCOUNTS[2]))
-        size, free = np.bincount(ctx, weights=c), np.bincount(ctx, weights=np.minimum(off, c))
-        share = np.where(size > 0, free / np.maximum(size, 1), 1)
-        own = np.where(size[ctx] > 0, np.maximum(c - off, 0) / np.maximum(size[ctx], 1), 0)
-        llr += sign * np.log(np.maximum(own + share[ctx] * p, 1e-30))
-        back += sign * np.log(np.maximum(share, 1e-30))
-    return Model(Table(gram, llr.astype(np.float32)), Table(contexts, back.astype(np.float32)))
-
-
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.01, rounds: int = 80) -> np.ndarray:
-    w = np.zeros(x.shape[1])
-    for _ in range(rounds):
+def curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Weights (mean, passage, 1) of a logistic curve that falls in neither feature, drawn towards `start`."""
+    x = np.column_stack((x, np.ones(len(x))))
+    w = start.copy()
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (weight * (p - y)) + ridge * w)
-        w -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-6:
+        slope = x.T @ (weight * (p - y)) + RIDGE * (w - start)
+        bend = (x * (weight * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(3)
+        move = np.ones(3, bool)
+        move[:2] = (w[:2] > 0) | (slope[:2] < 0)
+        step = np.zeros(3)
+        step[move] = np.clip(np.linalg.solve(bend[np.ix_(move, move)], slope[move]), -3, 3)
+        new = w - step
+        new[:2] = np.maximum(new[:2], 0)
+        if np.abs(new - w).max() < 1e-7:
             break
+        w = new
     return w
 
 
@@ -234,36 +323,63 @@ def learning_rows(labels: DataFrame, max_rows: dict[int, int] = MAX_ROWS) -> Dat
     return by_hash(0).unionAll(by_hash(1))
 
 
+def _learning_texts(docs: DataFrame, few: DataFrame) -> DataFrame:
+    """(text, toxic) of the rows to learn from, each different text once."""
+    named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("text").isNotNull()).join(F.broadcast(few), "doc_id")
+    named = named.select("doc_id", "text", "toxic", F.xxhash64("text").alias("h"))
+    one = named.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))  # no more rows than `few` but for repeated ids
+    return named.drop("toxic").join(one, ["h", "doc_id"]).dropDuplicates(["h"]).select("text", "toxic")
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_rows: dict[int, int] = MAX_ROWS) -> Model:
-    """Learn from the texts of `docs` (doc_id, text) that `labels` (doc_id, toxic) marks. Without texts of both classes the model scores 0."""
-    few = F.broadcast(learning_rows(labels, max_rows))  # at most max_rows rows of each class
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(few, "doc_id").select("text", "toxic")
-    part = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(CALIBRATION))  # by text, so that no copy of a counted text weighs features
-    grams = count_grams(rows.where(part != 0)).toArrow()
+    """Learn from the texts of `docs` (doc_id, text) that `labels` (doc_id, toxic) marks. Without any the score is 0.5 throughout."""
+    texts = materialize(_learning_texts(docs, learning_rows(labels, max_rows)))
+    grams = count_grams(texts).toArrow()
     if not grams.num_rows:
-        return Model(Table(np.empty(0, np.uint64), np.empty(0)), Table(np.empty(0, np.uint64), np.empty(0)))
+        return Model(*[Table(np.zeros(0, np.uint64), np.zeros(0)) for _ in range(2)])
     gram, c0, c1 = (grams.column(c).to_numpy() for c in ("gram", "c0", "c1"))
     gram = gram.astype(np.int64).view(np.uint64)
     order = np.argsort(gram)
-    model = build(gram[order], c0[order], c1[order])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    counts = Counts.made(gram[order], c0[order], c1[order]).common()
+
+    marked = dict(marked_rows(labels).groupBy("toxic").count().collect())
+    drawn = np.array([max(1, marked.get(c, 0) / max_rows[c]) for c in (0, 1)])  # marked rows for each one drawn
+    prior = np.log((marked.get(1, 0) + 0.5) / (marked.get(0, 0) + 0.5))
+    start = np.array([0.0, 1.0, prior - 1])
+    sizes = dict(texts.groupBy("toxic").count().collect())
+    measured = _measure(texts, counts, sizes)
+    y = measured.column("toxic").to_numpy().astype(int)
+    if len(set(y.tolist())) < 2:
+        return Model(*counts.tables(DISCOUNTS[0]), weights=start)
+    weight = np.array([drawn[c] * max(1, sizes[c] / CURVE_ROWS) for c in (0, 1)])[y]
+    weight = weight * len(weight) / weight.sum()
+    best = []
+    for k, discount in enumerate(DISCOUNTS):
+        for j in range(len(PASSAGES)):
+            x = np.column_stack([measured.column(f"f{k}_0").to_numpy(), measured.column(f"f{k}_{1 + j}").to_numpy()])
+            order = np.lexsort((y, *x.T))
+            w = curve(x[order], y[order], weight[order], start)
+            z = np.clip(x @ w[:2] + w[2], -40, 40)
+            best.append((float((weight * np.logaddexp(0, np.where(y == 1, -z, z))).mean()), discount, j, w))
+    _, discount, passage, w = min(best, key=lambda b: b[:3])
+    return Model(*counts.tables(discount), weights=w, passage=passage)
+
+
+def _measure(texts: DataFrame, counts: Counts, sizes: dict[int, int]) -> pa.Table:
+    """toxic and the features by each discount of at most CURVE_ROWS learning texts of each class, their own counts taken out."""
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+    names = [f"f{k}_{j}" for k in range(len(DISCOUNTS)) for j in range(1 + len(PASSAGES))]
 
     def measure(b: pa.RecordBatch) -> pa.RecordBatch:
-        f = shared.value.features(b.column(0).to_pylist())
-        return pa.RecordBatch.from_arrays([b.column(1), *[pa.array(f[:, k]) for k in range(6)]], ["toxic", *[f"f{k}" for k in range(6)]])
-
-    names = [f"f{k}" for k in range(6)]
-    sample = rows.where(part == 0).select(text_bytes(rows).alias("text"), "toxic")
-    held = map_arrow(sample, measure, "toxic int, " + ", ".join(f"{f} double" for f in names)).groupBy("toxic", *names).count().toArrow()  # copies are one row
-    y = held.column("toxic").to_numpy().astype(float)
-    if len(set(y.tolist())) == 2:
-        of_all = dict(marked_rows(labels).groupBy("toxic").count().collect())
-        drawn = np.array([max(1, of_all[c] / max_rows[c]) for c in (0, 1)])  # marked rows for each one drawn
-        weight = held.column("count").to_numpy() * drawn[y.astype(int)]
-        x = np.column_stack([held.column(f).to_numpy() for f in names])
-        order = np.lexsort((y, *x.T))
-        model.weights = logistic(x[order], y[order], (weight * held.column("count").to_numpy().sum() / weight.sum())[order])
-    return model
+        y = b.column(1)
+        f = np.array([shared.value.without(t, c) for t, c in zip(b.column(0).to_pylist(), y.to_pylist(), strict=True)]).reshape(b.num_rows, len(names))
+        return pa.RecordBatch.from_arrays([y, *[pa.array(f[:, k]) for k in range(len(names))]], ["toxic", *names])
+
+    thin = F.lit(1.0)
+    for c, n in sizes.items():
+        thin = F.when(F.col("toxic") == c, F.lit(min(1.0, CURVE_ROWS / n))).otherwise(thin)
+    some = texts.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 20)) < thin * (1 << 20))
+    return map_arrow(some.select(text_bytes(some).alias("text"), "toxic"), measure, "toxic int, " + ", ".join(f"{n} double" for n in names)).toArrow()
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -277,6 +393,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def of(texts: pa.Array) -> pa.Array:
         return pa.array(shared.value.scores(texts.to_pylist()))
 
-    cols = keep_columns(docs, ["score", "predicted"])
-    scored = docs.select(*cols, of(text_bytes(docs)).alias("score"))
+    scored = docs.select(*columns_of(docs, keep_columns(docs, ["score", "predicted"])), of(text_bytes(docs)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -1,8 +1,12 @@
 """op3, op6 and op9: held-out accuracy, planted cases and edge cases."""
 
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lumenreel.llm import decontaminate, langid, queries, toxicity
@@ -38,6 +42,88 @@ def test_toxicity_edge_cases(spark):
     assert toxicity.score(df, toxicity.fit(df.limit(0), labels.limit(0))).count() == len(ODD)
 
 
+def plain_scores(texts, marks, discount):
+    """Kneser-Ney class models over bytes, count by count, and their log-likelihood ratios of words; each text's own counts left in."""
+
+    def grams(text):
+        return [(f" {w} ".encode()[max(0, i - toxicity.ORDER + 1) : i + 1]) for w in re.findall("[a-z0-9]+", text.lower()) for i in range(1, len(w.encode()) + 2)]
+
+    count = [Counter(), Counter()]
+    for t, y in {t: y for t, y in zip(texts, marks, strict=True)}.items():
+        count[y].update(set(grams(t)))
+    seen = [{}, {}, {}, {}, dict(count[0] + count[1])]
+    full = set(seen[4])
+    levels = [full]
+    for n in range(toxicity.ORDER - 1, 0, -1):
+        levels.append({(g if len(g) <= n else g[-n:]) for g in levels[-1]})
+
+    def key(g):  # what a packed n-gram keeps of shorter ones: a missing byte is byte 0
+        return b"\0" * (toxicity.ORDER - len(g)) + g
+
+    def shared(g):
+        p = 1 / 256
+        for n in range(1, toxicity.ORDER + 1):
+            longer = {key(x)[-(n + 1) :] for x in full} if n < toxicity.ORDER else None
+            c = Counter(x[1:] for x in longer) if longer is not None else Counter({key(x): v for x, v in seen[4].items()})
+            h = key(g)[-n:-1] if n > 1 else b""
+            same = {x: v for x, v in c.items() if x[:-1] == h}
+            size = sum(same.values())
+            p = (max(same.get(key(g)[-n:], 0) - toxicity.SHARED_DISCOUNT, 0) + toxicity.SHARED_DISCOUNT * len(same) * p) / size
+        return p
+
+    def ratio(g):
+        logs = []
+        for c in (0, 1):
+            same = {x: v for x, v in count[c].items() if x[:-1] == g[:-1] }
+            size = sum(same.values())
+            back = sum(min(discount, v) for v in same.values()) / size if size else 1
+            logs.append(math.log((max(same.get(g, 0) - discount, 0) / size if size else 0) + back * shared(g)) if g in full else math.log(back))
+        return logs[1] - logs[0]
+
+    return lambda text: [sum(ratio(g) for g in grams(w)) for w in re.findall("[a-z0-9]+", text.lower())]
+
+
+def test_toxicity_ratios_are_those_of_a_plain_kneser_ney():
+    texts = ["you fool, you fool", "the fool of a man", "a fine man here", "the fine tree", "foolish man", "such a fool here", "a tree here", "that fine fool"]
+    marks = [1, 1, 0, 0, 1, 1, 0, 1]
+    held = [np.concatenate([np.unique(p.keys) for p in toxicity.pieces([t.encode()])]) for t in texts]
+    gram = np.unique(np.concatenate(held))
+    gram = gram[gram != 32]
+    c = [sum(np.isin(gram, h).astype(int) for h, y in zip(held, marks, strict=True) if y == k) for k in (0, 1)]
+    counts = toxicity.Counts.made(gram, *c).common()
+    for discount in toxicity.DISCOUNTS[:2]:
+        grams, contexts = counts.tables(discount)
+        want = plain_scores(texts, marks, discount)
+        for text in (*texts, "a fooled tree", "xyz foo"):
+            got = []
+            for p in toxicity.pieces([text.encode()]):
+                r, seen = grams.get(p.keys)
+                r = np.where(seen, r, contexts.get(p.keys >> np.uint64(8))[0])
+                got += list(p.sums(r))
+            assert np.allclose(got, want(text), atol=1e-4), (text, got, want(text))
+
+
+def test_toxicity_of_few_labels(spark, sf):
+    """Small tables and one-sided marks still give a score to every text by what it says."""
+    rows = queries.op3_toxicity(spark, sf).join(read(spark, sf, "labels"), "doc_id").where("held_out and toxic is not null").collect()
+    assert len({r["score"] for r in rows}) > 0.8 * len(rows)
+    scores = {k: [r["score"] for r in rows if r["toxic"] == k] for k in (0, 1)}
+    assert sum(a < b for a in scores[0] for b in scores[1]) > 0.6 * len(scores[0]) * len(scores[1])
+    assert any(r["predicted"] == 1 and r["toxic"] == 1 for r in rows)
+    df = spark.createDataFrame([(i, ("you vile worm " if i % 2 else "what a fine day ") + f"no {i}") for i in range(60)], "doc_id bigint, text string")
+    out = {c: {r["doc_id"]: r["score"] for r in toxicity.score(df, toxicity.fit(df, df.selectExpr("doc_id", f"cast({c} as int) as toxic"))).collect()} for c in ("doc_id % 2", "1", "null")}
+    assert all(out["doc_id % 2"][i] > 0.7 > out["doc_id % 2"][i + 1] for i in range(1, 59, 2))
+    assert len(set(out["1"].values())) > 1 and set(out["null"].values()) == {0.5}
+    one = toxicity.score(spark.createDataFrame([(1, "a vile worm and 7 words more"), (2, "a vile worm and a vile worm more")], "doc_id bigint, text string"), toxicity.fit(df, df.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic"))).collect()
+    assert one[1]["score"] >= one[0]["score"] - 0.05  # a second expression does not speak against the first
+
+
+def test_dotted_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "you vile worm", 1, 2), (2, None, 3, 4)], "doc_id bigint, text string, `a.b` int, SCORE int")
+    model = toxicity.fit(df, spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, toxic int"))
+    assert toxicity.score(df, model).columns == ["doc_id", "text", "a.b", "score", "predicted"]
+
+
 def test_toxicity_of_a_thinned_class(spark):
     """Scores are those of the classes' natural shares, however few rows of one class are drawn."""
     rng = random.Random(5)
