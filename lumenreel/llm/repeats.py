@@ -15,8 +15,13 @@ documents, and nothing crosses a document.
 3. The chunks learn by one or two bits a name what was found, and apply it.
 
 What leaves a chunk is arrays of names, ten bytes each, with one row for a chunk and bucket; a name
-that a third of the corpus holds is sent once a chunk. Names have 80 bits of hash (48 + 32 for
-anchors), so strings are taken as equal without a look at the units again.
+that a third of the corpus holds is sent once a chunk. Names have 80 bits of hash: 48 of one hash and
+32 of another with a base and units of its own, for anchors (string and context) and for windows alike.
+Strings with equal names are taken as equal without a look at the units again.
+
+Documents are chunked in the order of id and text within each partition of the input, so a task that is
+run again deals the same chunks. A text longer than a chunk is a chunk of its own; a task needs some 80
+bytes of memory for each byte of its chunk, so a text of 20 MB is about the longest for a 2 GB worker.
 """
 
 from __future__ import annotations
@@ -33,8 +38,8 @@ from pyspark.sql import functions as F
 
 from .common import mix64, text_bytes
 
-BASE = 0x9E3779B97F4A7C15 | 1
-LEAST_CHUNK, MOST_CHUNK = 1 << 20, 1 << 25
+BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+LEAST_CHUNK, MOST_CHUNK = 1 << 20, 1 << 22
 _U = np.uint64
 
 
@@ -57,25 +62,21 @@ def difference_cover(q: int) -> tuple[int, np.ndarray]:
 
 
 @lru_cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**k and its inverse modulo 2**64, for k up to n."""
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**k and its inverse modulo 2**64, for k up to n."""
     out = []
-    for base in (BASE, pow(BASE, -1, 1 << 64)):
+    for b in (base, pow(base, -1, 1 << 64)):
         p = np.ones(n + 1, _U)
-        p[1:] = base
+        p[1:] = b
         out.append(np.multiply.accumulate(p))
     return out[0], out[1]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(20, int(n).bit_length()))
-
-
 class Hashes:
     """Hashes of any stretch of an array of 64-bit units."""
 
-    def __init__(self, units: np.ndarray) -> None:
-        p, self.inverse = powers(len(units))
+    def __init__(self, units: np.ndarray, base: int = BASES[0]) -> None:
+        p, self.inverse = _powers(base, 1 << max(20, len(units).bit_length()) if len(units) > MOST_CHUNK else MOST_CHUNK)
         self.sums = np.zeros(len(units) + 1, _U)
         np.cumsum(units * p[: len(units)], out=self.sums[1:])
 
@@ -83,18 +84,19 @@ class Hashes:
         return mix64((self.sums[stop] - self.sums[start]) * self.inverse[start])
 
 
-_BYTE_UNITS = mix64(np.arange(1, 257, dtype=_U) * _U(0xD6E8FEB86659FD93)) | _U(1)
+_BYTE_UNITS = [mix64(np.arange(1, 257, dtype=_U) * _U(k)) | _U(1) for k in (0xD6E8FEB86659FD93, 0xA3B195354A39B70D)]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 @dataclass(frozen=True)
 class Kind:
-    """What is a unit, how long a repeat is, and the cover."""
+    """What is a unit, how long a repeat is, the cover, and how many of the first hash's 48 bits count (fewer in tests of the second)."""
 
     words: bool
     length: int
     q: int
+    bits: int = 48
 
     @property
     def v(self) -> int:
@@ -117,7 +119,7 @@ class Chunk:
     def __post_init__(self) -> None:
         if not self.kind.words:
             self.bounds = np.concatenate(([0], self.ends))
-            self.hashes = Hashes(_BYTE_UNITS[self.raw])
+            self.hashes, self.second = (Hashes(u[self.raw], b) for u, b in zip(_BYTE_UNITS, BASES, strict=True))
             return
         space = np.ones(len(self.raw) + 2, bool)
         space[1:-1] = _SPACE[self.raw]
@@ -129,10 +131,14 @@ class Chunk:
         places = np.flatnonzero(edges)
         places = np.sort(np.concatenate((places, joined, joined)))
         self.word_start, self.word_stop = places[0::2], places[1::2]
-        by_byte = Hashes(_BYTE_UNITS[self.raw])
-        self.hashes = Hashes(by_byte.of(self.word_start, self.word_stop) ^ (self.word_stop - self.word_start).astype(_U))
+        size = (self.word_stop - self.word_start).astype(_U)
+        self.hashes, self.second = (Hashes(Hashes(u[self.raw], b).of(self.word_start, self.word_stop) ^ size, b) for u, b in zip(_BYTE_UNITS, BASES, strict=True))
         self.bounds = np.searchsorted(self.word_start, np.concatenate(([0], self.ends)))
 
+    @property
+    def mask(self) -> np.uint64:
+        return _U(((1 << self.kind.bits) - 1) << (64 - self.kind.bits))
+
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(first, last, anchor name, context name): windows first..last hold the anchor; only anchors of which there are some."""
         k, (v, places) = self.kind, difference_cover(self.kind.q)
@@ -149,18 +155,18 @@ class Chunk:
             return none, none, none, none.astype(_U), none.astype(_U)
         at, begin, end = np.concatenate(at), np.concatenate(begin), np.concatenate(end)
         first, last = np.maximum(begin, at - v + 1), np.minimum(at, end - k.length)
-        name = self.hashes.of(at, at + k.least)
+        name = self.hashes.of(at, at + k.least) & self.mask
         stop = np.minimum(end, at + k.length)
-        context = mix64(self.hashes.of(first, stop) + (at - first).astype(_U) * _U(0xA0761D6478BD642F) + (stop - at).astype(_U) * _U(0xE7037ED1A0B428DB))
+        context = mix64(self.second.of(first, stop) + (at - first).astype(_U) * _U(0xA0761D6478BD642F) + (stop - at).astype(_U) * _U(0xE7037ED1A0B428DB))
         return at, first, last, name, context
 
-    def windows(self, open_first: np.ndarray, open_last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of the windows of all these ranges, each once, and their names."""
+    def windows(self, open_first: np.ndarray, open_last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of the windows of all these ranges, each once, and both parts of their names."""
         mark = np.zeros(self.bounds[-1] + 2, np.int32)
         np.add.at(mark, open_first, 1)
         np.add.at(mark, open_last + 1, -1)
         start = np.flatnonzero(np.cumsum(mark) > 0)
-        return start, self.hashes.of(start, start + self.kind.length)
+        return start, self.hashes.of(start, start + self.kind.length) & self.mask, self.second.of(start, start + self.kind.length)
 
     def covered(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Of each unit, whether it lies in a window that starts in one of the ranges."""
@@ -251,7 +257,8 @@ def chunks(docs: DataFrame, size: int) -> DataFrame:
         if held:
             yield out()
 
-    return docs.select(F.spark_partition_id().cast("bigint").alias("part"), F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes(docs).alias("text")).mapInArrow(run, CHUNK)
+    ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes(docs).alias("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    return ordered.select(F.spark_partition_id().cast("bigint").alias("part"), "doc_id", "text").mapInArrow(run, CHUNK)
 
 
 def _open(b: pa.RecordBatch, r: int, kind: Kind) -> Chunk:
@@ -336,23 +343,22 @@ def find(docs: DataFrame, kind: Kind, finish, schema: str) -> DataFrame:
         a, _, _, which = pack(name, context)
         settled, is_open = _bits(cell, a, buckets)
         settled, is_open = settled[which], is_open[which]
-        start, window = c.windows(first[is_open], last[is_open])
-        return first[settled], last[settled], start, window
+        return first[settled], last[settled], *c.windows(first[is_open], last[is_open])
 
     def name_windows(batches):
         for batch in batches:
             for r in range(batch.num_rows):
-                *_, window = opened(_open(batch, r, kind), batch.column("anchored")[r].as_py())
+                *_, window, second = opened(_open(batch, r, kind), batch.column("anchored")[r].as_py())
                 if len(window):
-                    a, b, several, _ = pack(window, mix64(window))
+                    a, b, several, _ = pack(window, second)
                     yield _name_rows(batch.column("chunk")[r].as_py(), a, b, several, buckets)
 
     def apply(batches):
         for batch in batches:
             for r in range(batch.num_rows):
                 c = _open(batch, r, kind)
-                first, last, start, window = opened(c, batch.column("anchored")[r].as_py())
-                a, _, _, which = pack(window, mix64(window))
+                first, last, start, window, second = opened(c, batch.column("anchored")[r].as_py())
+                a, _, _, which = pack(window, second)
                 start = start[_bits(batch.column("windowed")[r].as_py(), a, buckets)[0][which]]
                 covered = c.covered(np.concatenate((first, start)), np.concatenate((last, start)))
                 yield finish(batch.column("ids")[r].as_py(), c, covered)
@@ -372,7 +378,8 @@ def repeated_bytes(docs: DataFrame, kind: Kind = BYTES) -> DataFrame:
 
     (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept: binary) for each row of `docs` (doc_id,
     text). Null texts count as empty; repeated rows and null ids are texts like all others; extra
-    columns are not returned.
+    columns are not returned. Rows of one text are all reduced, none is kept whole. An empty table
+    gives an empty one; for very long texts see the head of the module.
     """
 
     def finish(ids, c: Chunk, covered: np.ndarray) -> pa.RecordBatch:
@@ -392,7 +399,8 @@ def repeated_words(docs: DataFrame, kind: Kind = WORDS) -> DataFrame:
 
     (doc_id, n_words, n_removed, kept_sha256, kept: binary, the kept words joined by one space) for each row of
     `docs` (doc_id, text). Null texts have no words; repeated rows and null ids are texts like all
-    others; extra columns are not returned.
+    others; extra columns are not returned. Rows of one text are all reduced, none is kept whole. An empty table
+    gives an empty one; for very long texts see the head of the module.
     """
 
     def finish(ids, c: Chunk, covered: np.ndarray) -> pa.RecordBatch:

@@ -79,6 +79,21 @@ def test_small_alphabet(spark):
     assert got(repeats.repeated_words(df, kind)) == expected_words(rows, 15)
 
 
+def test_first_hash_of_no_use(spark):
+    """With every first hash equal, the second alone keeps different strings apart."""
+    rows = fixture(7)[10:]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert got(repeats.repeated_bytes(df, repeats.Kind(False, 200, 11, bits=0))) == expected_bytes(rows, 200)
+    assert got(repeats.repeated_words(df, repeats.Kind(True, 35, 3, bits=0))) == expected_words(rows, 35)
+
+
+def test_a_text_longer_than_a_chunk(spark):
+    rng = random.Random(9)
+    long = "".join(rng.choices("abcdefgh ", k=repeats.MOST_CHUNK + 1000))
+    df = spark.createDataFrame([(1, long), (2, long[-300:]), (3, "x")], "doc_id bigint, text string")
+    assert {(r["doc_id"], r["n_removed"]) for r in repeats.repeated_bytes(df).collect()} == {(1, 300), (2, 300), (3, 0)}
+
+
 def test_kept_text_is_what_the_hash_says(spark):
     df = spark.createDataFrame(fixture(), "doc_id bigint, text string")
     for r in repeats.repeated_bytes(df).collect():
