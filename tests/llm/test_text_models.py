@@ -175,6 +175,47 @@ def test_leaks_of_whole_items_are_found(spark):
     assert len({d for d, _ in got}) < 0.1 * docs.count()  # others are left alone
 
 
+def changed(rng, words, share):
+    """The words with so many of them replaced, left out or followed by another."""
+    out = list(words)
+    for at in rng.sample(range(len(out)), int(share * len(out))):
+        out[at] = rng.choice([rng.choice(PLAIN), "", out[at] + " " + rng.choice(PLAIN)])
+    return " ".join(w for w in out if w)
+
+
+PLAIN = [a + b for a in ("ta", "ri", "mo", "ke", "lu", "so", "ne", "di") for b in ("n", "ra", "s", "mel", "to", "vik", "l", "dor")]
+
+
+def test_recall_of_paraphrases_by_length_and_rank(spark):
+    """Against the verifying rules alone, applied to every document and item, with nothing searched before."""
+    rng = random.Random(11)
+    own = ["".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(4000)]
+    pick = lambda n: [rng.choice(PLAIN) if rng.random() < 0.5 else rng.choice(own) for _ in range(n)]
+    lengths = [6, 9, 14, 20, 36, 60, 150, 400, 700]
+    items = [(k, " ".join(pick(lengths[k % len(lengths)]))) for k in range(90)]
+    docs = [(1000 + k, " ".join(pick(rng.randint(20, 300)))) for k in range(200)]
+    docs += [(k, " ".join([*pick(rng.randint(0, 90)), changed(rng, t.split(), (0, 0.1, 0.25)[k % 3]), *pick(rng.randint(0, 90))])) for k, t in items]
+    df, bench = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4), spark.createDataFrame(items, "item_id bigint, text string")
+    want = set()
+    for d, t in docs:
+        w = decontaminate.words_of(t.encode())
+        for q, item in items:
+            x = decontaminate.words_of(item.encode())
+            n = len(x)
+            for s in range(0, max(1, len(w)), max(1, n // 4)):  # places of the length of the item and a quarter
+                part = w[s : s + n + n // 2]
+                share = decontaminate.lcs_length(x, part) / n
+                if share >= decontaminate.LCS_SURE or share >= decontaminate.LCS_LEAST and decontaminate.lcs_length(x[-5:], part) >= 3:
+                    want.add((d, q))
+    found = {}
+    for rank in (256, 32):
+        found[rank] = {(r["doc_id"], r["item_id"]) for r in decontaminate.with_hits(df, bench, "h", rank).select("doc_id", F.explode("h").alias("h")).select("doc_id", "h.item_id").collect()}
+        print("rank", rank, "found", len(found[rank] & want), "of", len(want), "beyond", len(found[rank] - want), "missed", sorted((d, q, lengths[q % len(lengths)]) for d, q in want - found[rank]))
+    planted = {(k, k) for k, _ in items}
+    assert len(found[256] & want) >= 0.95 * len(want) and len(want & planted) > 60
+    assert len({d for d, _ in found[256] if d >= 1000}) <= 10
+
+
 def test_paraphrases_and_edge_cases(spark):
     items = [(k, " ".join(f"w{k}a{j}" for j in range(30))) for k in range(12)] + [(50, None), (51, ""), (52, "too few words"), (3, "w3a0 w3a1 w3a2 w3a3 w3a4 w3a5")]
     loose = items[4][1].split()
@@ -186,4 +227,8 @@ def test_paraphrases_and_edge_cases(spark):
     assert got == [(-1, 7), (1, 2), (2, 4), (6, 2), (6, 2)]
     kept = decontaminate.remove_contaminated(df, bench)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5]
+    assert [r["item_id"] for r in decontaminate.contaminated(spark.createDataFrame([(1, "not too, few Words!")], df.schema[:2]), bench).collect()] == [52]
+    odd = spark.createDataFrame([(1, items[2][1], 1, "y")], "doc_id bigint, text string, `a.b` int, hits string")
+    more = bench.selectExpr("*", "1 as doc_id", "'x' as `hits`")
+    assert decontaminate.remove_contaminated(odd, more).columns == odd.columns and decontaminate.remove_contaminated(odd, more).count() == 0
     assert decontaminate.contaminated(df, bench.limit(0)).count() == decontaminate.contaminated(df.limit(0), bench).count() == 0
