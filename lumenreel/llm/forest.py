@@ -2,8 +2,10 @@
 
 Every tree splits the unit vectors by random directions at medians; a vector close to a split goes to
 both sides. Vectors are compared within leaves only, all leaves of all trees, and what reaches the
-cosine is a link. The trees are fitted on a bounded sample of SAMPLE vectors; every vector is put
-into the index. Vectors that are the same are one class that is indexed once. A pair that shares
+cosine is a link. The trees are fitted on a bounded sample of SAMPLE vectors and are as deep as the
+number of all vectors asks for: below nodes with too few sampled vectors for medians of their own, every
+further level splits at the median of the last node that has them, so leaves hold about LEAF vectors at
+every size of input. Every vector is put into the index. Vectors that are the same are one class that is indexed once. A pair that shares
 several leaves counts in the first of them. A leaf of more than BLOCK classes is compared block by
 block in tasks of its own, so nothing is left out and no task grows with it; from each comparison
 only sums and the links of spanning stars go on.
@@ -24,7 +26,7 @@ from .components import connected_components
 
 COSINE = 0.95
 TREES, LEAF, SAMPLE, BLOCK = 8, 1024, 50_000, 4096
-LEAST_IN_LEAF = 8  # sampled vectors, below which a node is not split
+LEAST_IN_LEAF = 8  # sampled vectors, below which a node gets no median of its own
 SEED = 11
 
 
@@ -36,31 +38,43 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Trees:
-    """Of vectors of one length: directions (trees * depth, d), split points (trees, 2 ** depth), and half the width of the overlap."""
+    """Of vectors of one length: directions (trees * depth, d), split points, and half the width of the overlap.
+
+    splits (trees, 2 ** own) are those of the upper `own` levels by node; below (trees, depth - own, 2 ** own)
+    are those of all further levels by the node of level `own` they lie under.
+    """
 
     depth: int
+    own: int
     directions: np.ndarray
     splits: np.ndarray
+    below: np.ndarray
     margin: float
 
     @classmethod
     def fit(cls, x: np.ndarray, total: int, cosine: float, trees: int = TREES, leaf: int = LEAF, seed: int = SEED) -> Trees:
         d = x.shape[1]
-        depth = max(0, min(math.ceil(math.log2(max(1, total / leaf))), int(math.log2(max(1, len(x) / LEAST_IN_LEAF)))))
+        depth = max(0, math.ceil(math.log2(max(1, total / leaf))))
+        own = min(depth, int(math.log2(max(1, len(x) / LEAST_IN_LEAF))))
         rng = np.random.default_rng((seed, d))
         directions = rng.normal(size=(trees * depth, d))
         directions /= np.sqrt((directions**2).sum(axis=1, keepdims=True))
-        splits = np.zeros((trees, 1 << depth))
+        splits, below = np.zeros((trees, 1 << own)), np.zeros((trees, depth - own, 1 << own))
         for t in range(trees):
             node = np.ones(len(x), np.int64)
             for level in range(depth):
                 p = x @ directions[t * depth + level]
                 order = np.lexsort((p, node))
                 ids, first, count = np.unique(node[order], return_index=True, return_counts=True)
-                splits[t, ids] = p[order[first + count // 2]]
-                node = 2 * node + (p >= splits[t, node])
+                middle = p[order[first + count // 2]]
+                if level < own:
+                    splits[t, ids] = middle
+                    node = 2 * node + (p >= splits[t, node])
+                else:
+                    below[t, level - own, :] = np.median(p)
+                    below[t, level - own, ids - (1 << own)] = middle
         # half of how far apart the projections of two vectors at the cosine usually are
-        return cls(depth, directions, splits, 0.5 * math.sqrt(max(0, 2 - 2 * cosine) / d))
+        return cls(depth, own, directions, splits, below, 0.5 * math.sqrt(max(0, 2 - 2 * cosine) / d))
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rows, leaves): every row with each of its leaves, by row and leaf; leaves are numbered over all trees."""
@@ -69,7 +83,8 @@ class Trees:
         for t in range(len(self.splits)):
             rows, node = np.arange(len(x)), np.ones(len(x), np.int64)
             for level in range(self.depth):
-                away = p[rows, t * self.depth + level] - self.splits[t, node]
+                split = self.splits[t, node] if level < self.own else self.below[t, level - self.own, (node >> (level - self.own)) - (1 << self.own)]
+                away = p[rows, t * self.depth + level] - split
                 left, right = away <= self.margin, away >= -self.margin
                 rows, node = np.concatenate((rows[left], rows[right])), np.concatenate((2 * node[left], 2 * node[right] + 1))
             rows_out.append(rows)
@@ -130,27 +145,23 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
     shared = vectors.sparkSession.sparkContext.broadcast(_fit(classes, cosine, sample))
 
     def deal(b: pa.RecordBatch) -> pa.RecordBatch:
-        """Rows of (leaf, cid, size, embedding, all its leaves)."""
+        """Rows of (leaf, cid, size, embedding)."""
         cids, sizes = b.column(0), b.column(1)
         flat = b.column(2).flatten().to_numpy(zero_copy_only=False)
         ends = np.cumsum(b.column(2).value_lengths().to_numpy(zero_copy_only=False))
         lengths = np.diff(np.concatenate(([0], ends)))
-        take, leaf, every = [], [], []
+        take, leaf = [], []
         for d in np.unique(lengths):
             at = np.flatnonzero(lengths == d)
             x = unit(flat[(ends[at] - d)[:, None] + np.arange(d)])
             trees = shared.value.get(int(d))
             r, f = trees.leaves(x) if trees else (np.arange(len(at)), np.zeros(len(at), np.int64))
-            sets = np.split(f, np.flatnonzero(np.diff(r)) + 1)
-            take.append(at[r]), leaf.append(f), every.extend(sets[k] for k in r)
+            take.append(at[r]), leaf.append(f)
         take = pa.array(np.concatenate(take))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(leaf)), cids.take(take), sizes.take(take), b.column(2).take(take), pa.array(every, pa.list_(pa.int64()))],
-            ["leaf", "cid", "size", "embedding", "leaves"],
-        )
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(leaf)), cids.take(take), sizes.take(take), b.column(2).take(take)], ["leaf", "cid", "size", "embedding"])
 
     kind = dict(classes.dtypes)["embedding"]
-    dealt = classes.select("cid", "size", "embedding").mapInArrow(lambda bs: (deal(b) for b in bs if b.num_rows), f"leaf bigint, cid bigint, size bigint, embedding {kind}, leaves array<bigint>")
+    dealt = classes.select("cid", "size", "embedding").mapInArrow(lambda bs: (deal(b) for b in bs if b.num_rows), f"leaf bigint, cid bigint, size bigint, embedding {kind}")
     dealt = dealt.withColumn("d", F.size("embedding"))
     # a row for each leaf of the forest at most, whose size does not grow with the vectors
     large = dealt.groupBy("d", "leaf").count().where(F.col("count") > BLOCK).select("d", "leaf", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
@@ -158,7 +169,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     keyed = cut.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = keyed.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
-    keyed = keyed.select(F.xxhash64("d", "leaf", "i", "j").alias("grp"), "d", "leaf", "i", "j", "side", "cid", "size", "embedding", "leaves")
+    keyed = keyed.select(F.xxhash64("d", "leaf", "i", "j").alias("grp"), "d", "leaf", "i", "j", "side", "cid", "size", "embedding")
 
     def link(batches):
         held: list[pa.RecordBatch] = []
@@ -168,8 +179,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
             d = int(t.column("d")[0].as_py())
             x = unit(t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
             cid = col("cid")
-            lists = t.column("leaves").combine_chunks()
-            sets = np.split(lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))[:-1])
+            trees = shared.value.get(d)
+            r, f = trees.leaves(x) if trees else (np.arange(len(x)), np.zeros(len(x), np.int64))
+            sets = np.split(f, np.flatnonzero(np.diff(r)) + 1)
             partners, label = compare(x, col("size"), col("side"), int(t.column("i")[0].as_py()) != int(t.column("j")[0].as_py()), int(t.column("leaf")[0].as_py()), sets, cosine)
             some = np.flatnonzero((partners > 0) | (label != np.arange(len(cid))))
             return pa.RecordBatch.from_arrays([pa.array(cid[some]), pa.array(partners[some]), pa.array(cid[label[some]])], ["cid", "partners", "root"])
@@ -208,9 +220,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
 
 
 def _fit(classes: DataFrame, cosine: float, sample: int) -> dict[int, Trees]:
-    """Trees for each length of vector in the sample; vectors of other lengths share one leaf."""
+    """Trees for each length of vector in the sample, which a hash picks where the rows are read; vectors of other lengths share one leaf."""
     total = classes.count()
-    few = classes.orderBy(F.xxhash64("cid"), "cid").limit(sample).select("embedding").toArrow().column("embedding").to_pylist()
+    picked = classes.where(F.pmod(F.xxhash64("cid"), F.lit(1 << 30)) < int(min(1.0, 1.1 * sample / max(total, 1)) * (1 << 30)) + 1)
+    few = picked.orderBy(F.xxhash64("cid"), "cid").limit(sample).select("embedding").toArrow().column("embedding").to_pylist()
     by: dict[int, list] = {}
     for e in few:
         by.setdefault(len(e), []).append(e)

@@ -1,6 +1,8 @@
 """op2 against all pairs."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 
 from lumenreel.llm import forest, queries
 from lumenreel.llm.common import min_labels, read
@@ -53,3 +55,44 @@ def test_split_leaves_and_many_leaves_lose_little(spark, monkeypatch):
     want, got = brute(rows), sorted(tuple(r) for r in forest.near_duplicates(df).collect())
     assert sum(g[1] for g in got) >= 0.95 * sum(w[1] for w in want)
     assert all(g[1] <= w[1] for g, w in zip(got, want))
+
+
+def planted(n, d, seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, d))
+    at = rng.permutation(n)[: n // 10].reshape(-1, 2)  # pairs just over the cosine, and closer ones
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = rng.normal(size=(len(at), d))
+    off -= (off * x[at[:, 0]]).sum(axis=1, keepdims=True) * x[at[:, 0]]
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    cos = rng.uniform(0.951, 0.999, size=(len(at), 1))
+    x[at[:, 1]] = cos * x[at[:, 0]] + np.sqrt(1 - cos**2) * off
+    return x, at
+
+
+def test_recall_of_planted_pairs_at_depth(spark, tmp_path_factory):
+    """At the parameters of the query, with seven levels of splits."""
+    x, pairs = planted(70_000, 32, 4)
+    assert forest.Trees.fit(x[:50_000], len(x), 0.95).depth == 7
+    folder = tmp_path_factory.mktemp("vectors")
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}), folder / "part.parquet")
+    df = spark.read.parquet(str(folder))
+    got = forest.near_duplicates(df).where("n_links > 0").select("vec_id", "component_id").toPandas()
+    component = dict(zip(got.vec_id, got.component_id, strict=True))
+    assert sum(component.get(a) == component.get(b) == min(a, b) for a, b in pairs) >= 0.95 * len(pairs)
+
+
+def test_leaves_stay_small_beyond_the_sample():
+    """Ten times the vectors: leaves as large as before, little more work a vector; and near pairs still meet."""
+    x, pairs = planted(60_000, 32, 5)
+    cost, largest = [], []
+    for total in (6_000, 60_000):
+        trees = forest.Trees.fit(x[:2000], total, 0.95, leaf=64)
+        rows, leaves = trees.leaves(x[:total])
+        _, size = np.unique(leaves, return_counts=True)
+        cost.append((size.astype(float) ** 2).sum() / total)
+        largest.append(np.percentile(size, 99))
+    assert trees.depth == 10 and trees.own == 7
+    assert cost[1] < 3 * cost[0] and largest[1] < 3 * largest[0], (cost, largest)
+    of = np.split(leaves, np.flatnonzero(np.diff(rows)) + 1)
+    assert sum(bool(set(of[a]) & set(of[b])) for a, b in pairs) >= 0.95 * len(pairs)
