@@ -27,7 +27,6 @@ WIDE = 32
 UNKNOWN = "und"
 
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -190,7 +189,8 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     cut = rows.select("lang", F.substring(text, at.cast("int"), F.lit(SNIPPET)).alias("snippet")).distinct().withColumn("h", F.xxhash64("snippet"))
     # first within parts of each language, so that a language of any size spreads over many tasks
     order = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("h", "snippet"))
-    parts = cut.withColumn("part", F.pmod(F.col("h"), F.lit(PARTS))).withColumn("n", order("lang", "part")).where(F.col("n") <= per_language)
+    # and no more of a part than a language that has enough needs: few rows are left to be numbered by language
+    parts = cut.withColumn("part", F.pmod(F.col("h"), F.lit(PARTS))).withColumn("n", order("lang", "part")).where(F.col("n") <= 2 * per_language // PARTS + 8)
     few = parts.withColumn("n", order("lang")).where(F.col("n") <= per_language)
     return few.select("lang", F.col("snippet").cast("binary").alias("snippet"))
 
@@ -214,7 +214,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         net = shared.value
         texts = [t or b"" for t in b.column(1).to_pylist()]
-        readable = [bool(_ASCII_LETTER.search(t) or _LETTER.search(t.decode("utf-8", errors="ignore"))) and net is not None for t in texts]
+        readable = [bool(_ASCII_LETTER.search(t) or any(map(str.isalpha, t.decode("utf-8", errors="ignore")))) and net is not None for t in texts]
         if net is None:
             langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         else:

@@ -154,6 +154,12 @@ def test_language_sample_has_no_copies_and_all_languages(spark):
     assert {x for x, _ in got} == {r["lang"] for r in df.select("lang").distinct().collect()}
 
 
+def test_texts_without_letters_are_undetermined(spark):
+    net = langid.train([b"the cat and the dog", b"der hund und die katze"] * 20, ["en", "de"] * 20, steps=5)
+    df = spark.createDataFrame([(1, "\u00bd \u00b2"), (2, "\u2167"), (3, "12 _ 3"), (4, "\u00b5"), (5, "\u4f60")], "doc_id bigint, text string")
+    assert {r["doc_id"] for r in langid.predict(df, net).where("lang_pred = 'und' and score = 0").collect()} == {1, 2, 3}
+
+
 def test_language_edge_cases(spark):
     df = odd(spark, ["lang_pred", "score"]).withColumn("lang", F.lit("en"))
     net = langid.train([b"the cat and the dog", b"der hund und die katze"] * 20, ["en", "de"] * 20, steps=30)
