@@ -14,17 +14,19 @@ import hashlib
 import ipaddress
 import math
 import re
+import warnings
 from collections.abc import Callable
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_columns
+from .common import columns_of, free_name
 
 ROUNDS = 8
-DEFAULT_KEY = "set-a-secret-of-your-own"
+KEY_SETTING = "spark.lumenreel.pii.key"
+DEMONSTRATION_KEY = "set-a-secret-of-your-own"
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -268,12 +270,22 @@ def _key(secret_key: str) -> bytes:
     return hashlib.blake2b(secret_key.encode(), digest_size=32).digest()
 
 
-def pseudonymise(docs: DataFrame, secret_key: str = DEFAULT_KEY, column: str = "text", report: bool = True) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The key that the session names in KEY_SETTING. Without one the demonstration key is taken, which hides nothing from who reads this file."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is not set: pseudonyms are made with the demonstration key", stacklevel=2)
+    return key or DEMONSTRATION_KEY
+
+
+def pseudonymise(docs: DataFrame, secret_key: str | None = None, column: str = "text", report: bool = True) -> DataFrame:
     """`docs` with pseudonyms in `column`; with report also n_pii (bigint) and pii_kinds (array of distinct kinds, sorted).
 
     All other columns and all rows stay as they are (n_pii and pii_kinds replace columns of those
-    names). Null text: null, n_pii 0. Rows are independent, so repeated rows get equal results.
+    names). Null text: null, n_pii 0. Rows are independent, so repeated rows get equal results. Without
+    secret_key the session's key is used. A text is worked on whole, however long it is.
     """
+    secret_key = secret_key or session_key(docs.sparkSession)
 
     @F.arrow_udf("struct<text:string,kinds:array<string>>")
     def move(texts: pa.Array) -> pa.Array:
@@ -285,9 +297,11 @@ def pseudonymise(docs: DataFrame, secret_key: str = DEFAULT_KEY, column: str = "
             kinds.append(k)
         return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(kinds, pa.list_(pa.string()))], ["text", "kinds"])
 
-    new = [column, *(["n_pii", "pii_kinds"] if report else [])]
-    at = "_lumen_moved"
-    done = docs.withColumn(at, move(F.col(column).cast("string")))
-    cols = [F.col(f"{at}.text").alias(c) if c == column else F.col(c) for c in docs.columns if c == column or c in keep_columns(docs, new)]
-    extra = [F.size(f"{at}.kinds").cast("bigint").alias("n_pii"), F.array_sort(F.array_distinct(f"{at}.kinds")).alias("pii_kinds")] if report else []
+    replaced = {column.lower(), *(("n_pii", "pii_kinds") if report else ())}
+    at = free_name(docs, "moved")
+    named = dict(zip(docs.columns, columns_of(docs), strict=True))
+    done = docs.select(*[c for n, c in named.items() if n == column or n.lower() not in replaced], move(named[column].cast("string")).alias(at))
+    moved = done[f"`{at}`"]
+    cols = [moved["text"].alias(n) if n == column else c for n, c in zip(done.columns, columns_of(done), strict=True) if n != at]
+    extra = [F.size(moved["kinds"]).cast("bigint").alias("n_pii"), F.array_sort(F.array_distinct(moved["kinds"])).alias("pii_kinds")] if report else []
     return done.select(*cols, *extra)

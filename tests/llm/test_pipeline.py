@@ -22,7 +22,7 @@ def test_stages(spark):
     gone = {r["doc_id"] for r in decontaminate.contaminated(two, common.read(spark, SF01, "benchmark")).collect()}
     assert gone and ids(three) == [i for i in ids(two) if i not in gone]
     four = common.materialize(stage["pii"](spark, three, SF01))
-    key = pseudonyms._key(pseudonyms.DEFAULT_KEY)
+    key = pseudonyms._key(pseudonyms.DEMONSTRATION_KEY)
     want = {r["doc_id"]: pseudonyms.pseudonymise_text(r["text"], key)[0] for r in three.collect()}
     assert {r["doc_id"]: r["text"] for r in four.collect()} == want
     for df in (one, two, three, four):

@@ -68,8 +68,11 @@ def test_pseudonyms_of_a_table(spark, sf):
     assert rows[1, 0] is None and rows[2, 0] == "" and rows[None, 0] == "no data"
     assert rows[3, 1] != "x@y.org" and rows[4, 1].endswith(" " + rows[3, 1])
     assert pseudonyms.pseudonymise(df.limit(0)).count() == 0
+    odd = df.selectExpr("doc_id", "text", "1 as `a.b`", "2 as moved", "3 as `_lumen_moved`")
+    got = pseudonyms.pseudonymise(odd, report=False)
+    assert got.columns == odd.columns and {tuple(r)[2:] for r in got.collect()} == {(1, 2, 3)}
     docs = read(spark, sf, "documents")
-    key = pseudonyms._key(pseudonyms.DEFAULT_KEY)
+    key = pseudonyms._key(pseudonyms.DEMONSTRATION_KEY)
     want = {r["doc_id"]: pseudonyms.pseudonymise_text(r["text"], key)[0] for r in docs.collect()}
     assert {r["doc_id"]: r["text"] for r in queries.op4_pii(spark, sf).collect()} == want
 
