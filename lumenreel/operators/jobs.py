@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenreel.functions import text as T
+
 # States of jobs, as ranks and as states of a stage.
 RANKS = {"processing": 3, "queued": 2, "completed": 1, "done": 1, "failed": 0, "error": 0, "canceled": 0}
 STAGES = {"processing": "running", "queued": "queued", "completed": "done", "done": "done", "error": "failed", "failed": "failed"}
@@ -129,3 +131,91 @@ def worker_health(beats: DataFrame, worker: str, at: str, status: str, job: str,
 def shutdown_in(idle_seconds: Column, active_jobs: Column, cooldown: int = 60) -> Column:
     """Seconds until an idle worker ends; null while there is work."""
     return F.when(active_jobs == 0, F.greatest(F.lit(cooldown) - idle_seconds, F.lit(0)))
+
+
+def client_row(status: Column, progress: Column, texts: Column) -> Column:
+    """(status, progress, current, total, percent) of a job as a client sees it.
+
+    The total is that of the progress text, else the number of texts of the JSON array `texts`; a
+    completed job without a count of its own has come to the total.
+    """
+    state, said = F.lower(F.trim(F.coalesce(status, F.lit("")))), F.trim(F.coalesce(progress, F.lit("")))
+    parsed = T.progress(F.coalesce(progress, F.lit("")))
+    total = F.coalesce(F.nullif(parsed["total"], F.lit(0)), F.json_array_length(texts))
+    current = F.coalesce(parsed["current"], F.when((state == "completed") & (total > 0), total))
+    blank = lambda c: F.nullif(c, F.lit(""))
+    return F.struct(blank(state).alias("status"), blank(said).alias("progress"), current.alias("current"), total.alias("total"), T.percent_done(current, total).alias("percent"))
+
+
+#: How a file of speech is named after its language.
+SPEECH_FILE = r"(?i)^narration_(.+?)(?:_narration)?\.wav$"
+
+
+def language_of(hint: Column, files: list[Column], configured: Column) -> Column:
+    """Language of a job: the hint, else that in the first file name that gives one; only configured languages count, all where none is configured."""
+    names = [F.trim(F.regexp_extract(F.regexp_extract(F.coalesce(f, F.lit("")), r"([^/]*)$", 1), SPEECH_FILE, 1)) for f in files]
+    known = lambda c: F.when((c != "") & ((F.size(configured) == 0) | F.array_contains(configured, c)), c)
+    return F.coalesce(*[known(c) for c in [F.trim(F.coalesce(hint, F.lit(""))), *names]])
+
+
+def single_worker(workers: DataFrame, group: list[str], worker: str, job: str, order: list[Column]) -> DataFrame:
+    """`workers` with stopped and requeued_job: of each group the worker highest in `order` stays, the others stop and their job goes back to the queue."""
+    best_ = workers.groupBy(*group).agg(F.max_by(F.col(worker), F.struct(*order, F.col(worker))).alias("_kept"))
+    out = workers.join(best_, group)
+    stopped = F.col(worker) != F.col("_kept")
+    return out.select(*workers.columns, stopped.alias("stopped"), F.when(stopped, F.nullif(F.trim(F.col(job).cast("string")), F.lit(""))).alias("requeued_job"))
+
+
+def decorated(runs: DataFrame, files: DataFrame, limit: int = 4000) -> DataFrame:
+    """`runs` (stdout_path, stderr_path, error_text, ...) with preview, size and time of both files, and error_message: the error text, else what stands on stderr, else ''.
+
+    `files` has (path, content, size_bytes, updated_at), one row a path.
+    """
+    out = runs
+    for name in ("stdout", "stderr"):
+        f = files.select(F.col("path").alias(f"{name}_path"), T.preview(F.col("content"), limit).alias(f"{name}_preview"), F.col("size_bytes").alias(f"{name}_size_bytes"), F.col("updated_at").alias(f"{name}_updated_at"))
+        out = out.join(f, f"{name}_path", "left").withColumn(f"{name}_preview", F.coalesce(f"{name}_preview", F.lit("")))
+    return out.withColumn("error_message", F.coalesce(F.nullif(F.col("error_text"), F.lit("")), F.col("stderr_preview")))
+
+
+#: Priorities of new jobs by kind; a lower one goes first.
+PRIORITIES = {"test_voice": 0, "latents": 5}
+
+
+def submissions(requests: DataFrame, kind: str, texts: str, filename: str, at: Column) -> DataFrame:
+    """`requests` as queued jobs: an id from what is asked for, the payload as JSON (the file's name in it where it has one), its priority and times."""
+    payload = F.to_json(F.struct(F.col(texts).alias("texts"), F.col(filename).alias("original_filename")))
+    priority = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in PRIORITIES.items() for x in kv]), F.col(kind)), F.lit(10))
+    made = requests.withColumns({"payload_json": payload, "queue_priority": priority, "status": F.lit("queued"), "progress": F.lit("Queued..."), "created_at": at, "updated_at": at})
+    return made.withColumn("job_id", F.sha2(F.concat_ws("|", F.col(kind), "payload_json", F.col("created_at").cast("string")), 256))
+
+
+def job_texts(texts: Column, chunked: Column, text: Column) -> Column:
+    """(texts, to_pack, error): texts that are cut already stay; others are joined and have to be packed, as has a single text; with neither there is an error."""
+    own = F.filter(F.transform(F.coalesce(texts, F.array().cast("array<string>")), lambda t: F.trim(F.coalesce(t, F.lit("")))), lambda t: t != "")
+    single = F.trim(F.coalesce(text, F.lit("")))
+    cut = (F.size(own) > 0) & F.coalesce(chunked, F.lit(False))
+    whole = F.nullif(F.when(F.size(own) > 0, F.array_join(own, " ")).otherwise(single), F.lit(""))
+    return F.struct(F.when(cut, own).alias("texts"), F.when(~cut, whole).alias("to_pack"), F.when(~cut & whole.isNull(), F.lit("no text")).alias("error"))
+
+
+def script_source(spoken: Column, generated: Column, readable: Column) -> Column:
+    """Path of the script to speak: the spoken one, else one made from the readable one, else the readable one itself; '' counts as missing."""
+    return F.coalesce(*[F.nullif(c, F.lit("")) for c in (spoken, generated, readable)])
+
+
+def speech_text(script: Column, source: Column, language: Column, master: Column, translation: Column) -> Column:
+    """(text, error): the script, else the source text for the master language and for rows whose translation is done; else an error."""
+    main = F.coalesce(F.nullif(F.trim(master), F.lit("")), F.lit("en"))
+    falls_back = (language == main) | (F.lower(F.trim(F.coalesce(translation, F.lit("")))) == "done")
+    text = F.when(script.isNotNull(), F.trim(script)).when(falls_back, F.trim(F.coalesce(source, F.lit(""))))
+    return F.struct(text.alias("text"), F.when(text.isNull(), F.concat(F.lit("no translated script for "), language)).alias("error"))
+
+
+def assembly_step(stage: Column, status: Column, target: Column, sequence: tuple[str, ...]) -> Column:
+    """Why an episode can't go to an assembly stage; null if it can. The first stage follows a finished export, any other the one before it."""
+    order = F.array(*[F.lit(s) for s in sequence])
+    at = F.array_position(order, target)
+    before = F.try_element_at(order, F.greatest(at - 1, F.lit(1)).cast("int"))
+    first = F.when((stage != "export") | (F.lower(status) != "done"), F.lit("export is not complete"))
+    return F.when(at == 0, F.lit("no such stage")).when(at == 1, first).when(stage != before, F.lit("stages are out of order"))

@@ -68,3 +68,20 @@ def languages(configured: Column, master: Column) -> Column:
 def json_list(c: Column) -> Column:
     """Array of strings of a JSON text; anything else gives an empty one."""
     return F.coalesce(F.from_json(F.when(F.regexp_like(c, F.lit(r"^\s*\[")), c), "array<string>"), F.array().cast("array<string>"))
+
+
+def merged_catalog(static: DataFrame, discovered: DataFrame, provider: str) -> DataFrame:
+    """(provider, value, label) of a static catalogue, in which the discovered models (id, label, capability) take the place of one provider's, if there are any with an id."""
+    value = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    own = static.select("provider", value("value").alias("value"), F.coalesce(F.nullif(value("label"), F.lit("")), value("value")).alias("label")).where("value <> ''")
+    label = F.concat_ws(" - ", F.nullif(F.coalesce(F.nullif(value("label"), F.lit("")), value("id")), F.lit("")), F.nullif(value("capability"), F.lit("")))
+    new = discovered.select(F.lit(provider).alias("provider"), value("id").alias("value"), label.alias("label")).where("value <> ''")
+    kept = own.join(new.select("provider").limit(1), "provider", "left_anti")
+    return kept.unionByName(new)
+
+
+def discovered_models(found: DataFrame, model: str) -> DataFrame:
+    """Names of models as a provider lists them: trimmed, each once, blank ones left out, with `recommended` on the first by name whatever its case."""
+    names = found.select(F.trim(F.col(model)).alias(model)).where(F.coalesce(F.col(model), F.lit("")) != "").distinct()
+    first = names.agg(F.min_by(F.col(model), F.struct(F.lower(model), F.col(model))).alias("_first"))
+    return names.join(F.broadcast(first), how="left", on=F.lit(True)).select(model, (F.col(model) == F.col("_first")).alias("recommended"))

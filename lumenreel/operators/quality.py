@@ -192,3 +192,17 @@ def sensitive_terms(text: Column, protected: tuple[str, ...] = ("Amen", "Hallelu
     own = F.array(*[F.when(F.regexp_like(t, F.lit(rf"\b{p}\b")), F.lit(p)) for p in protected])
     phrases = F.regexp_extract_all(t, F.lit(r"\b([A-Z][a-z]+(?: [A-Z][a-z]+)+)\b"), F.lit(1))
     return F.slice(T.unique_ignoring_case(F.filter(F.concat(own, phrases), lambda x: x.isNotNull())), 1, most)
+
+
+def feedback(message: Column, given_summary: Column, given: Column, report: Column) -> Column:
+    """(summary, categories, passed) for the author of a translation.
+
+    Categories are the given ones, else those of the report (error_categories, error_summary, passed), else the message's; without a
+    report given ones don't count. The summary is the given one, else the report's, else made of the categories.
+    """
+    clean = lambda a: F.filter(F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda x: F.trim(F.coalesce(x, F.lit("")))), lambda x: x != "")
+    listed = F.when(report.isNotNull(), clean(F.when(F.size(F.coalesce(given, F.array().cast("array<string>"))) > 0, given).otherwise(report["error_categories"]))).otherwise(clean(F.lit(None).cast("array<string>")))
+    says = F.coalesce(message, F.lit("")) != ""
+    categories = F.when((F.size(listed) == 0) & says, F.array(issue_category(message))).otherwise(listed)
+    own = F.nullif(F.trim(F.coalesce(F.nullif(given_summary, F.lit("")), report["error_summary"], F.lit(""))), F.lit(""))
+    return F.struct(F.coalesce(own, F.nullif(summary(categories), F.lit(""))).alias("summary"), categories.alias("categories"), report["passed"].alias("passed"))

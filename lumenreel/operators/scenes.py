@@ -212,3 +212,28 @@ def split_long(scenes: DataFrame, cues: DataFrame, document: str, scene: str, lo
     parts = scan(inside.join(enough, [document, scene]), [document, scene], ["r_start_ms", "r_end_ms"], start, step, kind)
     whole = scenes.select(document, scene, F.lit(0).cast("bigint").alias("part"), "start_ms", "end_ms").join(enough, [document, scene], "left_anti")
     return parts.unionByName(whole)
+
+
+def zipped(groups: DataFrame, metadata: DataFrame, key: str, position: str) -> DataFrame:
+    """Groups of scenes (key, position, ...) with the chunk metadata at the same position of their document, where both have equally many; else with nulls.
+
+    Positions count from 0 by themselves on both sides, whatever gaps they have.
+    """
+    extra = [c for c in metadata.columns if c not in (key, position)]
+    count = lambda df, name: df.groupBy(key).agg(F.countDistinct(position).alias(name))
+    same = count(groups, "_g").join(count(metadata, "_m"), key).where("_g = _m").select(key)
+    place = lambda df: running(df.select(key, position).distinct(), [key], [position], number="_place")
+    paired = place(groups).join(place(metadata).withColumnRenamed(position, "_other"), [key, "_place"]).join(same, key, "left_semi")
+    found = paired.join(metadata.withColumnRenamed(position, "_other"), [key, "_other"]).select(key, position, *extra)
+    return groups.join(found, [key, position], "left")
+
+
+def with_prompts(scenes: DataFrame, sources: list[tuple[DataFrame, str]], key: str) -> DataFrame:
+    """`scenes` (key, asset_type) that have a prompt: of sources (key, prompt) for one asset type each, later ones come first; a source counts only where its type occurs."""
+    rows = None
+    for n, (df, kind) in enumerate(sources):
+        there = scenes.where(F.col("asset_type") == kind).limit(1).select(F.lit(1).alias("_any"))
+        part = df.select(key, "prompt", F.lit(n).alias("_n")).join(F.broadcast(there), how="left_semi", on=F.lit(True))
+        rows = part if rows is None else rows.unionAll(part)
+    best = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by("prompt", F.struct("_n", "prompt")).alias("prompt"))
+    return scenes.join(best, key)

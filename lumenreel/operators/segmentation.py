@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenreel.functions import languages as L
+from lumenreel.tables import running
 
 # Characters of a line and a block, words and seconds of a block, reading speeds, seconds of a short block, marks that end a sentence, marks cut off words, most seconds taken from a gap.
 LINE, BLOCK, MOST_WORDS, MOST_SECONDS = 42, 84, 24, 7.0
@@ -175,3 +176,27 @@ def density_warning(over: Column, segments: Column, top_speed: Column) -> Column
 def too_long(words: Column, seconds: Column, most_words: int = 15_000, most_seconds: int = 7200) -> Column:
     """Why a document is too long for one pass; null if it isn't."""
     return F.when(seconds > most_seconds, F.lit("duration")).when(words > most_words, F.lit("words"))
+
+
+def seed_spans(seeds: DataFrame, key: str, position: str, words: str, totals: DataFrame) -> DataFrame:
+    """(key, position, first, last): word spans of given segments one after the other. A document counts only if each segment has words and they add up to its total (key, n_words)."""
+    good = seeds.groupBy(key).agg(F.min(words).alias("_least"), F.sum(words).alias("_all")).where("_least > 0").join(totals, key).where("_all = n_words").select(key)
+    spans = running(seeds.join(good, key, "left_semi").select(key, position, F.col(words).cast("bigint").alias("_w")), [key], [position], number=None, _upto=F.col("_w"))
+    return spans.select(key, position, (F.col("_upto") - F.col("_w")).alias("first"), (F.col("_upto") - 1).alias("last"))
+
+
+def dense_foci(segments: DataFrame, key: str, index: str, limit: float = FAST) -> DataFrame:
+    """(key, index, rank) of segments (speed, lines, chars, words) that are read too fast or are two full lines: the densest first, of equals the later one."""
+    two = F.col("lines") >= 2
+    dense = segments.where((F.col("speed") >= max(limit * 0.92, limit - 1.0)) | (two & (F.col("chars") >= 74)))
+    score = F.col("speed") + F.when(two, F.lit(0.3)).otherwise(F.lit(0.0)) + F.col("chars") / 500.0
+    ranked = dense.withColumns({"_a": -score, "_b": -F.col("chars"), "_c": -F.col("words"), "_d": -F.col(index)})
+    return running(ranked, [key], ["_a", "_b", "_c", "_d"], number="rank").select(key, index, "rank")
+
+
+def split_positions(candidates: DataFrame, span: list[str], at: str, most: int = 6) -> DataFrame:
+    """The best places to split each span: (first, last, weak, bad) of each candidate; a good word before it first, then a good break, then near the middle, then early."""
+    order = F.struct(F.col("weak").alias("a"), F.col("bad").alias("b"), F.abs(F.col(at) - (F.col("first") + F.col("last")) / 2.0).alias("c"), (F.col(at) - F.col("first")).alias("d"))
+    inside = candidates.where((F.col(at) > F.col("first")) & (F.col(at) <= F.col("last")))
+    best = inside.groupBy(*span).agg(F.slice(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col(at).alias("at")))), 1, most).alias("_best"))  # a span has some dozen words
+    return best.select(*span, F.posexplode(F.col("_best.at")).alias("place", at))

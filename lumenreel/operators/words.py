@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenreel.functions import languages as L
 from lumenreel.functions import text as T
-from lumenreel.tables import scan
+from lumenreel.tables import running, scan
 
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 # Marks that belong to the word behind or before them; shortest fuzzy word, least likeness; words of a block to rescue; seconds of a word without a time.
@@ -197,3 +197,15 @@ def align_report(aligned: DataFrame, key: str) -> DataFrame:
     """Counts of each way in which words got their times."""
     n = lambda how: F.count_if(F.col("how") == how).alias(how)
     return aligned.groupBy(key).agg(F.count("*").alias("words"), *[n(h) for h in ("equal", "fuzzy", "merge", "split", "approximate")])
+
+
+def recognised(df: DataFrame, word: str) -> DataFrame:
+    """Recognised words with the form they are aligned by; those without one are left out, times stay."""
+    return df.withColumn("form", T.token(F.coalesce(F.col(word), F.lit("")))).where("form <> ''")
+
+
+def subset(tokens: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
+    """(key, part, index, word, form, begin, stop): the words of each range (key, part, from_, to_; to_ is not in it), numbered and placed anew with one space between them."""
+    rows = tokens.join(ranges, key).where("index >= from_ and index < to_").select(key, "part", F.col("index").alias("_old"), "from_", "word", "form", (F.length("word") + 1).cast("bigint").alias("_size"))
+    placed = running(rows, [key, "part"], ["_old"], number=None, _behind=F.col("_size"))
+    return placed.select(key, "part", (F.col("_old") - F.col("from_")).alias("index"), "word", "form", (F.col("_behind") - F.col("_size")).alias("begin"), (F.col("_behind") - 1).alias("stop"))

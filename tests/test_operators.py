@@ -320,3 +320,17 @@ def test_throttle_of_a_stream(spark, tmp_path):
     src = logs.source(spark, str(tmp_path / "in"), "job string, part int, total int, at double")
     got = logs.run_all(logs.throttle(src, "job"), str(tmp_path), "t")
     assert sorted(r["part"] for r in got.collect()) == [1, 5, 8, 10, 12]
+
+
+def test_sensitive_terms_against_a_plain_scan(spark, sf):
+    import re
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionAll(spark.createDataFrame([(-1, "Amen to New York, new york and New York. Yahweh and messiah; Old Town Hall x"), (-2, None)], "doc_id bigint, text string"))
+    got = {r["doc_id"]: list(r["t"]) for r in docs.select("doc_id", quality.sensitive_terms(F.col("text")).alias("t")).collect()}
+    for r in docs.collect():
+        text, out = r["text"] or "", []
+        for term in [p for p in ("Amen", "Hallelujah", "Yahweh", "Messiah") if re.search(rf"\b{p}\b", text)] + re.findall(r"\b([A-Z][a-z]+(?: [A-Z][a-z]+)+)\b", text):
+            if term.lower() not in [x.lower() for x in out]:
+                out.append(term)
+        assert got[r["doc_id"]] == out[:14]
+    assert got[-1] == ["Amen", "Yahweh", "New York", "Old Town Hall"]
