@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, keep_columns, map_arrow, materialize, text_bytes
+from .common import columns_of, free_name, keep_columns, map_arrow, materialize, text_bytes
 
 ORDER = 5
 DISCOUNTS = (1.5, 3.0, 5.0)
@@ -382,16 +382,26 @@ def _measure(texts: DataFrame, counts: Counts, sizes: dict[int, int]) -> pa.Tabl
     return map_arrow(some.select(text_bytes(some).alias("text"), "toxic"), measure, "toxic int, " + ", ".join(f"{n} double" for n in names)).toArrow()
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with score (double, 0 to 1) and predicted (int, 1 if score >= 0.7); they replace columns of those names.
-
-    Only the text is looked at; null texts count as empty ones. Repeated rows get equal scores.
-    """
+def _scorer(docs: DataFrame, model: Model):
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
     def of(texts: pa.Array) -> pa.Array:
         return pa.array(shared.value.scores(texts.to_pylist()))
 
-    scored = docs.select(*columns_of(docs, keep_columns(docs, ["score", "predicted"])), of(text_bytes(docs)).alias("score"))
+    return of(text_bytes(docs))
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """`docs` with score (double, 0 to 1) and predicted (int, 1 if score >= 0.7); they replace columns of those names.
+
+    Only the text is looked at; null texts count as empty ones. Repeated rows get equal scores.
+    """
+    scored = docs.select(*columns_of(docs, keep_columns(docs, ["score", "predicted"])), _scorer(docs, model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def remove_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of `docs` that are not predicted toxic; columns as they were, those named score too."""
+    name = free_name(docs, "toxicity")
+    return docs.withColumn(name, _scorer(docs, model)).where(F.col(name) < THRESHOLD).drop(name)
