@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenreel.llm import decontaminate, pieces, pseudonyms, simhash, toxicity
-from lumenreel.llm.common import ensure_checkpoint_dir, read
+from lumenreel.llm.common import columns_of, ensure_checkpoint_dir, read
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject; it learns from those of `docs` that are labelled."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    return toxicity.remove_toxic(docs, model)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     moved = pseudonyms.pseudonymise(docs, report=False)
     if "n_chars" in docs.columns:
         moved = moved.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), "n_chars"))
-    return moved.select(*docs.columns)
+    return moved.select(*columns_of(moved, docs.columns))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
