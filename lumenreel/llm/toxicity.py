@@ -45,7 +45,7 @@ THRESHOLD = 0.7
 MAX_ROWS = {0: 30_000, 1: 30_000}
 CURVE_ROWS = 10_000
 RIDGE = 0.1
-PIECE = 1 << 21
+PIECE = 1 << 19
 
 _LOW = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
 _BYTE = np.uint64(8)
@@ -276,7 +276,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
                 grams = grams[grams != 32]  # the space before the text
                 held[y].append(grams)
                 size += len(grams)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield out()
                     held, size = [[], []], 0
         if size:
