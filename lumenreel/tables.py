@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,11 +13,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_checkpoint(df: DataFrame) -> DataFrame:
     """The rows, written to the folder that the cluster names for checkpoints and read from there.
 
-    A folder of this machine is set only where the session names none, as in tests.
+    Where the session names none, one below the warehouse is set, which all machines share as well.
     """
     sc, conf = df.sparkSession.sparkContext, df.sparkSession.conf
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "lumenreel-checkpoints"))
+        sc.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or f"{conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     return df.checkpoint(eager=True)
 
 
