@@ -12,45 +12,55 @@ from .common import read
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of documents that stand in a 200-byte string found elsewhere too; null texts are empty."""
     return repeats.repeated_bytes(read(spark, sf_dir, "documents")).drop("kept")
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of embeddings at cosine 0.95, and their components; unusable vectors link with nothing."""
     return forest.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from labelled rows that are not held out; null and empty texts get the score of the class shares."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with pseudonyms, under the session's key; null texts stay null."""
     return pseudonyms.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents that stand in a window of 35 words found elsewhere too; null texts have none."""
     return repeats.repeated_words(read(spark, sf_dir, "documents")).drop("kept")
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each benchmark item that a document holds; null and empty texts hold none."""
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of all documents; a null text stays null when it is decoded."""
     return pieces.encode(read(spark, sf_dir, "documents"))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, base phrases and license labels of all documents; null texts have none."""
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from rows that are not held out; `und` without a letter."""
     docs = read(spark, sf_dir, "documents")
     return langid.predict(docs, langid.fit(docs)).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their components; texts without words have fingerprint zero."""
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
