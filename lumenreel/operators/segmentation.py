@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenreel.functions import languages as L
-from lumenreel.tables import running
+from lumenreel.tables import running, scan
 
 # Characters of a line and a block, words and seconds of a block, reading speeds, seconds of a short block, marks that end a sentence, marks cut off words, most seconds taken from a gap.
 LINE, BLOCK, MOST_WORDS, MOST_SECONDS = 42, 84, 24, 7.0
@@ -146,6 +146,52 @@ def share_gaps(segments: DataFrame, key: str) -> DataFrame:
     return rows.withColumns({"start": start, "end": end}).drop("_need", "_pe", "_pn", "_ns", "_nn")
 
 
+def _better_share(left: dict, right: dict) -> None:
+    """Moves the end of one segment and the start of the next in the silence between them, if that reads better."""
+    gap = max(0.0, right["raw_start"] - left["raw_end"])
+    most = min(CAP, gap)
+    total = min(gap, 2 * most)
+    now = (max(0.0, left["end"] - left["raw_end"]), max(0.0, right["raw_start"] - right["start"]))
+    own = [max(0.01, s["end"] - s["start"] - moved) for s, moved in zip((left, right), now, strict=True)]
+
+    def cost(shares: tuple[float, float]) -> tuple:
+        speeds = [s["chars"] / max(o + x, 0.01) for s, o, x in zip((left, right), own, shares, strict=True)]
+        tiers = [sum(v > tier for v in speeds) for tier in (FAST, FASTER, FASTEST)]
+        return (*tiers, max(speeds), sum(max(0.0, v - FAST) for v in speeds))
+
+    low, high = max(0.0, total - most), min(most, total)
+    steps = [low + 0.05 * k for k in range(int((high - low + 1e-9) / 0.05) + 1)]
+    tried = sorted({round(x, 3) for x in (now[0], low, high, *steps)})
+    pairs = [(x, max(0.0, min(most, total - x))) for x in tried if x >= low - 1e-9]
+    best = min([now, *pairs], key=cost)  # of equals the first, so what stands stays
+    if gap > 0.0 and best != now:
+        left["end"], right["start"] = left["raw_end"] + best[0], right["raw_start"] - best[1]
+
+
+def sweep_gaps(segments: DataFrame, key: str) -> DataFrame:
+    """`segments` (key, segment, raw_start, raw_end, start, end, chars, ...) after two sweeps over each document that try the shares of every silence in steps of 0.05 s.
+
+    Fewest segments over the three tiers of speed count first, then the top speed, then what is above
+    the limit. A share depends on the one before it, so a document is one state in one task; the task
+    holds one segment.
+    """
+    schema = ", ".join(f"{c} {t}" for c, t in segments.dtypes)
+
+    def step(held: list, row: dict | None) -> list:
+        done = [tuple(held[0].values())] if held and row is None else []
+        if row is not None:
+            if held:
+                _better_share(held[0], row)
+                done = [tuple(held[0].values())]
+            held[:] = [row]
+        return done
+
+    out = segments
+    for _ in range(2):
+        out = scan(out, [key], ["segment"], list, step, schema)
+    return out
+
+
 def density(speed: Column, seconds: Column, chars: Column, words: Column, limit: float = FAST) -> dict[str, Column]:
     """Counts of segments by how fast they read, and averages, for an aggregation."""
     fast, short = speed > limit, F.greatest(seconds, F.lit(0.01)) < SHORT
