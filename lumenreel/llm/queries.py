@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, forest, infill, langid, licenses, pieces, pseudonyms, repeats, simhash, toxicity
+from . import decontaminate, forest, infill, langid, licenses, pieces, pseudonyms, quality_rules, repeats, simhash, toxicity
 from .common import read
 
 
@@ -64,6 +64,12 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all documents and whether base rules and learned rules keep them; null texts have no words."""
+    got = quality_rules.verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fill-in-the-middle forms of all documents, and whether they give the text back; null texts are empty."""
     forms = infill.fill_in_middle(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_language_id": op9_language_id,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op12_quality_rules": op12_quality_rules,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
