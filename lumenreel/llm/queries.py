@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, forest, infill, langid, licenses, pieces, pseudonyms, quality_rules, repeats, simhash, toxicity
+from . import decontaminate, forest, infill, langid, licenses, pieces, pseudonyms, quality_rules, repeats, simhash, toxicity, variants
 from .common import read
 
 
@@ -64,6 +64,11 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, forms and roots; null texts have none."""
+    return variants.spelling_variants(read(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of all documents and whether base rules and learned rules keep them; null texts have no words."""
     got = quality_rules.verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -88,11 +93,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_language_id": op9_language_id,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_quality_rules": op12_quality_rules,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_spelling_variants": """
+        WITH RECURSIVE crc AS (SELECT list(v ORDER BY b) AS t FROM (SELECT b, list_reduce(list_prepend(b::BIGINT, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(256) x(b))),
+        runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS i, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS r FROM documents) WHERE length(r) >= 6),
+        bytes AS (SELECT r, n, list_transform(range(length(x) // 2), lambda k: ('0x' || x[2 * k + 1:2 * k + 2])::BIGINT) AS b FROM (SELECT r, count(*) AS n, hex(encode(i || ':' || r)) AS x FROM runs GROUP BY i, r)),
+        hashed AS (SELECT r, n, xor(4294967295, list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c // 256, t[xor(c, x) % 256 + 1]))) AS h FROM bytes, crc),
+        words AS (SELECT w AS word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(r, 1, (h % length(r))::INTEGER) || substr(r, (h % length(r))::INTEGER + 2) ELSE r END AS w, n FROM hashed) WHERE length(w) >= 6 GROUP BY w HAVING sum(n) >= 5),
+        letters AS (SELECT array_to_string(list_transform(range(192, 256), lambda c: chr(c::INTEGER)), '') AS two, array_to_string(list_transform(range(33, 97), lambda c: chr(c::INTEGER)), '') AS one),
+        singles AS (SELECT word, n, translate(word, two, one) AS s FROM words, letters),
+        near AS (
+            SELECT a.word, b.word AS other, b.n AS other_n FROM singles a JOIN singles b ON length(b.s) BETWEEN length(a.s) - 1 AND length(a.s) + 1
+            WHERE (a.s[1:3] = b.s[1:3] OR a.s[-3:] = b.s[-3:]) AND levenshtein(a.s, b.s) = 1),
+        best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+        formed AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * w.n THEN other END AS form, CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+        chain AS (SELECT word, word AS here FROM formed UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.here WHERE f.form IS NOT NULL),
+        ends AS (SELECT c.word, c.here FROM chain c JOIN formed f ON f.word = c.here WHERE f.form IS NULL)
+        SELECT word, form, here AS root, n, n_near, form_n FROM formed JOIN ends USING (word)""",
     "op13_fill_in_middle": """
         WITH hashed AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
         units AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2, ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM hashed),
