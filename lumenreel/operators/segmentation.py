@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenreel.functions import languages as L
-from lumenreel.tables import running, scan
+from lumenreel.tables import running, scan, shared_checkpoint
 
 # Characters of a line and a block, words and seconds of a block, reading speeds, seconds of a short block, marks that end a sentence, marks cut off words, most seconds taken from a gap.
 LINE, BLOCK, MOST_WORDS, MOST_SECONDS = 42, 84, 24, 7.0
@@ -21,13 +23,17 @@ class Rules:
     """Words of one language at which lines and blocks should or should not break."""
 
     def __init__(self, language: str) -> None:
-        pick = lambda table: set(table.get(language, table["en"]).split())
-        self.no_start, self.no_end, self.good_end, self.short = (pick(t) for t in (L.NO_START, L.NO_END, L.GOOD_END, L.ABBREVIATIONS))
+        self.short = frozenset(L.ABBREVIATIONS.get(language, L.ABBREVIATIONS["en"]))
+        self.no_start, self.no_end, self.good_end = (self._ready(t.get(language, t["en"])) for t in (L.NO_START, L.NO_END, L.GOOD_END))
 
-    def among(self, word: str, rules: set[str]) -> bool:
+    @staticmethod
+    def _ready(words: tuple[str, ...]) -> tuple[frozenset[str], frozenset[str], tuple[str, ...]]:
+        """Words as they stand, words without anything but letters and digits, and beginnings, which end in an apostrophe."""
+        return frozenset(words), frozenset(re.sub(r"\W+", "", w) for w in words if not w.endswith("'")), tuple(w for w in words if w.endswith("'"))
+
+    def among(self, word: str, rules: tuple[frozenset[str], frozenset[str], tuple[str, ...]]) -> bool:
         w = word.strip().strip(STRIP).lower()
-        bare = re.sub(r"\W+", "", w)
-        return bool(w) and (w in rules or bare in {re.sub(r"\W+", "", r) for r in rules if not r.endswith("'")} or any(r.endswith("'") and w.startswith(r) for r in rules))
+        return bool(w) and (w in rules[0] or re.sub(r"\W+", "", w) in rules[1] or w.startswith(rules[2]))
 
     def between(self, left: str, right: str) -> int:
         """How bad a break between two words is."""
@@ -41,11 +47,20 @@ class Rules:
         """1 if a line ends without a mark or a good word."""
         return 0 if left[-1:] in STRONG or self.among(left, self.good_end) else 1
 
+    def weak_behind(self, word: str, trailing: str) -> int:
+        """1 if a span ends behind the word without a mark or a good word."""
+        return 0 if any(m in trailing for m in STRONG) or self.among(word, self.good_end) else 1
+
     def ends(self, word: str, trailing: str) -> bool:
         """Whether a sentence ends behind a word."""
         return any(m in trailing for m in STRONG) and (word + trailing).strip().lower() not in self.short
 
 
+@functools.cache
+def rules_of(language: str) -> Rules:
+    return Rules(language)
+
+
 class Breaks:
     """Tokens of a document, and what it costs to break behind each of them."""
 
@@ -77,54 +92,214 @@ class Breaks:
         return " ".join(first) + ("" if k is None else "\n" + " ".join(self.tokens[k + 1 : j + 1]))
 
 
-SEGMENTS = "segment int, first int, last int, start double, end double, text string, lines int, chars int, words int"
+SPAN = "first int, last int, raw_start double, raw_end double, chars int, words int, lines int, longest int, line_bad int, next_bad int, open_end boolean"
+ITEM = "struct<word:string,leading:string,trailing:string,start:double,end:double>"
+SPAN_NAMES = [c.split()[0] for c in SPAN.split(", ")]
 
 
-def segment(words: DataFrame, key: str, language: str) -> DataFrame:
-    """(key, segment, first, last, start, end, text, lines, chars, words): the best cut of each document into subtitles.
+def layout(words: list[dict], first: int, following: str | None, rules: Rules) -> tuple[tuple, str]:
+    """SPAN of the words of one span, and its text; `following` is the word behind them, null at a document's end."""
+    shown = Breaks([w["leading"] + w["word"] + w["trailing"] for w in words], rules)
+    n = len(words)
+    cut, _, bad, chars = shown.lines(0, n - 1)
+    text = shown.text(0, cut, n - 1)
+    lines = text.split("\n")
+    next_bad = rules.between(words[-1]["word"], following) if following is not None else 0
+    open_end = not rules.ends(words[-1]["word"], words[-1]["trailing"])
+    return (first, first + n - 1, words[0]["start"], words[-1]["end"], chars, n, len(lines), max(map(len, lines)), bad if cut is not None else 0, next_bad, open_end), text
+
 
-    `words` has (key, index, word, leading, trailing, start, end, language). Of all cuts into blocks
-    within the limits the one counts that has the fewest too fast blocks, then the lowest top speed,
-    the least speed above the limit, the fewest ends without a mark, the fewest short blocks, the
-    fewest blocks, and the best breaks. One document at a time; a block has at most 24 words, so the
-    work grows with the document's length.
+def lay_out(words: DataFrame, spans: DataFrame, key: str, language: str) -> DataFrame:
+    """(key, segment, language, SPAN, text, items) of spans (key, segment, first, last) of words (key, index from 0, word, leading, trailing, start, end, language)."""
+    wanted = spans.select(key, "segment", "first", "last", F.explode(F.sequence("first", F.col("last") + 1)).alias("index"))
+    rows = wanted.join(words.select(key, F.col("index").cast("int").alias("index"), "word", "leading", "trailing", "start", "end", F.col(language).alias("language")), [key, "index"])
+
+    def step(held: list, row: dict | None) -> list:
+        if row is not None:
+            held.append(row)
+            return []
+        own, behind = [r for r in held if r["index"] <= r["last"]], [r for r in held if r["index"] > r["last"]]
+        items = [{c: r[c] for c in ("word", "leading", "trailing", "start", "end")} for r in own]
+        span, text = layout(items, own[0]["first"], behind[0]["word"] if behind else None, rules_of(own[0]["language"]))
+        return [(own[0][key], own[0]["segment"], own[0]["language"], *span, text, items)]
+
+    kind = dict(spans.dtypes)
+    return scan(rows, [key, "segment"], ["index"], list, step, f"{key} {kind[key]}, segment {kind['segment']}, language string, {SPAN}, text string, items array<{ITEM}>")
+
+
+#: Places of a block. What a cut of a document costs, part by part: fast blocks; their top speed; speed above the limit in
+#: ten-millionths; ends without a mark and short blocks; blocks and bad breaks (two counts in one number).
+PLACES = 256
+WEIGHTS = ["fast", "speed", "over", "open_short", "count_bad"]
+_PAIR = 1 << 31
+_FAR = {"speed": np.inf} | dict.fromkeys(("fast", "over", "open_short", "count_bad"), np.int64(1) << 61)
+
+
+def _edges(held: list[dict], key: str, places: int) -> tuple:
+    """The ways from each place of a block of words: how many a place has, where each leads to from the block's first place on, and what it weighs."""
+    block = held[0]["block"]
+    own = [r for r in held if r["index"] >= block * places]
+    size = sum(r["index"] < (block + 1) * places for r in own)
+    word, lead, trail, t0, t1 = ([r[c] for r in own] for c in ("word", "leading", "trailing", "start", "end"))
+    rules, n = rules_of(own[0]["language"]), len(own)
+    shown = Breaks([lead[k] + word[k] + trail[k] for k in range(n)], rules)
+    before = held[0]["end"] if held[0]["index"] < block * places else 0.0
+    gaps = [max(0.0, a - b) for a, b in zip(t0, [before, *t1], strict=False)] + [0.0]
+    begin = [max(0.0, t0[k] - min(gaps[k] / 2, CAP)) for k in range(n)]
+    end = [t1[k] + min(gaps[k + 1] / 2, CAP) for k in range(n)]
+    ways, to, weights = [], [], {w: [] for w in WEIGHTS}
+    for i in range(size):
+        for j in range(i, min(n, i + MOST_WORDS)):
+            length = max(end[j] - begin[i], 0.01)
+            _, fits, bad, chars = shown.lines(i, j)
+            beyond = length > MOST_SECONDS or chars > BLOCK or not fits
+            if beyond and j > i:
+                break
+            v = chars / length
+            bad += rules.between(word[j], word[j + 1] if j + 1 < n else "")
+            to.append(j + 1)
+            for w, x in zip(WEIGHTS, (int(v > FAST), max(v, FAST), round(max(0.0, v - FAST) * 1e7), (not rules.ends(word[j], trail[j])) * _PAIR + (length < SHORT), _PAIR + bad), strict=True):
+                weights[w].append(x)
+            if beyond:
+                break
+        ways.append(len(to))
+    return (held[0][key], block, size, ways, to, *weights.values())
+
+
+def _along(op: str, weight: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """What ways weigh together with what follows them: sums or the larger one."""
+    return np.maximum(weight, rest) if op == "speed" else np.minimum(weight, _FAR[op]) + np.minimum(rest, _FAR[op])
+
+
+def _values(row: dict, weight: str, borders: np.ndarray) -> np.ndarray:
+    """Of each place of a block, and of the places behind it, the least that leads to the document's end; `borders` are those behind it, one or a row of them."""
+    size, to, w, ways = row["size"], np.asarray(row["to"]), np.asarray(row[weight]), [0, *row["ways"]]
+    values = np.full((size, *borders.shape[1:]), _FAR[weight], borders.dtype)
+    values = np.concatenate([values, borders])
+    for i in range(size - 1, -1, -1):
+        own = slice(ways[i], ways[i + 1])
+        rest = values[to[own]]
+        values[i] = _along(weight, w[own].reshape(-1, *[1] * (rest.ndim - 1)), rest).min(axis=0)
+    return values
+
+
+def _settled(blocks: DataFrame, key: str, weight: str) -> DataFrame:
+    """`blocks` with the ways alone that are best by one weight.
+
+    A block's matrix says what leads from each of its first places to each of the places behind it; the matrices are
+    an associative product, so all are made at once, and what runs through a document from its end is one row of a matrix.
+    """
+    columns, kind, number = blocks.columns, dict(blocks.dtypes), "double" if weight == "speed" else "bigint"
+    far = _FAR[weight]
+
+    def matrix(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                unit = np.full((MOST_WORDS, MOST_WORDS), far, np.float64 if weight == "speed" else np.int64)
+                np.fill_diagonal(unit, FAST if weight == "speed" else 0)
+                out.append((row[key], row["block"], -row["block"], _values(row, weight, unit)[:MOST_WORDS].ravel()))
+            yield pd.DataFrame(out, columns=[key, "block", "_back", "matrix"])
+
+    def border(held: list, row: dict | None) -> list:
+        if row is None:
+            return []
+        if not held:
+            start = np.full(MOST_WORDS, far)
+            start[0] = FAST if weight == "speed" else 0
+            held.append(start)
+        out = [(row[key], row["block"], held[0])]
+        held[0] = _along(weight, row["matrix"].reshape(MOST_WORDS, MOST_WORDS), held[0]).min(axis=1)
+        return out
+
+    def best(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                values, to = _values(row, weight, row["border"]), np.asarray(row["to"])
+                ways = np.diff([0, *row["ways"]])
+                stays = _along(weight, np.asarray(row[weight]), values[to]) == np.repeat(values[: row["size"]], ways)
+                row["ways"] = np.cumsum(np.add.reduceat(stays.astype(np.int64), [0, *row["ways"][:-1]])).tolist()
+                for c in ("to", *WEIGHTS):
+                    row[c] = np.asarray(row[c])[stays].tolist()
+                out.append([row[c] for c in columns])
+            yield pd.DataFrame(out, columns=columns)
+
+    matrices = blocks.select(key, "block", "size", "ways", "to", weight).mapInPandas(matrix, f"{key} {kind[key]}, block int, _back int, matrix array<{number}>")
+    borders = scan(matrices, [key], ["_back"], list, border, f"{key} {kind[key]}, block int, border array<{number}>")
+    return shared_checkpoint(blocks.join(borders, [key, "block"]).mapInPandas(best, ", ".join(f"{c} {kind[c]}" for c in columns)))
+
+
+def best_spans(words: DataFrame, key: str, language: str, places: int = PLACES) -> DataFrame:
+    """(key, segment, first, last): the best cut of each document of words (key, index from 0, word, leading, trailing, start, end, language).
+
+    Of all cuts into blocks within the limits the one counts that has the fewest too fast blocks, then the lowest top
+    speed, the least speed above the limit, the fewest ends without a mark, the fewest short blocks, the fewest blocks, and
+    the best breaks; it is chosen from the end on, part by part: ways that are not best by one part are
+    out before the next one is looked at. Of equals the shorter first block counts.
+
+    A document falls into blocks of `places` words, each with its ways, its matrix and its part of the cut made
+    by itself; what passes from block to block is 24 numbers, and on the way back the place where a block is entered. So a document of
+    any length spreads over tasks.
     """
-    kind = dict(words.dtypes)[key]
-
-    def of_document(names: tuple, w: pd.DataFrame) -> pd.DataFrame:
-        w = w.sort_values("index")
-        word, lead, trail, t0, t1 = (w[c].tolist() for c in ("word", "leading", "trailing", "start", "end"))
-        rules, n = Rules(w[language].iloc[0]), len(w)
-        shown = Breaks([lead[k] + word[k] + trail[k] for k in range(n)], rules)
-        between = [rules.between(a, b) for a, b in zip(word, [*word[1:], ""], strict=True)]
-        open_end = [not rules.ends(a, b) for a, b in zip(word, trail, strict=True)]
-        gaps = [max(0.0, t0[k] - (t1[k - 1] if k else 0.0)) for k in range(n)] + [0.0]
-        begin = [max(0.0, t0[k] - min(gaps[k] / 2, CAP)) for k in range(n)]
-        end = [t1[k] + min(gaps[k + 1] / 2, CAP) for k in range(n)]
-        # of each place: cost of the best cut from there on, and where its first block ends
-        best: list = [None] * n + [((0, FAST, 0.0, 0, 0, 0, 0), n, None, 0)]
-        for i in range(n - 1, -1, -1):
-            for j in range(i, min(n, i + MOST_WORDS)):
-                length = max(end[j] - begin[i], 0.01)
-                cut, fits, bad, chars = shown.lines(i, j)
-                beyond = length > MOST_SECONDS or chars > BLOCK or not fits
-                if beyond and j > i:
-                    break
-                rest, speed = best[j + 1][0], chars / length
-                cost = (rest[0] + (speed > FAST), max(rest[1], speed, FAST), rest[2] + max(0.0, speed - FAST), rest[3] + open_end[j], rest[4] + (length < SHORT), rest[5] + 1, rest[6] + bad + between[j])
-                if best[i] is None or cost < best[i][0]:
-                    best[i] = (cost, j + 1, cut, chars)
-                if beyond:
-                    break
-        out, i = [], 0
-        while i < n:
-            _, j, cut, chars = best[i]
-            text = shown.text(i, cut, j - 1)
-            out.append((names[0], len(out) + 1, i, j - 1, t0[i], t1[j - 1], text, text.count("\n") + 1, chars, j - i))
-            i = j
-        return pd.DataFrame(out, columns=[key, *[c.split()[0] for c in SEGMENTS.split(", ")]])
-
-    return words.groupBy(key).applyInPandas(of_document, f"{key} {kind}, {SEGMENTS}")
+    kind, index = dict(words.dtypes)[key], F.col("index").cast("int")
+    at = F.pmod(index, F.lit(places))
+    inside = F.floor(index / places).cast("int")
+    to_blocks = F.array_compact(F.array(inside, F.when((at <= MOST_WORDS) & (inside > 0), inside - 1), F.when(at == places - 1, inside + 1)))
+    rows = words.select(key, index.alias("index"), "word", "leading", "trailing", "start", "end", F.col(language).alias("language"), F.explode(to_blocks).alias("block"))
+
+    def ways(held: list, row: dict | None) -> list:
+        if row is not None:
+            held.append(row)
+            return []
+        # the block behind the last one has only the word before it
+        return [_edges(held, key, places)] if held[-1]["index"] >= held[0]["block"] * places else []
+
+    numbers = ", ".join(f"{w} array<{'double' if w == 'speed' else 'bigint'}>" for w in WEIGHTS)
+    blocks = shared_checkpoint(scan(rows, [key, "block"], ["index"], list, ways, f"{key} {kind}, block int, size int, ways array<bigint>, to array<bigint>, {numbers}"))
+    for weight in WEIGHTS:
+        blocks = _settled(blocks, key, weight)
+
+    def steps(row: dict, entered: int) -> list[int]:
+        """Places of a block that a cut passes, from the one where it enters to the first behind it."""
+        path = [entered]
+        while path[-1] < row["size"]:
+            path.append(row["to"][row["ways"][path[-1] - 1] if path[-1] else 0])
+        return path
+
+    def crossings(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                paths = [steps(row, a) for a in range(MOST_WORDS)]
+                out.append((row[key], row["block"], [p[-1] - row["size"] for p in paths], [len(p) - 1 for p in paths]))
+            yield pd.DataFrame(out, columns=[key, "block", "leaves", "passes"])
+
+    def entries(held: list, row: dict | None) -> list:
+        if row is None:
+            return []
+        place, number = held or (0, 1)
+        held[:] = int(row["leaves"][place]), number + int(row["passes"][place])
+        return [(row[key], row["block"], place, number)]
+
+    def spans(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                path = [row["block"] * places + p for p in steps(row, row["place"])]
+                out += [(row[key], row["number"] + k, a, b - 1) for k, (a, b) in enumerate(zip(path, path[1:], strict=False))]
+            yield pd.DataFrame(out, columns=[key, "segment", "first", "last"])
+
+    small = blocks.select(key, "block", "size", "ways", "to")
+    crossed = small.mapInPandas(crossings, f"{key} {kind}, block int, leaves array<bigint>, passes array<bigint>")
+    entered = scan(crossed, [key], ["block"], list, entries, f"{key} {kind}, block int, place int, number int")
+    return small.join(entered, [key, "block"]).mapInPandas(spans, f"{key} {kind}, segment int, first int, last int")
+
+
+def segment(words: DataFrame, key: str, language: str) -> DataFrame:
+    """(key, segment, first, last, start, end, text, lines, chars, words): the best cut of each document into subtitles; see best_spans."""
+    laid = lay_out(words, best_spans(words, key, language), key, language)
+    return laid.select(key, "segment", "first", "last", F.col("raw_start").alias("start"), F.col("raw_end").alias("end"), "text", "lines", "chars", "words")
 
 
 def share_gaps(segments: DataFrame, key: str) -> DataFrame:
@@ -146,26 +321,35 @@ def share_gaps(segments: DataFrame, key: str) -> DataFrame:
     return rows.withColumns({"start": start, "end": end}).drop("_need", "_pe", "_pn", "_ns", "_nn")
 
 
-def _better_share(left: dict, right: dict) -> None:
-    """Moves the end of one segment and the start of the next in the silence between them, if that reads better."""
-    gap = max(0.0, right["raw_start"] - left["raw_end"])
+def better_share(chars: tuple[int, int], raw_end: float, raw_start: float, left: tuple[float, float], right: tuple[float, float]) -> tuple[float, float]:
+    """(end of the left segment, start of the right one) as the silence between them is best shared; `left` and `right` are their starts and ends so far.
+
+    Shares are tried in steps of 0.05 s; of equals the first counts, and what stands before all.
+    """
+    gap = raw_start - raw_end
+    if gap <= 0.0:
+        return left[1], right[0]
     most = min(CAP, gap)
     total = min(gap, 2 * most)
-    now = (max(0.0, left["end"] - left["raw_end"]), max(0.0, right["raw_start"] - right["start"]))
-    own = [max(0.01, s["end"] - s["start"] - moved) for s, moved in zip((left, right), now, strict=True)]
-
-    def cost(shares: tuple[float, float]) -> tuple:
-        speeds = [s["chars"] / max(o + x, 0.01) for s, o, x in zip((left, right), own, shares, strict=True)]
-        tiers = [sum(v > tier for v in speeds) for tier in (FAST, FASTER, FASTEST)]
-        return (*tiers, max(speeds), sum(max(0.0, v - FAST) for v in speeds))
-
+    now = (max(0.0, left[1] - raw_end), max(0.0, raw_start - right[0]))
+    own = [max(0.01, s[1] - s[0] - moved) for s, moved in zip((left, right), now, strict=True)]
     low, high = max(0.0, total - most), min(most, total)
     steps = [low + 0.05 * k for k in range(int((high - low + 1e-9) / 0.05) + 1)]
     tried = sorted({round(x, 3) for x in (now[0], low, high, *steps)})
-    pairs = [(x, max(0.0, min(most, total - x))) for x in tried if x >= low - 1e-9]
-    best = min([now, *pairs], key=cost)  # of equals the first, so what stands stays
-    if gap > 0.0 and best != now:
-        left["end"], right["start"] = left["raw_end"] + best[0], right["raw_start"] - best[1]
+    best = None
+    for x, y in (now, *((x, max(0.0, min(most, total - x))) for x in tried if x >= low - 1e-9)):
+        v, w = chars[0] / max(own[0] + x, 0.01), chars[1] / max(own[1] + y, 0.01)
+        cost = ((v > FAST) + (w > FAST), (v > FASTER) + (w > FASTER), (v > FASTEST) + (w > FASTEST), max(v, w), max(0.0, v - FAST) + max(0.0, w - FAST))
+        if best is None or cost < best[0]:
+            best = (cost, x, y)
+    if best[1:] == now:
+        return left[1], right[0]
+    return raw_end + best[1], raw_start - best[2]
+
+
+def _better_share(left: dict, right: dict) -> None:
+    """Moves the end of one segment and the start of the next in the silence between them, if that reads better."""
+    left["end"], right["start"] = better_share((left["chars"], right["chars"]), left["raw_end"], right["raw_start"], (left["start"], left["end"]), (right["start"], right["end"]))
 
 
 def sweep_gaps(segments: DataFrame, key: str) -> DataFrame:
@@ -231,13 +415,28 @@ def seed_spans(seeds: DataFrame, key: str, position: str, words: str, totals: Da
     return spans.select(key, position, (F.col("_upto") - F.col("_w")).alias("first"), (F.col("_upto") - 1).alias("last"))
 
 
+def dense(segments: DataFrame, limit: float = FAST) -> DataFrame:
+    """The segments (speed, lines, chars) that are read too fast or nearly so, or are two full lines."""
+    return segments.where((F.col("speed") >= max(limit * 0.92, limit - 1.0)) | ((F.col("lines") >= 2) & (F.col("chars") >= 74)))
+
+
+def dense_order(index: str) -> list[Column]:
+    """The densest segments first, of equals the later one."""
+    score = F.col("speed") + F.when(F.col("lines") >= 2, F.lit(0.3)).otherwise(F.lit(0.0)) + F.col("chars") / 500.0
+    return [-score, -F.col("chars"), -F.col("words"), -F.col(index)]
+
+
 def dense_foci(segments: DataFrame, key: str, index: str, limit: float = FAST) -> DataFrame:
-    """(key, index, rank) of segments (speed, lines, chars, words) that are read too fast or are two full lines: the densest first, of equals the later one."""
-    two = F.col("lines") >= 2
-    dense = segments.where((F.col("speed") >= max(limit * 0.92, limit - 1.0)) | (two & (F.col("chars") >= 74)))
-    score = F.col("speed") + F.when(two, F.lit(0.3)).otherwise(F.lit(0.0)) + F.col("chars") / 500.0
-    ranked = dense.withColumns({"_a": -score, "_b": -F.col("chars"), "_c": -F.col("words"), "_d": -F.col(index)})
-    return running(ranked, [key], ["_a", "_b", "_c", "_d"], number="rank").select(key, index, "rank")
+    """(key, index, rank) of segments (speed, lines, chars, words) that are dense, ranked."""
+    names = ["_a", "_b", "_c", "_d"]
+    ranked = dense(segments, limit).withColumns(dict(zip(names, dense_order(index), strict=True)))
+    return running(ranked, [key], names, number="rank").select(key, index, "rank")
+
+
+def best_places(candidates: list[tuple[int, int, int]], first: int, last: int, most: int = 6) -> list[int]:
+    """The order of split_positions for one span's (place, weak, bad)."""
+    middle = (first + last) / 2.0
+    return [p for *_, p in sorted((weak, bad, abs(p - middle), p - first, p) for p, weak, bad in candidates)[:most]]
 
 
 def split_positions(candidates: DataFrame, span: list[str], at: str, most: int = 6) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenreel.functions import languages
 from lumenreel.functions import text as T
-
-from lumenreel.operators import assets, cues, scenes, segmentation, words
+from lumenreel.operators import assets, cues, repair, scenes, segmentation, words
 from lumenreel.sources import subtitles
 
 from .registry import Tables, query
@@ -198,6 +198,61 @@ def segment_dp(t: Tables) -> DataFrame:
     return segmentation.share_gaps(segmentation.segment(timed_words(t), "key", "language"), "key")
 
 
+def hurried_words(t: Tables) -> DataFrame:
+    """Words of turns that are said in 48 ms a character, with a breath of 0.3 s after every seventh: too fast to read in places."""
+    breath = F.floor(F.col("index") / 7) * 0.3
+    return timed_words(t).withColumns({"start": F.col("begin") * 0.048 + breath, "end": F.col("stop") * 0.048 + breath})
+
+
+@query()
+def repaired_segments(t: Tables) -> DataFrame:
+    """Hurried turns cut into spans of eight words, repaired where they read too fast."""
+    w = hurried_words(t)
+    at = F.floor(F.col("index") / 8).cast("int")
+    spans = w.groupBy("key", (at + 1).alias("segment")).agg(F.min("index").alias("first"), F.max("index").alias("last"))
+    return repair.repaired_segments(w, spans, "key", "language")
+
+
+@query()
+def recut_foci(t: Tables) -> DataFrame:
+    """The best cuts around the densest spans of hurried turns."""
+    w = hurried_words(t)
+    at = F.floor(F.col("index") / 8).cast("int")
+    spans = w.groupBy("key", (at + 1).alias("segment")).agg(F.min("index").alias("first"), F.max("index").alias("last"))
+    laid = repair.lay_out(w, spans, "key", "language")
+    speed = repair.speed(F.col("chars"), F.col("raw_start"), F.col("raw_end"))
+    return repair.recut(laid, segmentation.dense(laid.withColumn("speed", speed)).select("key", F.col("segment").alias("focus")), "key")
+
+
+_NO_END = ", ".join(f"'{w}'" for w in languages.NO_END["en"])
+SCORED_SQL = f"""WITH {CUES_SQL}, g AS (SELECT conv_id, turn, n_chars AS chars, n_words AS words, (40 * n_chars + 10 * n_words) / 1000 AS seconds,
+  CASE WHEN lower(regexp_extract(text, '([A-Za-z]+)[^A-Za-z]*$', 1)) IN ({_NO_END}) THEN 3 ELSE 0 END AS bad, NOT regexp_matches(text, '[.?!;:]$') AS open_end FROM cues),
+s AS (SELECT *, chars / greatest(seconds, 0.01) AS v, chars > 84 OR chars > 42 OR seconds > 7 AS beyond FROM g)"""
+
+
+def scored_cues(t: Tables) -> DataFrame:
+    """Cues that are read in 40 ms a character and 10 ms a word, each a segment of one line."""
+    bare = F.lower(F.regexp_extract("text", r"([A-Za-z]+)[^A-Za-z]*$", 1))
+    rows = cue_rows(t).select("conv_id", F.col("n_chars").alias("chars"), F.col("n_words").alias("words"), F.lit(1).alias("lines"), F.col("n_chars").alias("longest"), "text")
+    return rows.select(
+        "*", ((40 * F.col("chars") + 10 * F.col("words")) / 1000).alias("seconds"), F.when(bare.isin(*languages.NO_END["en"]), 3).otherwise(0).alias("weak"), (~F.rlike("text", F.lit("[.?!;:]$"))).alias("open_end")
+    )
+
+
+@query(f"""{SCORED_SQL} SELECT conv_id, CAST(count(*) FILTER (beyond) AS BIGINT) AS over_limits, count(*) FILTER (v > 30) AS over_30, count(*) FILTER (v > 24) AS over_24, count(*) FILTER (words < 2 OR chars < 10) AS tiny,
+  count(*) FILTER (seconds < 1.2) AS short, round(greatest(18.0, max(v)), 6) AS top_speed, count(*) FILTER (v > 18) AS over_18, round(sum(greatest(v - 18, 0)), 6) AS overflow, CAST(sum(bad) AS BIGINT) AS bad, count(*) AS segments FROM s GROUP BY ALL""")
+def repair_scores(t: Tables) -> DataFrame:
+    return repair.scores(scored_cues(t), "conv_id", F.col("seconds"), F.col("weak"))
+
+
+@query(f"""{SCORED_SQL}, a AS (SELECT conv_id, count(*) FILTER (beyond) = 0 AS whole, count(*) FILTER (v > 18) AS over_18, round(greatest(18.0, max(v)), 6) AS top_speed, round(sum(greatest(v - 18, 0)), 6) AS overflow,
+  count(*) FILTER (open_end) AS open_ends, count(*) FILTER (seconds < 1.2) AS short, count(*) AS segments, CAST(sum(bad) AS BIGINT) AS bad FROM s GROUP BY ALL)
+SELECT conv_id, whole, CASE WHEN whole THEN over_18 END AS over_18, CASE WHEN whole THEN top_speed END AS top_speed, CASE WHEN whole THEN overflow END AS overflow, CASE WHEN whole THEN open_ends END AS open_ends, CASE WHEN whole THEN segments END AS segments, CASE WHEN whole THEN bad END AS bad FROM a""")
+def cut_scores(t: Tables) -> DataFrame:
+    got = repair.cut_scores(scored_cues(t), "conv_id", F.col("seconds"), F.col("weak"), F.col("open_end"))
+    return got.select("conv_id", "whole", *[F.col(f"cut.{c}").alias(c) for c in ("over_18", "top_speed", "overflow", "open_ends", "segments", "bad")])
+
+
 @query()
 def word_align(t: Tables) -> DataFrame:
     """Each turn against what was heard of it: every seventh word is lost and every ninth is cut short."""

@@ -43,10 +43,11 @@ def running(df: DataFrame, keys: list[str], order: list[str], number: str | None
     return p.join(o, same).select(*[F.col(f"p.{c}") for c in cols], *[(F.col(f"_in_{k}") + F.col(f"_b_{k}")).alias(k) for k in sums])
 
 
-def first_of_key(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
-    """The first n rows of each key. Spark cuts to n rows a key in each task before it deals rows by key."""
+def first_of_key(df: DataFrame, keys: list[str], order: list[Column], n: int = 1, rank: str | None = None) -> DataFrame:
+    """The first n rows of each key, with their rank if it is named. Spark cuts to n rows a key in each task before it deals rows by key."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
+    ranked = df.withColumn(rank or "_rank", F.row_number().over(w)).where(F.col(rank or "_rank") <= n)
+    return ranked if rank else ranked.drop("_rank")
 
 
 def scan(df: DataFrame, keys: list[str], order: list[str], start, step, schema: str) -> DataFrame:
