@@ -84,4 +84,4 @@ def discovered_models(found: DataFrame, model: str) -> DataFrame:
     """Names of models as a provider lists them: trimmed, each once, blank ones left out, with `recommended` on the first by name whatever its case."""
     names = found.select(F.trim(F.col(model)).alias(model)).where(F.coalesce(F.col(model), F.lit("")) != "").distinct()
     first = names.agg(F.min_by(F.col(model), F.struct(F.lower(model), F.col(model))).alias("_first"))
-    return names.join(F.broadcast(first), how="left", on=F.lit(True)).select(model, (F.col(model) == F.col("_first")).alias("recommended"))
+    return names.select(model, (F.col(model) == first.scalar()).alias("recommended"))

@@ -232,8 +232,8 @@ def with_prompts(scenes: DataFrame, sources: list[tuple[DataFrame, str]], key: s
     """`scenes` (key, asset_type) that have a prompt: of sources (key, prompt) for one asset type each, later ones come first; a source counts only where its type occurs."""
     rows = None
     for n, (df, kind) in enumerate(sources):
-        there = scenes.where(F.col("asset_type") == kind).limit(1).select(F.lit(1).alias("_any"))
-        part = df.select(key, "prompt", F.lit(n).alias("_n")).join(F.broadcast(there), how="left_semi", on=F.lit(True))
+        part = df.select(key, "prompt", F.lit(n).alias("_n"), F.lit(kind).alias("asset_type"))
         rows = part if rows is None else rows.unionAll(part)
+    rows = rows.join(scenes.select("asset_type").distinct(), "asset_type", "left_semi")
     best = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by("prompt", F.struct("_n", "prompt")).alias("prompt"))
     return scenes.join(best, key)

@@ -277,12 +277,13 @@ def _by(key: str, *order: str):
     return Window.partitionBy(key).orderBy(*order)
 
 
-@query(f"""WITH {SCENES_SQL} SELECT conv_id, scene, start_ms FROM scenes WHERE end_ms - start_ms <= 18000""")
+@query(f"""WITH {SCENES_SQL}, n AS (SELECT conv_id, turn // 2 AS scene, count(*) AS cues FROM cues GROUP BY ALL)
+SELECT conv_id, scene, start_ms, end_ms, end_ms - start_ms AS filled_ms, end_ms - start_ms <= 18000 OR cues = 1 AS whole FROM scenes JOIN n USING (conv_id, scene)""")
 def short_scenes(t: Tables) -> DataFrame:
-    """Scenes that need no cut are passed on as they are."""
-    s = scene_rows(t)
-    parts = scenes.split_long(s, cue_rows(t), "conv_id", "scene")
-    return parts.join(s.where("end_ms - start_ms <= 18000").select("conv_id", "scene"), ["conv_id", "scene"]).select("conv_id", "scene", "start_ms")
+    """Scenes after long ones were cut: parts begin and end where their scene did, without a gap; scenes that need no cut are passed on as they are."""
+    parts = scenes.split_long(scene_rows(t), cue_rows(t), "conv_id", "scene")
+    ends = parts.groupBy("conv_id", "scene").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("filled_ms"), (F.count("*") == 1).alias("whole"))
+    return ends.select("conv_id", "scene", "start_ms", "end_ms", "filled_ms", "whole")
 
 
 @query()

@@ -78,8 +78,8 @@ def prompt_reports(t: Tables) -> DataFrame:
 
 _STATES = f"""
 WITH e AS (SELECT o_orderkey, o_orderkey % 2 = 0 AS has_text, unnest(CASE WHEN o_orderkey % 3 = 0 THEN ['en', 'de', 'fr'] ELSE ['en', 'de'] END) AS language FROM orders),
-s AS (SELECT l_orderkey AS o_orderkey, CASE l_linenumber WHEN 1 THEN 'en' WHEN 2 THEN 'de' ELSE 'fr' END AS language, CASE l_returnflag WHEN 'A' THEN 'done' WHEN 'R' THEN 'failed' ELSE 'pending' END AS tr, CASE l_partkey % 3 WHEN 0 THEN 'done' WHEN 1 THEN 'queued' ELSE 'pending' END AS sp,
-  l_partkey % 2 = 0 AS script, l_partkey % 4 < 2 AS audio, CASE WHEN l_partkey % 5 = 0 THEN 'boom' ELSE '' END AS error_message FROM {LINES} WHERE l_linenumber <= 3),
+s AS (SELECT l_orderkey AS o_orderkey, ['en', 'de', 'fr', 'es', 'it', 'pt', 'pl'][l_linenumber] AS language, CASE l_returnflag WHEN 'A' THEN 'done' WHEN 'R' THEN 'failed' ELSE 'pending' END AS tr, CASE l_partkey % 3 WHEN 0 THEN 'done' WHEN 1 THEN 'queued' ELSE 'pending' END AS sp,
+  l_partkey % 2 = 0 AS script, l_partkey % 4 < 2 AS audio, CASE WHEN l_partkey % 5 = 0 THEN 'boom' ELSE '' END AS error_message FROM {LINES}),
 j AS (SELECT e.o_orderkey, e.language, has_text, tr, sp, script, audio, coalesce(error_message, '') AS error_message FROM e LEFT JOIN s ON s.o_orderkey = e.o_orderkey AND s.language = e.language),
 r AS (SELECT 'translation' AS stage, *, CASE WHEN tr IS NULL THEN 'missing language status' WHEN tr <> 'done' THEN 'translation status is ''' || tr || '''' WHEN NOT (script OR (language = 'en' AND has_text)) THEN 'missing translated script assets' END AS reason FROM j
   UNION ALL SELECT 'tts', *, CASE WHEN sp IS NULL THEN 'missing language status' WHEN sp <> 'done' THEN 'tts status is ''' || sp || '''' WHEN NOT audio THEN 'missing narration audio' END FROM j)"""
@@ -92,8 +92,8 @@ def _episodes(t: Tables) -> DataFrame:
 
 def _statuses(t: Tables) -> DataFrame:
     p, flag = F.col("l_partkey"), F.col("l_returnflag")
-    return lines(t).where("l_linenumber <= 3").select(
-        F.col("l_orderkey").alias("o_orderkey"), F.element_at(F.array(F.lit("en"), F.lit("de"), F.lit("fr")), F.col("l_linenumber").cast("int")).alias("language"), F.when(flag == "A", " Done").when(flag == "R", "failed").alias("translation_status"),
+    return lines(t).select(
+        F.col("l_orderkey").alias("o_orderkey"), F.element_at(F.array(*[F.lit(x) for x in ("en", "de", "fr", "es", "it", "pt", "pl")]), F.col("l_linenumber").cast("int")).alias("language"), F.when(flag == "A", " Done").when(flag == "R", "failed").alias("translation_status"),
         by(p, "done", "queued", "").alias("tts_status"), (p % 2 == 0).alias("script"), (p % 4 < 2).alias("audio"), F.when(p % 5 == 0, " boom ").alias("error_message"),
     )
 

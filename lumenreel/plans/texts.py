@@ -86,13 +86,20 @@ def issue_category(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", quality.issue_category(F.col("text")).alias("category"))
 
 
+_LEAKS = "|".join(languages.ENGLISH_INVITES)
+_WORDINGS = " OR ".join(f"(lang = '{code}' AND regexp_matches(t, '(?i){pattern}'))" for code, rules in languages.BAD_WORDINGS.items() for pattern, _ in rules)
+
+
 @query(rf"""
-SELECT doc_id, array_to_string(list_filter([CASE WHEN trim(text) = '' THEN 'empty_output' END, CASE WHEN lang <> 'en' AND regexp_matches(lower(text), '\b(subscribe to|share this video|like this video|click here)\b') THEN 'english_cta_leak' END,
-  CASE WHEN trim(text) <> '' AND regexp_matches(text, '\d') THEN 'digits_present' END], lambda x: x IS NOT NULL), ',') AS codes FROM documents""")
+WITH d AS (SELECT doc_id, lang, trim(coalesce(text, '')) AS t FROM documents),
+w AS (SELECT doc_id, trim(unnest(string_split(regexp_replace(t, '\s+', ' ', 'g'), ' ')), '()[]{{}}<>"''.,;:!?') AS w FROM d),
+g AS (SELECT DISTINCT doc_id FROM w WHERE length(w) >= 6 AND (regexp_matches(regexp_replace(w, '[^A-Za-z]', '', 'g'), '(?i)^[bcdfghjklmnpqrstvwxyz]{{8,}}$') OR len(list_filter(range(1, length(w) - 4), lambda i: substr(w, i, 6) = repeat(substr(w, i, 1), 6))) > 0)),
+f AS (SELECT doc_id, t, lang <> 'en' AND regexp_matches(t, '(?i)(?:{_LEAKS})') AS leak, {_WORDINGS} AS wording, regexp_matches(t, '\p{{Nd}}') AS digits, g.doc_id IS NOT NULL AS odd FROM d LEFT JOIN g USING (doc_id))
+SELECT doc_id, CASE WHEN t = '' THEN 'empty_output' ELSE array_to_string(list_filter([CASE WHEN leak THEN 'english_cta_leak' END, CASE WHEN wording THEN 'language_rule_violation' END, CASE WHEN digits THEN 'digits_present' END, CASE WHEN odd THEN 'gibberish_output' END], lambda x: x IS NOT NULL), ',') END AS codes FROM f""")
 def doc_findings(t: Tables) -> DataFrame:
-    """Categories of findings; those of language rules and gibberish have no form in the oracle's patterns and are tested by themselves."""
+    """Categories of findings of each document."""
     codes = F.array_distinct(F.transform(quality.findings(F.col("text"), F.col("lang")), lambda f: f["category"]))
-    return t.documents.select("doc_id", F.array_join(F.filter(codes, lambda c: ~c.isin("language_rule_violation", "gibberish_output")), ",").alias("codes"))
+    return t.documents.select("doc_id", F.array_join(codes, ",").alias("codes"))
 
 
 @query(rf"""
@@ -153,9 +160,10 @@ def token_form(t: Tables) -> DataFrame:
 
 
 @query(r"""
-WITH a AS (SELECT item_id AS entity, lower(regexp_extract(text, '^[A-Za-z]{2,}')) AS alias FROM benchmark WHERE regexp_matches(text, '^[A-Za-z]{2,}[ .,]')),
+WITH a AS (SELECT item_id AS entity, lower(regexp_extract(text, '[\p{L}\p{M}\p{N}_]+')) AS alias FROM benchmark),
 w AS (SELECT page_id, unnest(string_split(trim(regexp_replace(lower(html), '[^\p{L}\p{N}\p{M}_]+', ' ', 'g')), ' ')) AS word FROM pages)
 SELECT DISTINCT page_id, entity FROM w JOIN a ON word = alias""")
 def entity_mentions(t: Tables) -> DataFrame:
-    names = t.benchmark.where(F.regexp_like("text", F.lit("^[A-Za-z]{2,}[ .,]"))).select(F.col("item_id").alias("entity"), F.regexp_extract("text", "^[A-Za-z]{2,}", 0).alias("alias"))
+    """Pages that hold the first word of a benchmark item."""
+    names = t.benchmark.select(F.col("item_id").alias("entity"), F.regexp_extract("text", r"(?U)\w+", 0).alias("alias"))
     return entities.mentions(t.pages, "page_id", "html", names).select("page_id", "entity")

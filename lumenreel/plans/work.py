@@ -82,23 +82,25 @@ def job_submissions(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT conv_id, list_filter(list(trim(left(text, 20)) ORDER BY turn), lambda x: x <> '') AS texts, conv_id % 2 = 0 AS chunked, CASE WHEN conv_id % 3 = 0 THEN ' one text ' ELSE '' END AS single FROM conversations WHERE turn % 3 = 1 GROUP BY conv_id)
+WITH c AS (SELECT conv_id, coalesce(list_filter(list(trim(text) ORDER BY turn) FILTER (role = 'system'), lambda x: x <> ''), []) AS texts, conv_id % 2 = 0 AS chunked, CASE WHEN conv_id % 3 = 0 THEN max(text) ELSE '' END AS single FROM conversations GROUP BY conv_id)
 SELECT conv_id, CASE WHEN len(texts) > 0 AND chunked THEN array_to_string(texts, '|') END AS texts, CASE WHEN len(texts) > 0 AND NOT chunked THEN array_to_string(texts, ' ') WHEN len(texts) = 0 THEN nullif(trim(single), '') END AS to_pack, CASE WHEN len(texts) = 0 AND trim(single) = '' THEN 'no text' END AS error FROM c""")
 def resolved_texts(t: Tables) -> DataFrame:
-    rows = t.conversations.where("turn % 3 = 1").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.left(x["text"], F.lit(20))).alias("texts"))
-    got = jobs.job_texts(F.col("texts"), F.col("conv_id") % 2 == 0, F.when(F.col("conv_id") % 3 == 0, " one text ").otherwise(""))
+    """Texts of a conversation's system turns, else its last text by name where the conversation brings one."""
+    of_system = F.collect_list(F.when(F.col("role") == "system", F.struct("turn", "text")))
+    rows = t.conversations.groupBy("conv_id").agg(F.transform(F.array_sort(of_system), lambda x: x["text"]).alias("texts"), F.max("text").alias("single"))
+    got = jobs.job_texts(F.col("texts"), F.col("conv_id") % 2 == 0, F.when(F.col("conv_id") % 3 == 0, F.col("single")).otherwise(""))
     return rows.select("conv_id", F.array_join(got["texts"], "|").alias("texts"), got["to_pack"].alias("to_pack"), got["error"].alias("error"))
 
 
 @query("""
 SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 's' WHEN doc_id % 3 = 0 THEN 'g' WHEN doc_id % 2 = 0 THEN 'r' END AS path,
- CASE WHEN doc_id % 5 = 0 OR doc_id % 3 = 0 OR doc_id % 2 = 0 THEN trim(left(text, 30)) WHEN lang = 'en' OR doc_id % 7 = 0 THEN 'source' END AS text,
- CASE WHEN NOT (doc_id % 5 = 0 OR doc_id % 3 = 0 OR doc_id % 2 = 0 OR lang = 'en' OR doc_id % 7 = 0) THEN 'no translated script for ' || lang END AS error FROM documents WHERE lang IS NOT NULL""")
+ CASE WHEN doc_id % 5 = 0 OR doc_id % 3 = 0 OR doc_id % 2 = 0 THEN trim(text) WHEN lang = 'en' OR doc_id % 7 = 0 THEN 'source' END AS text,
+ CASE WHEN NOT (doc_id % 5 = 0 OR doc_id % 3 = 0 OR doc_id % 2 = 0 OR lang = 'en' OR doc_id % 7 = 0) THEN 'no translated script for ' || lang END AS error FROM documents""")
 def speech_sources(t: Tables) -> DataFrame:
     k = F.col("doc_id")
     path = jobs.script_source(F.when(k % 5 == 0, "s"), F.when(k % 3 == 0, "g").otherwise(""), F.when(k % 2 == 0, "r"))
-    got = jobs.speech_text(F.when(path.isNotNull(), F.left("text", F.lit(30))), F.lit(" source "), F.col("lang"), F.lit(" "), F.when(k % 7 == 0, " Done").otherwise("failed"))
-    return t.documents.where("lang is not null").select("doc_id", path.alias("path"), got["text"].alias("text"), got["error"].alias("error"))
+    got = jobs.speech_text(F.when(path.isNotNull(), F.col("text")), F.lit(" source "), F.col("lang"), F.lit(" "), F.when(k % 7 == 0, " Done").otherwise("failed"))
+    return t.documents.select("doc_id", path.alias("path"), got["text"].alias("text"), got["error"].alias("error"))
 
 
 @query("""
@@ -133,10 +135,10 @@ def scene_prompts(t: Tables) -> DataFrame:
 
 
 @query(r"""
-WITH w AS (SELECT doc_id, unnest(string_split(left(text, 400), ' ')) AS word, generate_subscripts(string_split(left(text, 400), ' '), 1) - 1 AS place FROM documents WHERE text IS NOT NULL),
+WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS place FROM documents),
 f AS (SELECT *, lower(regexp_replace(word, '[^\p{L}\p{M}\p{N}_]+', '', 'g')) AS form FROM w) SELECT doc_id, CAST(place AS INTEGER) AS place, form FROM f WHERE form <> ''""")
 def recognised_words(t: Tables) -> DataFrame:
-    rows = t.documents.where("text is not null").select("doc_id", F.posexplode(F.split(F.left("text", F.lit(400)), " ")).alias("place", "word"))
+    rows = t.documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("place", "word"))
     return words.recognised(rows, "word").select("doc_id", "place", "form")
 
 
@@ -195,16 +197,20 @@ def discovered_models(t: Tables) -> DataFrame:
     return profiles.discovered_models(t.customer.select(F.concat(F.lit(" "), F.col("c_mktsegment")).alias("model")).unionAll(t.customer.select(F.lit(" "))), "model")
 
 
+LABEL_CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in quality.LABELS.items())
+
+
 @query("""
-WITH q AS (SELECT doc_id, doc_id % 2 = 0 AS has, CASE doc_id % 3 WHEN 0 THEN ['digits_present'] WHEN 1 THEN [] ELSE ['english_cta_leak', 'digits_present'] END AS given, ['empty_output'] AS own, CASE WHEN doc_id % 5 = 0 THEN 'rate limit exceeded 429' ELSE '' END AS msg FROM documents)
-SELECT doc_id, CASE WHEN has THEN array_to_string(CASE WHEN len(given) > 0 THEN given ELSE own END, ',') WHEN msg <> '' THEN 'faithfulness' ELSE '' END AS categories, CASE WHEN has THEN doc_id % 4 = 0 END AS passed, CASE WHEN doc_id % 7 = 0 THEN 'short' END AS summary FROM q WHERE doc_id % 7 = 0 OR (NOT has AND msg = '')""")
+WITH q AS (SELECT doc_id, doc_id % 2 = 0 AS has, CASE doc_id % 3 WHEN 0 THEN ['digits_present'] WHEN 1 THEN [] ELSE ['english_cta_leak', 'digits_present'] END AS given, ['empty_output'] AS own, CASE WHEN doc_id % 5 = 0 THEN 'rate limit exceeded 429' ELSE '' END AS msg FROM documents),
+c AS (SELECT *, CASE WHEN has THEN CASE WHEN len(given) > 0 THEN given ELSE own END WHEN msg <> '' THEN ['faithfulness'] ELSE [] END AS found FROM q),
+l AS (SELECT *, list_filter(list_transform(found, lambda x: CASE x {LABEL_CASES} END), lambda x: x IS NOT NULL) AS labels FROM c)
+SELECT doc_id, array_to_string(found, ',') AS categories, CASE WHEN has THEN doc_id % 4 = 0 END AS passed, CASE WHEN doc_id % 7 = 0 THEN 'short' WHEN len(labels) > 1 AND labels[1] <> labels[2] THEN labels[1] || ' and ' || labels[2] ELSE labels[1] END AS summary FROM l""".replace("{LABEL_CASES}", LABEL_CASES))
 def feedback_rows(t: Tables) -> DataFrame:
     k = F.col("doc_id")
     report = F.when(k % 2 == 0, F.struct(F.array(F.lit(" empty_output "), F.lit("")).alias("error_categories"), F.lit("").alias("error_summary"), (k % 4 == 0).alias("passed")))
     given = F.when(k % 3 == 0, F.array(F.lit("digits_present"))).when(k % 3 == 2, F.array(F.lit("english_cta_leak"), F.lit("digits_present")))
     got = quality.feedback(F.when(k % 5 == 0, "rate limit exceeded 429").otherwise(""), F.when(k % 7 == 0, "short"), given, report)
-    rows = t.documents.select("doc_id", F.array_join(got["categories"], ",").alias("categories"), got["passed"].alias("passed"), got["summary"].alias("summary"))
-    return rows.where((k % 7 == 0) | ((k % 2 == 1) & (k % 5 != 0)))
+    return t.documents.select("doc_id", F.array_join(got["categories"], ",").alias("categories"), got["passed"].alias("passed"), got["summary"].alias("summary"))
 
 
 @query("""SELECT doc_id, CASE lang WHEN 'de' THEN 'de' WHEN 'fr' THEN 'fr' WHEN 'es' THEN 'es' ELSE CASE WHEN doc_id % 2 = 0 THEN 'zh-cn' ELSE 'en' END END AS code FROM documents""")
@@ -218,12 +224,12 @@ def speech_codes(t: Tables) -> DataFrame:
 
 
 @query(f"""SELECT event_id, CASE event_type WHEN 'click' THEN 'running' WHEN 'view' THEN 'queued' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'pending' END AS stage, CAST(greatest(user_id, event_id % 7, 0) AS DOUBLE) AS recency,
-  CASE WHEN event_type IN ('click', 'view') THEN event_type WHEN user_id % 2 = 0 THEN 'view' ELSE 'view' END AS start, CASE WHEN event_id % 3 = 0 THEN greatest(60 - user_id, 0) END AS shutdown, (epoch_us({NOW}) - epoch_us(ts)) / 1000000 AS age FROM events WHERE ts <= {NOW}""")
+  CASE WHEN event_type IN ('click', 'view') THEN event_type WHEN user_id % 2 = 0 THEN 'view' ELSE 'view' END AS start, CASE WHEN event_id % 3 = 0 THEN greatest(60 - user_id, 0) END AS shutdown, greatest((epoch_us({NOW}) - epoch_us(ts)) / 1000000, 0) AS age FROM events""")
 def job_states(t: Tables) -> DataFrame:
     e = F.col("event_type")
     raw = F.when(e == "click", " Processing").when(e == "view", "queued").when(e == "purchase", "DONE").when(e == "error", "error").otherwise("whatever")
     start = jobs.start_stage(e, F.when(F.col("user_id") % 2 == 0, "view"), ("view", "click"))
-    return t.events.where(F.col("ts") <= now()).select("event_id", jobs.stage_status(raw).alias("stage"), jobs.recency(F.col("user_id"), F.col("event_id") % 7, F.lit(None)).alias("recency"), start.alias("start"), jobs.shutdown_in(F.col("user_id"), F.col("event_id") % 3).alias("shutdown"), times.age_seconds(F.col("ts"), now()).alias("age"))
+    return t.events.select("event_id", jobs.stage_status(raw).alias("stage"), jobs.recency(F.col("user_id"), F.col("event_id") % 7, F.lit(None)).alias("recency"), start.alias("start"), jobs.shutdown_in(F.col("user_id"), F.col("event_id") % 3).alias("shutdown"), times.age_seconds(F.col("ts"), now()).alias("age"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN o_orderstatus WHEN o_orderkey % 4 < 1 THEN NULL ELSE o_orderstatus END AS a, CASE WHEN o_orderkey % 4 < 2 THEN NULL ELSE o_orderpriority END AS b, CASE WHEN o_orderkey % 4 < 3 THEN NULL ELSE o_custkey END AS c FROM orders""")
@@ -280,8 +286,25 @@ def target_languages(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", F.array_join(profiles.languages(own, F.lit("en")), ",").alias("languages"))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Prompt is empty.' WHEN 1 THEN 'Prompt is too short to be useful.' WHEN 2 THEN '' ELSE 'Prompt must be a single line.' END AS errors, CASE p_partkey % 4 WHEN 0 THEN '' ELSE upper(left(p_name, 1)) || substr(p_name, 2) || '.' END AS sentence FROM part WHERE p_name NOT LIKE '%same%'""")
+def _rewritten(c: str) -> str:
+    """SQL of a prompt's fragment without references to others."""
+    c = f"replace(trim(regexp_replace({c}, '\\s+', ' ', 'g')), ';', ',')"
+    for pattern, to in T.PROMPT_REWRITES:
+        c = f"regexp_replace({c}, '{pattern}', '{to}', 'g')"
+    return f"trim(regexp_replace({c}, '\\s*,\\s*', ', ', 'g'), ' ,;')"
+
+
+_BANNED = ", ".join(f"CASE WHEN regexp_matches(line, '(?i){p}') THEN 'Prompt contains banned content matching {p}.' END" for p in T.PROMPT_BANNED)
+
+
+@query(rf"""WITH p AS (SELECT p_partkey, p_partkey % 4 AS k, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN p_name WHEN 2 THEN 'the same ' || p_name || ' and five more words here now' ELSE p_name || chr(10) || ' as before, {{five}} more words here' END AS line,
+  CASE WHEN p_partkey % 4 = 0 THEN ' ; ' ELSE '  same ' || p_name || ' ;' END AS part FROM part),
+v AS (SELECT *, {_rewritten("part")} AS v FROM p)
+SELECT p_partkey, CASE WHEN line = '' THEN 'Prompt is empty.' ELSE array_to_string(list_filter([CASE WHEN regexp_matches(line, '[\r\n]') THEN 'Prompt must be a single line.' END,
+  CASE WHEN len(list_filter(string_split(regexp_replace(line, '\s+', ' ', 'g'), ' '), lambda x: x <> '')) < 6 THEN 'Prompt is too short to be useful.' END, {_BANNED}], lambda x: x IS NOT NULL), ' ') END AS errors,
+  CASE WHEN v = '' THEN '' ELSE upper(left(v, 1)) || rtrim(substr(v, 2), ' .,:;') || '.' END AS sentence FROM v""")
 def prompt_lines(t: Tables) -> DataFrame:
-    k = F.col("p_partkey") % 4
-    line = F.when(k == 0, "").when(k == 1, F.col("p_name")).when(k == 2, F.concat(F.col("p_name"), F.lit(" and five more words here now"))).otherwise(F.concat(F.col("p_name"), F.lit("\n and five more words here")))
-    return t.part.where("p_name not like '%same%'").select("p_partkey", F.array_join(T.prompt_errors(line), " ").alias("errors"), T.sentence(F.when(k == 0, " ; ").otherwise(F.concat(F.lit("  "), F.col("p_name"), F.lit(" ;")))).alias("sentence"))
+    k, name = F.col("p_partkey") % 4, F.col("p_name")
+    line = F.when(k == 0, "").when(k == 1, name).when(k == 2, F.concat(F.lit("the same "), name, F.lit(" and five more words here now"))).otherwise(F.concat(name, F.lit("\n as before, {five} more words here")))
+    part = F.when(k == 0, " ; ").otherwise(F.concat(F.lit("  same "), name, F.lit(" ;")))
+    return t.part.select("p_partkey", F.array_join(T.prompt_errors(line), " ").alias("errors"), T.sentence(part).alias("sentence"))
