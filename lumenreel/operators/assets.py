@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenreel.functions import text as T
+from lumenreel.tables import running, shared_checkpoint
 
 
 def scan_files(files: DataFrame, name: str) -> DataFrame:
@@ -27,39 +27,47 @@ def type_sequence(scenes: DataFrame, group: str, order: str) -> DataFrame:
     return scenes.withColumn("type_number", F.row_number().over(Window.partitionBy(group, "asset_type").orderBy(order)))
 
 
+def by_wish(scenes: DataFrame, files: DataFrame, group: str) -> DataFrame:
+    """(group, scene, name, kind): each scene's first free file with its place or else its own number, of its type if there is one; earlier scenes choose first.
+
+    All scenes ask at once for the best file that no earlier scene is known to have, and a file keeps the earliest that asks.
+    Whoever was refused asks on in the next round, until all have different files; what an earlier scene has asked for only ever goes to
+    one still earlier, so nobody is refused a file that would have been free in turn. There are as many rounds as
+    scenes that want one number, at most; scenes with numbers of their own need one.
+    """
+    numbers = F.array_distinct(F.array_compact(F.array(F.col("scene").cast("bigint"), F.col("scene_number").cast("bigint"))))
+    wishes = scenes.select(group, "scene", "asset_type", F.posexplode(numbers).alias("wish", "number"))
+    found = wishes.join(files.select(group, F.col("number").cast("bigint").alias("number"), "name", "kind"), [group, "number"])
+    other = F.coalesce(F.nullif("asset_type", F.lit("")) != F.col("kind"), F.lit(False))
+    asked = shared_checkpoint(found.select(group, "scene", F.struct(other.alias("other"), "wish", "name", "kind").alias("file")))
+    while True:
+        best = shared_checkpoint(asked.groupBy(group, "scene").agg(F.min("file").alias("file")))
+        holders = best.groupBy(group, F.col("file.name").alias("_name")).agg(F.min("scene").alias("_holder"), F.count("*").alias("_asking"))
+        if holders.where("_asking > 1").isEmpty():
+            return best.select(group, "scene", "file.name", "file.kind")
+        refusing = holders.select(group, "_name", "_holder")
+        asked = shared_checkpoint(asked.withColumn("_name", F.col("file.name")).join(refusing, [group, "_name"], "left").where("_holder is null or scene <= _holder").select(group, "scene", "file"))
+
+
+def in_order(scenes: DataFrame, files: DataFrame, group: str) -> DataFrame:
+    """(group, scene, name, kind): the first scene gets the first file, and so on; what is over on either side gets nothing."""
+    left = running(scenes.select(group, "scene"), [group], ["scene"], number="_n")
+    right = running(files.select(group, "sort_number", "name", "kind"), [group], ["sort_number", "name"], number="_n")
+    return left.join(right.select(group, "_n", "name", "kind"), [group, "_n"]).select(group, "scene", "name", "kind")
+
+
 def assign(scenes: DataFrame, files: DataFrame, group: str) -> DataFrame:
     """(group, scene, name, kind) of scenes (scene: place from 1, scene_number, asset_type) and scanned files (name, number, kind).
 
     In order of scenes, each takes the first free file with its place or else its own number, of its
     type if there is one. Scenes that got none then take the files left, in order; those beyond them
-    get none. One group at a time: what a scene takes depends on the scenes before it.
+    get none. No group is gathered: the first pass joins by number, the second by two running numbers. Of a name that comes twice
+    in a group one counts.
     """
-    kind = dict(scenes.dtypes)[group]
-
-    def of_group(names: tuple, s: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["sort_number", "name"])
-        files = list(zip(f["name"].tolist(), f["number"].tolist(), f["kind"].tolist(), strict=True))
-        numbers: dict[int, list[int]] = {}
-        for k, (_, number, _) in enumerate(files):
-            if number == number and number is not None:
-                numbers.setdefault(int(number), []).append(k)
-        free, taken = set(range(len(files))), {}
-        s = s.sort_values("scene")
-        rows = list(zip(s["scene"].tolist(), s["scene_number"].tolist(), s["asset_type"].tolist(), strict=True))
-        for scene, own, wanted in rows:
-            wishes = [k for n in dict.fromkeys([scene, own]) for k in numbers.get(n, ()) if k in free]
-            pick = next((k for k in wishes if files[k][2] == wanted or not wanted), wishes[0] if wishes else None)
-            if pick is not None:
-                taken[scene] = pick
-                free.discard(pick)
-        left = iter(sorted(free))
-        for scene, _, _ in rows:
-            if scene not in taken and (k := next(left, None)) is not None:
-                taken[scene] = k
-        out = [(names[0], scene, files[k][0], files[k][2]) for scene, k in sorted(taken.items())]
-        return pd.DataFrame(out, columns=[group, "scene", "name", "kind"])
-
-    return scenes.select(group, "scene", "scene_number", "asset_type").groupBy(group).cogroup(files.select(F.col(group).alias("_group"), "name", "number", "sort_number", "kind").groupBy("_group")).applyInPandas(of_group, f"{group} {kind}, scene bigint, name string, kind string")
+    once = shared_checkpoint(files.groupBy(group, "name").agg(F.min(F.struct("sort_number", "number", "kind")).alias("f")).select(group, "name", "f.*"))
+    first = shared_checkpoint(by_wish(scenes, once, group).withColumn("scene", F.col("scene").cast("bigint")))
+    free_scenes = scenes.select(group, F.col("scene").cast("bigint").alias("scene")).join(first, [group, "scene"], "left_anti")
+    return first.unionByName(in_order(free_scenes, once.join(first, [group, "name"], "left_anti"), group))
 
 
 def match_uploads(scenes: DataFrame, uploads: DataFrame, group: str, order: str) -> DataFrame:

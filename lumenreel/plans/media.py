@@ -261,14 +261,20 @@ def word_align(t: Tables) -> DataFrame:
     return words.align_report(words.align(w, heard, "key", "language"), "key")
 
 
-@query()
+@query("""WITH s AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS scene, CASE WHEN o_orderkey % 2 = 0 THEN 'image' ELSE 'video' END AS wanted FROM orders),
+f AS (SELECT DISTINCT o_custkey, l_linenumber AS number, l_linenumber || '_' || (l_orderkey % 100) || CASE WHEN l_partkey % 2 = 0 THEN '.png' ELSE '.mp4' END AS name, CASE WHEN l_partkey % 2 = 0 THEN 'image' ELSE 'video' END AS kind FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+w AS (SELECT s.o_custkey, scene, name, kind, row_number() OVER (PARTITION BY s.o_custkey, scene ORDER BY kind <> wanted, name) AS n FROM s JOIN f ON f.o_custkey = s.o_custkey AND f.number = s.scene),
+p AS (SELECT o_custkey, scene, name, kind FROM w WHERE n = 1),
+l AS (SELECT s.o_custkey, s.scene, row_number() OVER (PARTITION BY s.o_custkey ORDER BY s.scene) AS n FROM s ANTI JOIN p ON p.o_custkey = s.o_custkey AND p.scene = s.scene),
+r AS (SELECT f.o_custkey, f.name, f.kind, row_number() OVER (PARTITION BY f.o_custkey ORDER BY f.number, f.name) AS n FROM f ANTI JOIN p ON p.o_custkey = f.o_custkey AND p.name = f.name)
+SELECT * FROM p UNION ALL SELECT l.o_custkey, l.scene, r.name, r.kind FROM l JOIN r ON r.o_custkey = l.o_custkey AND r.n = l.n""")
 def asset_assignment(t: Tables) -> DataFrame:
-    """Orders of a customer play scenes, their lines the files."""
+    """Orders of a customer play scenes, their lines the files, numbered by line: scenes with that place choose, the others take what is left in order."""
     o = t.orders.select("o_custkey", "o_orderkey", F.row_number().over(_by("o_custkey", "o_orderkey")).cast("bigint").alias("scene"))
-    s = o.select("o_custkey", "scene", F.col("o_orderkey").alias("scene_number"), F.when(F.col("o_orderkey") % 2 == 0, "image").otherwise("video").alias("asset_type"))
+    s = o.select("o_custkey", "scene", F.lit(None).cast("bigint").alias("scene_number"), F.when(F.col("o_orderkey") % 2 == 0, "image").otherwise("video").alias("asset_type"))
     names = t.lineitem.join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
-    files = names.select("o_custkey", F.concat(F.col("l_linenumber").cast("string"), F.lit("_"), F.col("l_orderkey").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, ".png").otherwise(".mp4")).alias("name"))
-    return assets.assign(s, assets.scan_files(files, "name"), "o_custkey")
+    name = F.concat(F.col("l_linenumber").cast("string"), F.lit("_"), (F.col("l_orderkey") % 100).cast("string"), F.when(F.col("l_partkey") % 2 == 0, ".png").otherwise(".mp4"))
+    return assets.assign(s, assets.scan_files(names.select("o_custkey", name.alias("name")), "name"), "o_custkey")
 
 
 def _by(key: str, *order: str):
