@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenreel.functions import text as T
-from lumenreel.tables import running, scan
+from lumenreel.tables import running, scan, shared_checkpoint
 
 # Limits of a chunk in words, characters, cues and milliseconds; planning windows.
 MAX_WORDS, MAX_CHARS, MAX_CUES, MAX_SPAN_MS = 800, 5000, 120, 300_000
@@ -218,15 +218,30 @@ def pack_paragraphs(df: DataFrame, key: str, text: str, most_words: int = MAX_WO
 
 
 def allocate(chunks: DataFrame, scenes: DataFrame, key: str) -> DataFrame:
-    """(key, scene, chunk): scenes (scene, n_words) spread over chunks (chunk from 0, words) in proportion to their words.
+    """(key, scene, chunk): scenes (scene, n_words) spread over chunks (chunk, words), both in their order, in proportion to their words.
 
-    A scene goes to the chunk in which the middle of its words falls when both sides are scaled to
-    the same length; both orders are kept.
+    Each chunk ends at the first scene that reaches its share of all words, but takes one scene at least as long as there are any and
+    leaves one for each chunk behind it if there are enough; the last one takes what is left. A chunk or a scene counts as one word at least.
+
+    What a chunk takes depends on where the one before it ended, yet no loop is needed: a chunk's end is the largest of all ends proposed up to
+    there, each moved on by one scene for every chunk since, so it is a running maximum. Where the proposals fall among the scenes
+    follows from one order of both.
     """
-    c = running(chunks, [key], ["chunk"], None, upto=F.col("words"))
-    s = running(scenes, [key], ["scene"], None, upto=F.col("n_words"))
-    total = chunks.groupBy(key).agg(F.sum("words").alias("chunk_words"))
-    mine = scenes.groupBy(key).agg(F.sum("n_words").alias("scene_words"))
-    placed = s.join(total, key).join(mine, key).withColumn("at", (F.col("upto") - F.col("n_words") / 2) * F.col("chunk_words") / F.greatest(F.col("scene_words"), F.lit(1)))
-    at = placed.alias("s").join(c.alias("c"), key).where("s.at <= c.upto")
-    return at.groupBy(key, "scene").agg(F.min("c.chunk").alias("chunk"))
+    one = lambda c: F.greatest(F.col(c), F.lit(1)).cast("bigint")
+    c = running(chunks.select(key, "chunk", "words"), [key], ["chunk"], number="k", upto=one("words"))
+    s = running(scenes.select(key, "scene", "n_words"), [key], ["scene"], number="place", upto=one("n_words"))
+    totals = chunks.groupBy(key).agg(F.count("*").alias("chunks"), F.sum(one("words")).alias("chunk_words")).join(scenes.groupBy(key).agg(F.count("*").alias("scenes"), F.sum(one("n_words")).alias("scene_words")), key)
+    c = shared_checkpoint(c.join(totals, key).withColumn("share", F.col("upto") / F.col("chunk_words") * F.col("scene_words")))
+    # scenes that end before a chunk's share: proposals come before scenes that end at the same word
+    line = c.select(key, F.col("share").alias("at"), F.lit(0).alias("side"), "k").unionAll(s.select(key, F.col("upto").cast("double"), F.lit(1), "place"))
+    proposed = running(line, [key], ["at", "side", "k"], number=None, before=F.col("side").cast("bigint")).where("side = 0").select(key, "k", (F.col("before") + 1).alias("proposed"))
+    behind, n = F.col("chunks") - F.col("k"), F.col("scenes")
+    # with fewer scenes than chunks none is kept back
+    most = F.when(n >= F.col("chunks"), n - behind).otherwise(n)
+    wished = c.join(proposed, [key, "k"]).withColumn("wish", F.least("proposed", most) - F.col("k"))
+    ends = running(wished, [key], ["k"], number=None, largest={"top": F.greatest("wish", F.lit(0).cast("bigint"))})
+    ends = ends.withColumn("end", F.when(F.col("k") == F.col("chunks"), n).otherwise(F.least(n, F.col("top") + F.col("k")))).select(key, "k", "chunk", "end")
+    spans = shared_checkpoint(ends)
+    starts = spans.select(key, (F.col("k") + 1).alias("k"), F.col("end").alias("start"))
+    taken = spans.join(starts, [key, "k"], "left").withColumn("start", F.coalesce("start", F.lit(0))).where("end > start")
+    return taken.select(key, "chunk", F.explode(F.sequence(F.col("start") + 1, F.col("end"))).alias("place")).join(s.select(key, "place", "scene"), [key, "place"]).select(key, "scene", "chunk")

@@ -181,6 +181,24 @@ def cumulative_words(t: Tables) -> DataFrame:
     return running(cue_rows(t).select("conv_id", "turn", "n_words"), ["conv_id"], ["turn"], None, upto=F.col("n_words").cast("bigint")).select("conv_id", "turn", "upto")
 
 
+@query(f"""WITH RECURSIVE {CUES_SQL}, s AS (SELECT conv_id, turn, greatest(n_words, 1) AS w, row_number() OVER p AS place, sum(greatest(n_words, 1)) OVER p AS upto FROM cues WINDOW p AS (PARTITION BY conv_id ORDER BY turn)),
+c AS (SELECT conv_id, turn, row_number() OVER p AS k, sum(w) OVER p AS upto FROM (SELECT conv_id, turn // 2 AS turn, sum(1 + length(text) % 97) AS w FROM conversations WHERE conv_id % 2 = 0 GROUP BY ALL UNION ALL SELECT conv_id, 2 * turn + j, 1 + (length(text) + 31 * j) % 97 FROM conversations, range(2) r(j) WHERE conv_id % 2 = 1) WINDOW p AS (PARTITION BY conv_id ORDER BY turn)),
+t AS (SELECT conv_id, count(*) AS n, max(upto) AS words FROM s GROUP BY ALL), u AS (SELECT conv_id, count(*) AS c, max(upto) AS words FROM c GROUP BY ALL),
+p AS (SELECT c.conv_id, c.turn, k, n, u.c, (SELECT count(*) FROM s WHERE s.conv_id = c.conv_id AND s.upto < c.upto::DOUBLE / u.words * t.words) + 1 AS proposed FROM c JOIN t USING (conv_id) JOIN u USING (conv_id)),
+r AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS turn, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b FROM u
+  UNION ALL
+  SELECT p.conv_id, p.k, p.turn, r.b, CASE WHEN p.k = p.c OR r.b >= n THEN n ELSE greatest(least(n, r.b + 1), least(proposed, CASE WHEN n - r.b <= p.c - p.k THEN n ELSE n - (p.c - p.k) END)) END
+  FROM r JOIN p ON p.conv_id = r.conv_id AND p.k = r.k + 1)
+SELECT r.conv_id, s.turn AS scene, r.turn AS chunk FROM r JOIN s ON s.conv_id = r.conv_id AND s.place > r.a AND s.place <= r.b""")
+def allocated_scenes(t: Tables) -> DataFrame:
+    """Turns as scenes, spread over chunks: one for two turns in one half of the conversations, two for one turn in the other."""
+    size, odd = F.length("text"), F.col("conv_id") % 2 == 1
+    parts = F.when(odd, F.array(*[F.struct((2 * F.col("turn") + j).cast("bigint").alias("chunk"), (1 + (size + 31 * j) % 97).alias("words")) for j in (0, 1)])).otherwise(F.array(F.struct(F.floor(F.col("turn") / 2).alias("chunk"), (1 + size % 97).alias("words"))))
+    chunks = t.conversations.select("conv_id", F.explode(parts).alias("p")).groupBy("conv_id", F.col("p.chunk").alias("chunk")).agg(F.sum("p.words").alias("words"))
+    return cues.allocate(chunks, cue_rows(t).select("conv_id", F.col("turn").alias("scene"), "n_words"), "conv_id").select("conv_id", F.col("scene").cast("bigint").alias("scene"), F.col("chunk").cast("bigint").alias("chunk"))
+
+
 @query()
 def tokens(t: Tables) -> DataFrame:
     """Words of all documents with their places."""

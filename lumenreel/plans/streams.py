@@ -53,6 +53,27 @@ def stream_liveness(t: Tables) -> DataFrame:
     return logs.last_of(rows, ["user_id"]).select("user_id", "state")
 
 
+@query("""WITH k AS (SELECT user_id, max(ts) AS last, arg_max(event_type, (ts, event_type = 'signup')) AS kind, (SELECT max(ts) FROM events) AS clock FROM events GROUP BY ALL)
+SELECT user_id, CASE WHEN kind = 'signup' THEN 'stopped' WHEN epoch_us(last) // 1000 + 21600000 < epoch_us(clock) // 1000 THEN 'lost' ELSE 'live' END AS state, epoch_us(last) // 1000 AS at FROM k""")
+def stream_timeouts(t: Tables) -> DataFrame:
+    """Workers at the end of the stream: stopped by their last event, lost if it is over six hours before the latest of all, else live."""
+    beats = _events(t).select("user_id", "ts", F.when(F.col("event_type") == "signup", "stopped").otherwise("live").alias("status"))
+    rows = logs.run_all(logs.liveness_by_events(beats, "user_id", "ts", 6 * 3600), _folder(t), "timeouts", "update")
+    return logs.last_of(rows, ["user_id"]).select("user_id", "state", "at")
+
+
+@query("""SELECT user_id AS job, epoch_us(max(ts)) AS at, arg_max(event_type, (ts, event_type)) AS state, arg_max(CASE WHEN event_type <> 'view' THEN props END, (ts, props)) FILTER (event_type <> 'view') AS stage, count(*) FILTER (event_type IN ('click', 'error')) AS lines FROM events GROUP BY ALL""")
+def stream_records(t: Tables) -> DataFrame:
+    """State rows and log lines of jobs out of a stream of changes that is run twice from one checkpoint."""
+    e, folder = F.col("event_type"), _folder(t)
+    changes = _events(t).select(F.col("user_id").alias("job"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), e.alias("state"), F.when(e != "view", F.col("props")).alias("stage"), F.when(e.isin("click", "error"), F.concat(e, F.lit(" "), F.col("event_id").cast("string"))).alias("message"))
+    for _ in range(2):
+        logs.record(changes, folder, "records")
+    state, log = logs.recorded(t.spark, folder, "records")
+    lines = log.groupBy("job").agg(F.count("*").alias("lines"))
+    return state.join(lines, "job", "left").select("job", "at", "state", "stage", F.coalesce("lines", F.lit(0).cast("bigint")).alias("lines"))
+
+
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_day_counts(t: Tables) -> DataFrame:
     """Counts by day of event time; all that has come is counted, as the watermark waits longer than the table is late."""
@@ -61,13 +82,16 @@ def stream_day_counts(t: Tables) -> DataFrame:
     return logs.last_of(rows, ["start", "event_type"]).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
-@query("SELECT user_id AS job, CAST(p AS BIGINT) AS part FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS p, count(*) OVER (PARTITION BY user_id) AS total FROM events) WHERE p = 1 OR p = total OR p % 5 = 0")
+@query("""WITH RECURSIVE e AS (SELECT user_id AS job, row_number() OVER w AS part, count(*) OVER (PARTITION BY user_id) AS total, sum(event_id % 4) OVER w * 0.25 AS sec FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+r AS (SELECT job, part, sec AS last, true AS passed FROM e WHERE part = 1
+  UNION ALL SELECT e.job, e.part, CASE WHEN x THEN sec ELSE r.last END, x FROM r JOIN e ON e.job = r.job AND e.part = r.part + 1, LATERAL (SELECT e.part >= e.total OR e.part % 5 = 0 OR sec - r.last >= 2.0 AS x))
+SELECT job, CAST(part AS BIGINT) AS part FROM r WHERE passed""")
 def stream_throttle(t: Tables) -> DataFrame:
-    """Progress reports of jobs; all come at the same second, so only the first, the last and each fifth pass."""
+    """Progress reports of jobs, up to three quarters of a second apart: the first, the last and each fifth pass, and those two seconds after the last that did."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id")
-    reports = t.events.select(F.col("user_id").alias("job"), F.row_number().over(w.orderBy("event_id")).alias("part"), F.count("*").over(w).alias("total"), F.lit(0.0).alias("at"))
+    reports = t.events.select(F.col("user_id").alias("job"), F.row_number().over(w.orderBy("event_id")).alias("part"), F.count("*").over(w).alias("total"), (F.sum(F.col("event_id") % 4).over(w.orderBy("event_id")) * 0.25).alias("at"))
     folder = _folder(t)
     reports.write.parquet(f"{folder}/reports")
     rows = logs.throttle(logs.source(t.spark, f"{folder}/reports", reports.schema, files_at_once=1000), "job")

@@ -95,6 +95,66 @@ def liveness(beats: DataFrame, worker: str, stale_ms: int | None = 120_000) -> D
     return beats.select(worker, "status").groupBy(worker).applyInPandasWithState(step, f"{worker} {kind}, state string", "seen int", "update", GroupStateTimeout.NoTimeout if stale_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def liveness_by_events(beats: DataFrame, worker: str, at: str, stale_seconds: int = 120, late: str = "0 seconds") -> DataFrame:
+    """(worker, state, at): live with the first beat, stopped where a beat says so, lost once none has come for so long by the clock of the rows themselves.
+
+    The clock is the watermark, the latest `at` that any worker has sent less `late`: it goes on by what others send, so a run over what is there
+    tells the same workers lost whenever it runs. A worker that beats again is live again. `at` of a lost worker is its last beat.
+    """
+    kind = dict(beats.dtypes)[worker]
+    columns = [worker, "state", "at"]
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(key[0], "lost", last)], columns=columns)
+            return
+        beats_, stopped = last or 0, None
+        for pdf in parts:
+            beats_ = max(beats_, int(pdf["ms"].max()))
+            ends = pdf.loc[pdf["status"] == "stopped", "ms"]
+            stopped = max(stopped or 0, int(ends.max())) if len(ends) else stopped
+        if stopped is not None and stopped >= beats_:
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame([(key[0], "stopped", stopped)], columns=columns)
+            return
+        state.update((beats_,))
+        state.setTimeoutTimestamp(max(beats_ + stale_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(key[0], "live", beats_)], columns=columns)
+
+    timed = beats.select(worker, "status", F.col(at).cast("timestamp").alias("_at")).withWatermark("_at", late)
+    rows = timed.select(worker, "status", "_at", F.unix_millis("_at").alias("ms"))
+    return rows.groupBy(worker).applyInPandasWithState(step, f"{worker} {kind}, state string, at bigint", "last bigint", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def record(changes: DataFrame, folder: str, name: str) -> None:
+    """Run a stream of state changes (job, at, state, stage, message, ...) to its end, with two sinks: state rows and log lines.
+
+    A trigger writes what it changes and what it logs each to a folder of its own number, in place of what may stand there, so a trigger that
+    is run again after a failure between the two writes changes nothing. Values that are null leave a job's columns as they are.
+    """
+    root = f"{folder}/{name}"
+    values = [c for c in changes.columns if c not in ("job", "at", "message")]
+
+    def write(rows: DataFrame, n: int) -> None:
+        newest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("at", c))).alias(c) for c in values]
+        rows.groupBy("job").agg(F.max("at").alias("at"), *newest).write.mode("overwrite").parquet(f"{root}/state/batch={n}")
+        rows.where("message is not null").select("job", "at", "stage", "message").write.mode("overwrite").parquet(f"{root}/log/batch={n}")
+
+    query = changes.writeStream.option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True).foreachBatch(write).start()
+    query.awaitTermination()
+
+
+def recorded(spark: SparkSession, folder: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """(state, log) of what `record` wrote: of each job and column the newest value; all log lines."""
+    state, log = (spark.read.parquet(f"{folder}/{name}/{x}") for x in ("state", "log"))
+    values = [c for c in state.columns if c not in ("job", "at", "batch")]
+    newest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("at", "batch", c))).alias(c) for c in values]
+    return state.groupBy("job").agg(F.max("at").alias("at"), *newest), log.drop("batch")
+
+
 def run_all(df: DataFrame, folder: str, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there and return what it wrote; `folder` is shared by all machines.
 

@@ -21,26 +21,28 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], number: str | None = "n", **sums: Column) -> DataFrame:
-    """`df` with the row number by key in the order, and sums of all rows up to each one.
+def running(df: DataFrame, keys: list[str], order: list[str], number: str | None = "n", largest: dict[str, Column] | None = None, **sums: Column) -> DataFrame:
+    """`df` with the row number by key in the order, and sums, or the `largest` values, of all rows up to each one.
 
     A key may hold any share of the rows: rows are dealt by ranges of key and order, numbered within
     each range, and moved on by what earlier ranges of the key hold. `order` has to tell rows apart.
     """
-    cols = list(df.columns)
-    sums = ({number: F.lit(1).cast("bigint")} if number else {}) | {k: v for k, v in sums.items()}
-    with_values = df.select("*", *[v.alias(f"_v_{k}") for k, v in sums.items()])
+    cols, largest = list(df.columns), largest or {}
+    sums = ({number: F.lit(1).cast("bigint")} if number else {}) | sums
+    agg = dict.fromkeys(sums, F.sum) | dict.fromkeys(largest, F.max)
+    with_values = df.select("*", *[v.alias(f"_v_{k}") for k, v in (sums | largest).items()])
     ranged = shared_checkpoint(with_values.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
     inside = Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    part = ranged.select("*", *[F.sum(f"_v_{k}").over(inside).alias(f"_in_{k}") for k in sums])
-    totals = ranged.groupBy("_range", *keys).agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
+    part = ranged.select("*", *[f(f"_v_{k}").over(inside).alias(f"_in_{k}") for k, f in agg.items()])
+    totals = ranged.groupBy("_range", *keys).agg(*[f(f"_v_{k}").alias(f"_t_{k}") for k, f in agg.items()])
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_range", *keys, *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in sums])
+    offsets = totals.select("_range", *keys, *[f(f"_t_{k}").over(before).alias(f"_b_{k}") for k, f in agg.items()])
     p, o = part.alias("p"), offsets.alias("o")
     same = F.col("p._range").eqNullSafe(F.col("o._range"))
     for k in keys:
         same = same & F.col(f"p.{k}").eqNullSafe(F.col(f"o.{k}"))
-    return p.join(o, same).select(*[F.col(f"p.{c}") for c in cols], *[(F.col(f"_in_{k}") + F.col(f"_b_{k}")).alias(k) for k in sums])
+    moved = [(F.col(f"_in_{k}") + F.coalesce(F.col(f"_b_{k}"), F.lit(0))).alias(k) for k in sums] + [F.greatest(f"_in_{k}", f"_b_{k}").alias(k) for k in largest]
+    return p.join(o, same).select(*[F.col(f"p.{c}") for c in cols], *moved)
 
 
 def first_of_key(df: DataFrame, keys: list[str], order: list[Column], n: int = 1, rank: str | None = None) -> DataFrame:
