@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenreel.plans import media, payloads, store, streams, texts, work  # noqa: F401  they register their queries
+from lumenreel.plans import media, payloads, scenes, store, streams, texts, work  # noqa: F401  they register their queries
 from lumenreel.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
