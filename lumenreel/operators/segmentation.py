@@ -183,6 +183,22 @@ def _values(row: dict, weight: str, borders: np.ndarray) -> np.ndarray:
     return values
 
 
+def _start(weight: str) -> np.ndarray:
+    """What leads on from the places behind a document's last block: nothing but from the first, its end."""
+    out = np.full(MOST_WORDS, _FAR[weight])
+    out[0] = FAST if weight == "speed" else 0
+    return out
+
+
+def _kept(row: dict, weight: str, border: np.ndarray) -> dict:
+    """The row of a block with the ways alone that are best by one weight."""
+    values, to = _values(row, weight, border), np.asarray(row["to"])
+    ways = np.diff([0, *row["ways"]])
+    stays = _along(weight, np.asarray(row[weight]), values[to]) == np.repeat(values[: row["size"]], ways)
+    kept = {c: np.asarray(row[c])[stays].tolist() for c in ("to", *WEIGHTS)}
+    return row | kept | {"ways": np.cumsum(np.add.reduceat(stays.astype(np.int64), [0, *row["ways"][:-1]])).tolist()}
+
+
 def _settled(blocks: DataFrame, key: str, weight: str) -> DataFrame:
     """`blocks` with the ways alone that are best by one weight.
 
@@ -205,25 +221,14 @@ def _settled(blocks: DataFrame, key: str, weight: str) -> DataFrame:
         if row is None:
             return []
         if not held:
-            start = np.full(MOST_WORDS, far)
-            start[0] = FAST if weight == "speed" else 0
-            held.append(start)
+            held.append(_start(weight))
         out = [(row[key], row["block"], held[0])]
         held[0] = _along(weight, row["matrix"].reshape(MOST_WORDS, MOST_WORDS), held[0]).min(axis=1)
         return out
 
     def best(batches):
         for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                values, to = _values(row, weight, row["border"]), np.asarray(row["to"])
-                ways = np.diff([0, *row["ways"]])
-                stays = _along(weight, np.asarray(row[weight]), values[to]) == np.repeat(values[: row["size"]], ways)
-                row["ways"] = np.cumsum(np.add.reduceat(stays.astype(np.int64), [0, *row["ways"][:-1]])).tolist()
-                for c in ("to", *WEIGHTS):
-                    row[c] = np.asarray(row[c])[stays].tolist()
-                out.append([row[c] for c in columns])
-            yield pd.DataFrame(out, columns=columns)
+            yield pd.DataFrame([[x[c] for c in columns] for x in (_kept(row, weight, row["border"]) for row in pdf.to_dict("records"))], columns=columns)
 
     matrices = blocks.select(key, "block", "size", "ways", "to", weight).mapInPandas(matrix, f"{key} {kind[key]}, block int, _back int, matrix array<{number}>")
     borders = scan(matrices, [key], ["_back"], list, border, f"{key} {kind[key]}, block int, border array<{number}>")
@@ -248,17 +253,30 @@ def best_spans(words: DataFrame, key: str, language: str, places: int = PLACES)
     to_blocks = F.array_compact(F.array(inside, F.when((at <= MOST_WORDS) & (inside > 0), inside - 1), F.when(at == places - 1, inside + 1)))
     rows = words.select(key, index.alias("index"), "word", "leading", "trailing", "start", "end", F.col(language).alias("language"), F.explode(to_blocks).alias("block"))
 
+    names = [key, "block", "size", "ways", "to", *WEIGHTS]
+
     def ways(held: list, row: dict | None) -> list:
         if row is not None:
             held.append(row)
             return []
-        # the block behind the last one has only the word before it
-        return [_edges(held, key, places)] if held[-1]["index"] >= held[0]["block"] * places else []
+        if held[-1]["index"] < held[0]["block"] * places:  # the block behind the last one has only the word before it
+            return []
+        made = _edges(held, key, places)
+        alone = held[0]["block"] == 0 and len(held) == made[2]
+        if alone:  # nothing passes into the only block of a document
+            row = dict(zip(names, made, strict=True))
+            for weight in WEIGHTS:
+                row = _kept(row, weight, _start(weight))
+            made = tuple(row.values())
+        return [(*made, alone)]
 
     numbers = ", ".join(f"{w} array<{'double' if w == 'speed' else 'bigint'}>" for w in WEIGHTS)
-    blocks = shared_checkpoint(scan(rows, [key, "block"], ["index"], list, ways, f"{key} {kind}, block int, size int, ways array<bigint>, to array<bigint>, {numbers}"))
-    for weight in WEIGHTS:
-        blocks = _settled(blocks, key, weight)
+    blocks = shared_checkpoint(scan(rows, [key, "block"], ["index"], list, ways, f"{key} {kind}, block int, size int, ways array<bigint>, to array<bigint>, {numbers}, alone boolean"))
+    parts = blocks.where("not alone").drop("alone")
+    if not parts.isEmpty():
+        for weight in WEIGHTS:
+            parts = _settled(parts, key, weight)
+    blocks = blocks.where("alone").drop("alone").unionByName(parts)
 
     def steps(row: dict, entered: int) -> list[int]:
         """Places of a block that a cut passes, from the one where it enters to the first behind it."""

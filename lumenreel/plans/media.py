@@ -9,6 +9,7 @@ from lumenreel.functions import languages
 from lumenreel.functions import text as T
 from lumenreel.operators import assets, cues, repair, scenes, segmentation, words
 from lumenreel.sources import subtitles
+from lumenreel.tables import shared_checkpoint
 
 from .registry import Tables, query
 
@@ -206,8 +207,9 @@ def tokens(t: Tables) -> DataFrame:
 
 
 def timed_words(t: Tables) -> DataFrame:
+    """Words of all turns with times, written once: several steps read them."""
     w = words.tokenize(t.conversations.select(F.concat_ws(":", "conv_id", "turn").alias("key"), "text"), "key", "text")
-    return w.withColumns({"start": F.col("begin") * 0.06, "end": F.col("stop") * 0.06, "language": F.lit("en")})
+    return shared_checkpoint(w.withColumns({"start": F.col("begin") * 0.06, "end": F.col("stop") * 0.06, "language": F.lit("en")}))
 
 
 @query()
