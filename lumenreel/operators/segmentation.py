@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pandas as pd
@@ -78,8 +79,10 @@ class Breaks:
         size = end - begin
         if size <= LINE or i == j:
             return None, size <= LINE, 0 if size <= LINE else 4, size
+        # breaks that leave both lines within the limit beat all others, and lie next to each other
+        low, high = bisect_left(self.upto, end - LINE) - 1, bisect_right(self.upto, begin + LINE + 1) - 2
         best = None
-        for k in range(i, j):
+        for k in range(max(i, low), min(j - 1, high) + 1) or range(i, j):
             a, b = self.upto[k + 1] - 1 - begin, end - self.upto[k + 1]
             cost = (max(0, a - LINE) + max(0, b - LINE), self.bad[k], self.weak[k], abs(a - b), k)
             if best is None or cost < best:
@@ -147,6 +150,8 @@ def _edges(held: list[dict], key: str, places: int) -> tuple:
     gaps = [max(0.0, a - b) for a, b in zip(t0, [before, *t1], strict=False)] + [0.0]
     begin = [max(0.0, t0[k] - min(gaps[k] / 2, CAP)) for k in range(n)]
     end = [t1[k] + min(gaps[k + 1] / 2, CAP) for k in range(n)]
+    between = [rules.between(a, b) for a, b in zip(word, [*word[1:], ""], strict=True)]
+    open_end = [(not rules.ends(a, b)) * _PAIR for a, b in zip(word, trail, strict=True)]
     ways, to, weights = [], [], {w: [] for w in WEIGHTS}
     for i in range(size):
         for j in range(i, min(n, i + MOST_WORDS)):
@@ -156,9 +161,8 @@ def _edges(held: list[dict], key: str, places: int) -> tuple:
             if beyond and j > i:
                 break
             v = chars / length
-            bad += rules.between(word[j], word[j + 1] if j + 1 < n else "")
             to.append(j + 1)
-            for w, x in zip(WEIGHTS, (int(v > FAST), max(v, FAST), round(max(0.0, v - FAST) * 1e7), (not rules.ends(word[j], trail[j])) * _PAIR + (length < SHORT), _PAIR + bad), strict=True):
+            for w, x in zip(WEIGHTS, (int(v > FAST), max(v, FAST), round(max(0.0, v - FAST) * 1e7), open_end[j] + (length < SHORT), _PAIR + bad + between[j]), strict=True):
                 weights[w].append(x)
             if beyond:
                 break

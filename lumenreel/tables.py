@@ -10,14 +10,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder that the cluster names for checkpoints and read from there.
+def checkpoint_folder(named: str | None, warehouse: str, master: str) -> str:
+    """The folder that the session names for checkpoints, else one below the warehouse; an error where that lies on one machine of several."""
+    if named:
+        return named
+    if warehouse.startswith("file:") and not master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return f"{warehouse}/_checkpoints"
 
-    Where the session names none, one below the warehouse is set, which all machines share as well.
-    """
+
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """The rows, written to the folder that the cluster names for checkpoints and read from there; see checkpoint_folder."""
     sc, conf = df.sparkSession.sparkContext, df.sparkSession.conf
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or f"{conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+        sc.setCheckpointDir(checkpoint_folder(conf.get("spark.checkpoint.dir", None), conf.get("spark.sql.warehouse.dir"), sc.master))
     return df.checkpoint(eager=True)
 
 
@@ -80,4 +86,6 @@ def scan(df: DataFrame, keys: list[str], order: list[str], start, step, schema:
         if state is not None:
             yield pd.DataFrame(step(state, None), columns=out_names)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    # a number of its own: partitions that look small by their bytes are not put together, as steps cost more than rows
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

@@ -1,10 +1,14 @@
-"""Scenes over chunks against the loop that ends one chunk after another."""
+"""Scenes over chunks against the loop that ends one chunk after another; running values; where checkpoints go."""
 
 import random
 from bisect import bisect_left
 from itertools import accumulate
 
+import pytest
+from pyspark.sql import functions as F
+
 from lumenreel.operators import cues
+from lumenreel.tables import checkpoint_folder, running
 
 
 def one_after_another(chunks, scenes):
@@ -34,3 +38,23 @@ def test_every_chunk_ends_where_the_loop_ends_it(spark):
         want |= {(d, k): x for k, x in enumerate(one_after_another(c, s))}
     got = cues.allocate(spark.createDataFrame(chunks, "d int, chunk int, words int"), spark.createDataFrame(scenes, "d int, scene int, n_words int"), "d")
     assert {(r.d, r.scene): r.chunk for r in got.collect()} == want
+
+
+def test_running_sums_and_largest_values(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), k, rng.randint(-5, 9)) for k in range(300)]
+    df = spark.createDataFrame(rows, "key string, at int, x int").repartition(7)
+    got = {(r.key, r.at): (r.n, r.upto, r.top) for r in running(df, ["key"], ["at"], largest={"top": F.col("x")}, upto=F.col("x")).collect()}
+    for key in ("a", "b", None):
+        mine = [(at, x) for k, at, x in rows if k == key]
+        for n, (at, _) in enumerate(mine, 1):
+            before = [x for _, x in mine[:n]]
+            assert got[key, at] == (n, sum(before), max(before))
+
+
+def test_checkpoints_never_lie_on_one_machine_of_several():
+    assert checkpoint_folder("hdfs://x/c", "file:/w", "yarn") == "hdfs://x/c"
+    assert checkpoint_folder(None, "file:/w", "local[4]") == "file:/w/_checkpoints"
+    assert checkpoint_folder(None, "s3a://b/w", "yarn") == "s3a://b/w/_checkpoints"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_folder(None, "file:/w", "spark://m:7077")

@@ -50,6 +50,23 @@ def collected(df, key):
     return got
 
 
+def test_lines_against_all_breaks():
+    rng, rules = random.Random(1), Rules("en")
+    for _ in range(300):
+        tokens = [rng.choice(["a", "the", "of", "mirror,", "silence.", "extraordinarily", "x" * rng.randint(1, 50)]) for _ in range(rng.randint(1, 14))]
+        shown, text = Breaks(tokens, rules), " ".join(tokens)
+        costs = []
+        for k in range(1, len(tokens)):
+            a, b = " ".join(tokens[:k]), " ".join(tokens[k:])
+            costs.append((max(0, len(a) - 42) + max(0, len(b) - 42), rules.between(tokens[k - 1], tokens[k]), rules.weak(tokens[k - 1]), abs(len(a) - len(b)), k))
+        cut, fits, bad, chars = shown.lines(0, len(tokens) - 1)
+        if len(text) <= 42 or len(tokens) == 1:
+            assert (cut, fits, chars) == (None, len(text) <= 42, len(text))
+        else:
+            over, x, y, _, k = min(costs)
+            assert (cut, fits, bad, chars) == (k - 1, over == 0, x + y, len(text) - 1)
+
+
 @pytest.mark.parametrize("places", [25, 60, 256])
 def test_blocks_give_the_cut_of_whole_documents(spark, places):
     rng = random.Random(places)
