@@ -1,9 +1,10 @@
 """Near-duplicate vectors through a forest of random-projection trees.
 
 Every tree splits the unit vectors by random directions at medians; a vector close to a split goes to
-both sides. Vectors are compared within leaves only, all leaves of all trees, and what reaches the
+both sides, within a margin that narrows as trees get deeper, so that a tree holds a vector SPILL times
+at most in the mean. Vectors are compared within leaves only, all leaves of all trees, and what reaches the
 cosine is a link. The trees are fitted on a bounded sample of SAMPLE vectors and are as deep as the
-number of all vectors asks for: below nodes with too few sampled vectors for medians of their own, every
+number of all vectors and their copies asks for: below nodes with too few sampled vectors for medians of their own, every
 further level splits at the median of the last node that has them, so leaves hold about LEAF vectors at
 every size of input. Every vector is put into the index. Vectors that are the same are one class that is indexed once. A pair that shares
 several leaves counts in the first of them. A leaf of more than BLOCK classes is compared block by
@@ -26,6 +27,10 @@ from .components import connected_components
 
 COSINE = 0.95
 TREES, LEAF, SAMPLE, BLOCK = 8, 1024, 50_000, 4096
+SPILL = 4.0  # copies of a vector in one tree at most, in the mean
+SMALL = 1 << 20  # rows of (length, leaf, blocks) that may be broadcast, some 24 MB
+HOT = 256  # classes with more than one in so many of all rows are split where rows meet classes
+SALTS = 64
 LEAST_IN_LEAF = 8  # sampled vectors, below which a node gets no median of its own
 SEED = 11
 
@@ -54,7 +59,7 @@ class Trees:
     @classmethod
     def fit(cls, x: np.ndarray, total: int, cosine: float, trees: int = TREES, leaf: int = LEAF, seed: int = SEED) -> Trees:
         d = x.shape[1]
-        depth = max(0, math.ceil(math.log2(max(1, total / leaf))))
+        depth, margin = cls.shape(d, total, cosine, leaf)
         own = min(depth, int(math.log2(max(1, len(x) / LEAST_IN_LEAF))))
         rng = np.random.default_rng((seed, d))
         directions = rng.normal(size=(trees * depth, d))
@@ -73,8 +78,24 @@ class Trees:
                 else:
                     below[t, level - own, :] = np.median(p)
                     below[t, level - own, ids - (1 << own)] = middle
-        # half of how far apart the projections of two vectors at the cosine usually are
-        return cls(depth, own, directions, splits, below, 0.5 * math.sqrt(max(0, 2 - 2 * cosine) / d))
+        return cls(depth, own, directions, splits, below, margin)
+
+    @staticmethod
+    def shape(d: int, total: int, cosine: float, leaf: int = LEAF) -> tuple[int, float]:
+        """(depth, margin): leaves of `leaf` vectors in the mean, copies counted, and no more than SPILL copies.
+
+        The margin is half of how far apart the projections of two vectors at the cosine usually are, or
+        less where so many levels would copy more. Of unit vectors about d ** 0.5 / (2 * pi) ** 0.5 of all lie in a
+        strip of width one around the middle of a direction.
+        """
+        density = math.sqrt(d / (2 * math.pi))
+        widest = 0.5 * math.sqrt(max(0, 2 - 2 * cosine) / d)
+        depth = 0
+        while True:
+            share = min(2 * widest * density, SPILL ** (1 / max(depth, 1)) - 1)  # of a node's vectors that go to both sides
+            if total * (1 + share) ** depth / 2**depth <= leaf:
+                return depth, share / (2 * density)
+            depth += 1
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rows, leaves): every row with each of its leaves, by row and leaf; leaves are numbered over all trees."""
@@ -163,9 +184,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
     kind = dict(classes.dtypes)["embedding"]
     dealt = classes.select("cid", "size", "embedding").mapInArrow(lambda bs: (deal(b) for b in bs if b.num_rows), f"leaf bigint, cid bigint, size bigint, embedding {kind}")
     dealt = dealt.withColumn("d", F.size("embedding"))
-    # a row for each leaf of the forest at most, whose size does not grow with the vectors
-    large = dealt.groupBy("d", "leaf").count().where(F.col("count") > BLOCK).select("d", "leaf", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    cut = dealt.join(F.broadcast(large), ["d", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    large = materialize(dealt.groupBy("d", "leaf").count().where(F.col("count") > BLOCK).select("d", "leaf", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
+    few = F.broadcast(large) if large.count() <= SMALL else large
+    cut = dealt.join(few, ["d", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     keyed = cut.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = keyed.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
@@ -215,10 +236,20 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
     named = materialize(named)
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
     by_vector = named.join(lows, "root").select("embedding", (F.coalesce("partners", F.lit(0)) + F.col("size") - 1).alias("n_links"), "component_id")
-    linked = rows.join(by_vector, "embedding").select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    linked = _with_classes(rows, by_vector, classes).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
     return linked.unionByName(alone)
 
 
+def _with_classes(rows: DataFrame, by_vector: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows with what is known of their vectors. Vectors of more than one row in HOT, fewer than HOT of them, are dealt to SALTS tasks each."""
+    total = classes.agg(F.sum("size")).first()[0] or 0
+    hot = [h for (h,) in classes.where(F.col("size") * HOT > total).select(F.xxhash64("embedding")).collect()]
+    often = F.xxhash64("embedding").isin(hot) if hot else F.lit(False)
+    salted = rows.withColumn("salt", F.when(often, F.pmod(F.xxhash64("vec_id", F.rand(SEED)), F.lit(SALTS)).cast("int")).otherwise(0))
+    every = by_vector.withColumn("salt", F.explode(F.when(often, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return salted.join(every, ["embedding", "salt"])
+
+
 def _fit(classes: DataFrame, cosine: float, sample: int) -> dict[int, Trees]:
     """Trees for each length of vector in the sample, which a hash picks where the rows are read; vectors of other lengths share one leaf."""
     total = classes.count()

@@ -6,8 +6,9 @@ often than the discount keeps no mass of its own, so a rare expression is judged
 and speaks for neither side.
 
 A text's score compares length-normalised log-likelihoods: the toxic model's minus the ordinary model's,
-a word, over the whole text and over its most toxic passage of a few words. One logistic curve that
-rises in both turns them into a probability. The curve always exists: it is fitted to labelled texts,
+a word, over the whole text, and the root mean square of the likelihood ratios of its passages of a few words,
+so that no text gets a higher score for its length. One logistic curve that rises in both turns them
+into a probability. The curve always exists: it is fitted to labelled texts,
 each measured with its own counts taken out, and drawn towards the curve that the class shares alone
 give; it equals the latter where a class has no text. Of DISCOUNTS and PASSAGES those with the smallest
 loss on these texts are taken.
@@ -102,7 +103,11 @@ def _piece(held: list[tuple[int, bytes]]) -> Piece:
 
 
 def passages(doc: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
-    """For each of n texts: the mean a word, and the largest sum of as many consecutive words as PASSAGES says (of all, where a text has fewer)."""
+    """For each of n texts: the mean a word, and by PASSAGES the log of the root mean square of the likelihood ratios of its runs of so many consecutive words (the ratio of all words, where a text has fewer).
+
+    A mean over all runs settles as a text gets longer, where the largest run would keep growing. The
+    squares make one toxic passage stand out; a text of slightly odd words throughout does not.
+    """
     out = np.zeros((n, 1 + len(PASSAGES)))
     if not len(doc):
         return out
@@ -112,12 +117,12 @@ def passages(doc: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
     start = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
     total = np.concatenate(([0.0], np.cumsum(word)))
     for k, width in enumerate(PASSAGES, 1):
-        run = np.full(len(word), -np.inf)
-        if len(word) >= width:
-            inside = doc[width - 1 :] == doc[: len(doc) - width + 1]
-            run[: len(inside)] = np.where(inside, total[width:] - total[: len(total) - width], -np.inf)
-        out[doc[start], k] = np.maximum.reduceat(run, start)
-        out[:, k] = np.where(size < width, whole, out[:, k])
+        inside = np.flatnonzero(doc[width - 1 :] == doc[: max(0, len(doc) - width + 1)])
+        run, of = total[inside + width] - total[inside], doc[inside]
+        top = np.full(n, -np.inf)
+        np.maximum.at(top, of, run)
+        mass = np.bincount(of, weights=np.exp(2 * (run - top[of])), minlength=n)
+        out[:, k] = np.where(size < width, whole, top + 0.5 * np.log(np.maximum(mass, 1) / np.maximum(size - width + 1, 1)))
     return out
 
 
@@ -316,11 +321,18 @@ def marked_rows(labels: DataFrame) -> DataFrame:
     return labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
 
 
-def learning_rows(labels: DataFrame, max_rows: dict[int, int] = MAX_ROWS) -> DataFrame:
-    """(doc_id, toxic) to learn from: of the marked rows at most so many of each class, first by hash of the id."""
-    rows = marked_rows(labels)
-    by_hash = lambda c: rows.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows[c])
-    return by_hash(0).unionAll(by_hash(1))
+def learning_rows(marked: DataFrame, of_class: dict[int, int], max_rows: dict[int, int] = MAX_ROWS) -> DataFrame:
+    """(doc_id, toxic) to learn from: of `marked`, with so many rows of each class, at most max_rows of each, first by hash of the id.
+
+    What a task sends on is thinned first: by a threshold on the hash, some standard deviations above what is taken.
+    """
+    place = F.xxhash64("doc_id")
+    drawn = []
+    for c, most in max_rows.items():
+        share = min(1.0, (most + 8 * most**0.5 + 16) / max(of_class.get(c, 0), 1))
+        last = min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
+        drawn.append(marked.where((F.col("toxic") == c) & (place <= last)).orderBy(place, "doc_id").limit(most))
+    return drawn[0].unionAll(drawn[1])
 
 
 def _learning_texts(docs: DataFrame, few: DataFrame) -> DataFrame:
@@ -333,7 +345,9 @@ def _learning_texts(docs: DataFrame, few: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: dict[int, int] = MAX_ROWS) -> Model:
     """Learn from the texts of `docs` (doc_id, text) that `labels` (doc_id, toxic) marks. Without any the score is 0.5 throughout."""
-    texts = materialize(_learning_texts(docs, learning_rows(labels, max_rows)))
+    rows = materialize(marked_rows(labels))
+    marked = dict(rows.groupBy("toxic").count().collect())
+    texts = materialize(_learning_texts(docs, learning_rows(rows, marked, max_rows)))
     grams = count_grams(texts).toArrow()
     if not grams.num_rows:
         return Model(*[Table(np.zeros(0, np.uint64), np.zeros(0)) for _ in range(2)])
@@ -342,10 +356,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: dict[int, int] = MAX_ROWS)
     order = np.argsort(gram)
     counts = Counts.made(gram[order], c0[order], c1[order]).common()
 
-    marked = dict(marked_rows(labels).groupBy("toxic").count().collect())
     drawn = np.array([max(1, marked.get(c, 0) / max_rows[c]) for c in (0, 1)])  # marked rows for each one drawn
     prior = np.log((marked.get(1, 0) + 0.5) / (marked.get(0, 0) + 0.5))
-    start = np.array([0.0, 1.0, prior - 1])
+    start = np.array([0.0, 1.0, prior])
     sizes = dict(texts.groupBy("toxic").count().collect())
     measured = _measure(texts, counts, sizes)
     y = measured.column("toxic").to_numpy().astype(int)

@@ -73,7 +73,7 @@ def planted(n, d, seed):
 def test_recall_of_planted_pairs_at_depth(spark, tmp_path_factory):
     """At the parameters of the query, with seven levels of splits."""
     x, pairs = planted(70_000, 32, 4)
-    assert forest.Trees.fit(x[:50_000], len(x), 0.95).depth == 7
+    assert forest.Trees.fit(x[:50_000], len(x), 0.95).depth >= 7
     folder = tmp_path_factory.mktemp("vectors")
     pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}), folder / "part.parquet")
     df = spark.read.parquet(str(folder))
@@ -92,7 +92,31 @@ def test_leaves_stay_small_beyond_the_sample():
         _, size = np.unique(leaves, return_counts=True)
         cost.append((size.astype(float) ** 2).sum() / total)
         largest.append(np.percentile(size, 99))
-    assert trees.depth == 10 and trees.own == 7
+    assert trees.depth >= 10 and trees.own == 7
     assert cost[1] < 3 * cost[0] and largest[1] < 3 * largest[0], (cost, largest)
     of = np.split(leaves, np.flatnonzero(np.diff(rows)) + 1)
     assert sum(bool(set(of[a]) & set(of[b])) for a, b in pairs) >= 0.95 * len(pairs)
+
+
+def test_copies_and_leaves_stay_bounded_at_any_size():
+    """By the formula for a million to a billion vectors; and as measured on trees of a billion's depth."""
+    for total in (50_000, 10**6, 10**8, 10**9):
+        depth, margin = forest.Trees.shape(64, total, 0.95)
+        share = 2 * margin * np.sqrt(64 / (2 * np.pi))
+        assert (1 + share) ** depth <= forest.SPILL * 1.001 and total * (1 + share) ** depth / 2**depth <= forest.LEAF
+    trees = forest.Trees.fit(np.array(planted(forest.SAMPLE, 64, 7)[0]), 10**9, 0.95)
+    x, pairs = planted(20_000, 64, 6)
+    rows, leaves = trees.leaves(x)
+    assert trees.depth >= 20 and len(rows) / len(x) < 1.25 * forest.TREES * forest.SPILL
+    of = np.split(leaves, np.flatnonzero(np.diff(rows)) + 1)
+    assert np.mean([bool(set(of[a]) & set(of[b])) for a, b in pairs]) >= 0.95
+
+
+def test_hot_vectors_are_dealt_out(spark):
+    """A third of all rows with one vector, null ids and repeated rows among them."""
+    rows = [(k if k % 50 else None, [1.0, 0.0, float(k % 3 == 0)] if k % 3 == 0 else [float(np.sin(k)), float(np.cos(k)), 0.5 + k]) for k in range(900)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = forest.near_duplicates(df).collect()
+    assert len(got) == len(rows)
+    same = [r for r in got if r["vec_id"] is not None and r["vec_id"] % 3 == 0]
+    assert len({r["component_id"] for r in same}) == 1 and min(r["n_links"] for r in same) >= 299

@@ -118,6 +118,33 @@ def test_toxicity_of_few_labels(spark, sf):
     assert one[1]["score"] >= one[0]["score"] - 0.05  # a second expression does not speak against the first
 
 
+def test_toxicity_does_not_grow_with_the_text(spark):
+    """Clean texts in one long text score as they do alone, and a toxic one among them is still found."""
+    docs, labels = read(spark, SF1, "documents").select("doc_id", "text"), read(spark, SF1, "labels")
+    model = toxicity.fit(docs, labels)
+    rows = docs.join(labels.where("toxic is not null"), "doc_id").where(toxicity.held_out(F.col("doc_id")) & F.col("text").isNotNull()).orderBy("doc_id").collect()
+    texts = [r["text"].encode() for r in rows]
+    flagged = model.scores(texts) >= toxicity.THRESHOLD
+    clean = [t for t, r, f in zip(texts, rows, flagged, strict=True) if not f and r["toxic"] == 0]
+    toxic = [t for t, r, f in zip(texts, rows, flagged, strict=True) if f and r["toxic"] == 1]
+    rng = random.Random(0)
+    alone = model.scores(clean).mean()
+    for k in (5, 20, 100):
+        joined = model.scores([b"\n".join(rng.choices(clean, k=k)) for _ in range(100)])
+        assert abs(joined.mean() - alone) < 0.05 and joined.max() < toxicity.THRESHOLD, (k, alone, joined.mean(), joined.max())
+    hidden = model.scores([b"\n".join([*rng.choices(clean, k=2), t, *rng.choices(clean, k=2)]) for t in toxic])
+    assert (hidden >= toxicity.THRESHOLD).mean() > 0.7
+
+
+def test_toxicity_draws_by_hash(spark):
+    """Of many marked rows exactly as many as asked for, whatever the partitions; all of few."""
+    df = spark.range(20_000).selectExpr("id as doc_id", "cast(id % 4 = 0 as int) as toxic")
+    few = lambda d: sorted(tuple(r) for r in toxicity.learning_rows(d, {0: 15_000, 1: 5_000}, {0: 700, 1: 9_000}).collect())
+    got = few(df.repartition(7))
+    assert sum(t == 0 for _, t in got) == 700 and sum(t for _, t in got) == 5_000 and got == few(df.coalesce(2))
+    assert toxicity.learning_rows(df.limit(0), {}).count() == 0
+
+
 def test_dotted_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "you vile worm", 1, 2), (2, None, 3, 4)], "doc_id bigint, text string, `a.b` int, SCORE int")
     model = toxicity.fit(df, spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, toxic int"))
