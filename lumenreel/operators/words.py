@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,10 @@ _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 OPENING, CLOSING = "\"'([{«“‘", "\"'.,;:!?)]}»”’"
 FUZZY_LENGTH, FUZZY_RATIO, RESCUE, WORD_SECONDS = 5, 0.84, 4, 0.18
 
+_OPENING, _CLOSING = frozenset(OPENING), frozenset(CLOSING)
+#: Words that a task holds as rows before it hands them on.
+TOKEN_ROWS = 20_000
+
 TOKENS = "index int, word string, form string, begin int, stop int, leading string, trailing string, paragraph int"
 
 
@@ -29,21 +34,50 @@ def tokenize(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     rows = df.select(F.col(key), T.canonical(F.coalesce(F.col(text), F.lit(""))).alias("body"))
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for k, body in zip(pdf[key].tolist(), pdf["body"].tolist(), strict=True):
-                found = [(m.start(), m.end()) for m in _WORD.finditer(body)]
-                edges = [0, *[x for s, e in found for x in (s, e)], len(body)]
-                gaps = [body[edges[n] : edges[n + 1]] for n in range(0, len(edges), 2)]
-                breaks = 0
-                for n, (s, e) in enumerate(found):
-                    breaks += gaps[n].count("\n\n") if n else 0
-                    lead, trail = gaps[n].strip(), gaps[n + 1].strip()
-                    out.append((k, n, body[s:e], re.sub(r"\W+", "", body[s:e].lower()), s, e, lead if set(lead) <= set(OPENING) else "", trail if set(trail) <= set(CLOSING) else "", breaks))
-            yield pd.DataFrame(out, columns=[key, "index", "word", "form", "begin", "stop", "leading", "trailing", "paragraph"])
-
-    return rows.mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, {TOKENS}")
+    return rows.mapInArrow(lambda batches: token_batches(batches, key), f"{key} {dict(df.dtypes)[key]}, {TOKENS}")
+
+
+def token_batches(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """(key, TOKENS) of batches (key, canonical text), TOKEN_ROWS words at a time, whatever the texts' lengths."""
+    held: list[list] = [[] for _ in range(9)]
+    for b in batches:
+        kind = b.schema.field(0).type
+        for k, body in zip(b.column(0), b.column(1), strict=True):
+            k = k.as_py()
+            for row in tokens_of(body.as_py()):
+                for c, x in zip(held, (k, *row), strict=True):
+                    c.append(x)
+                if len(held[0]) == TOKEN_ROWS:
+                    yield _token_batch(held, kind, key)
+                    held = [[] for _ in range(9)]
+        if held[0]:
+            yield _token_batch(held, kind, key)
+            held = [[] for _ in range(9)]
+
+
+def tokens_of(body: str) -> Iterator[tuple]:
+    """TOKENS of one canonical text, one at a time."""
+    held, end, breaks = None, 0, 0
+
+    def row(n: int, word: str, start: int, stop: int, before: str, behind: str, breaks: int) -> tuple:
+        low, lead, trail = word.lower(), before.strip(), behind.strip()
+        form = low if low.isalnum() else re.sub(r"\W+", "", low)
+        return n, word, form, start, stop, lead if set(lead) <= _OPENING else "", trail if set(trail) <= _CLOSING else "", breaks
+
+    for n, m in enumerate(_WORD.finditer(body)):
+        start, stop = m.span()
+        gap = body[end:start]
+        if held:
+            yield row(*held[:5], gap, held[5])
+            breaks += gap.count("\n\n")
+        held, end = (n, m.group(), start, stop, gap, breaks), stop
+    if held:
+        yield row(*held[:5], body[end:], held[5])
+
+
+def _token_batch(columns: list[list], kind: pa.DataType, key: str) -> pa.RecordBatch:
+    kinds = [kind, pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [key, *(c.split()[0] for c in TOKENS.split(", "))])
 
 
 def paragraph_ranges(tokens: DataFrame, key: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import difflib
 import random
+import re
 
+import pyarrow as pa
 import pytest
 
 from lumenreel.operators import words
@@ -82,3 +84,19 @@ def test_every_turn_of_the_table(spark, sf):
         heard = [h for h in heard if h[0]]
         how = [t[2] for t in words.gap_times([r["form"] for r in rows], [h[0] for h in heard], [h[1] for h in heard], [h[2] for h in heard], "en", float("inf"), None, None)]
         assert got[key] == (len(rows), *[how.count(x) for x in ("equal", "fuzzy", "merge", "split", "approximate")])
+
+
+def test_tokens_come_in_bounded_batches():
+    """Long texts, many to a batch, are handed on in pieces: no more than TOKEN_ROWS words are held as rows."""
+    texts = [" ".join(f"(w{k}-a." if k % 9 == 0 else f"It\u2019s{k}" for k in range(n)) + "\n\nend!" for n in (0, 1, 30_000, 5, 50_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "body"])
+    got = list(words.token_batches(iter([batch, batch.slice(0, 2)]), "doc_id"))
+    assert max(b.num_rows for b in got) <= words.TOKEN_ROWS < len(texts[2].split())
+    want = []
+    for d, body in [*enumerate(texts), *enumerate(texts[:2])]:
+        found = [m.span() for m in re.finditer(r"[^\W_]+(?:['\u2019-][^\W_]+)*", body)]
+        for n, (s, e) in enumerate(found):
+            before, behind = body[found[n - 1][1] if n else 0 : s].strip(), body[e : found[n + 1][0] if n + 1 < len(found) else len(body)].strip()
+            breaks = body[found[0][1] : s].count("\n\n") if n else 0
+            want.append((d, n, body[s:e], re.sub(r"\W+", "", body[s:e].lower()), s, e, before if before == "(" else "", behind if behind in (".", "!") else "", breaks))
+    assert [tuple(r.values()) for b in got for r in b.to_pylist()] == want
