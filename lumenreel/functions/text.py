@@ -219,16 +219,16 @@ def prompt_errors(c: Column) -> Column:
 
 def sentence(c: Column) -> Column:
     """A fragment with a capital at its start and one full stop at its end; '' stays ''."""
-    v = prompt_value(c)
-    return F.when(v == "", v).otherwise(F.concat(F.upper(F.left(v, F.lit(1))), F.rtrim(F.substring(v, 2, 1 << 30), F.lit(" .,:;")), F.lit(".")))
+    closed = lambda v: F.when(v == "", v).otherwise(F.concat(F.upper(F.left(v, F.lit(1))), F.rtrim(F.substring(v, 2, 1 << 30), F.lit(" .,:;")), F.lit(".")))
+    return let(prompt_value(c), closed)
 
 
 def prompt_text(kind: Column, subject: Column, setting: Column, action: Column, composition: Column, camera: Column, look: Column, lighting: Column, rules: Column, mandatory: tuple[str, ...]) -> Column:
     """One prompt line out of its fields; action and camera are for videos, composition is for images."""
-    s, g = prompt_value(subject), prompt_value(setting)
-    first = F.concat_ws(" ", F.nullif(s, F.lit("")), F.when((s != "") & (g != ""), F.concat(F.lit("in "), g)).otherwise(F.nullif(g, F.lit(""))))
+    placed = lambda s, g: F.concat_ws(" ", F.nullif(s, F.lit("")), F.when((s != "") & (g != ""), F.concat(F.lit("in "), g)).otherwise(F.nullif(g, F.lit(""))))
+    first = let(F.struct(prompt_value(subject).alias("s"), prompt_value(setting).alias("g")), lambda v: placed(v["s"], v["g"]))
     more = F.when(kind == "video", prompt_value(action)).otherwise(prompt_value(composition))
-    head = F.concat_ws(", ", F.nullif(first, F.lit("")), F.nullif(more, F.lit("")))
+    head = let(F.struct(first.alias("first"), more.alias("more")), lambda v: F.concat_ws(", ", F.nullif(v["first"], F.lit("")), F.nullif(v["more"], F.lit(""))))
     parts = [head, F.when(kind == "video", camera), look, lighting, prompt_rules(rules, mandatory)]
     return F.array_join(F.filter(F.array(*[sentence(p) for p in parts]), lambda p: p != ""), " ")
 
