@@ -25,6 +25,23 @@ SPACE = "\u2581"
 #: Segmented words a worker remembers; it forgets all of them when there are more.
 REMEMBERED = 400_000
 _NONE: dict[str, bool] = {}
+#: Characters of a word that is searched in one window and remembered.
+ONE_WINDOW = 64
+
+
+class _Words(dict):
+    """The ids of words as bytes, looked for when they are asked for first."""
+
+    def __init__(self, encoder: Encoder) -> None:
+        self.encoder = encoder
+
+    def __missing__(self, w: str) -> bytes:
+        got = self.encoder.word(w).tobytes()
+        if len(w) <= ONE_WINDOW:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[w] = got
+        return got
 
 
 class Vocabulary:
@@ -59,26 +76,31 @@ class Encoder:
         self.v = vocabulary
         self.longest = max(map(len, vocabulary.scores))
         self.pairs: dict[str, dict[str, bool]] = {}
-        self.known: dict[str, array] = {}
+        self.known = _Words(self)
         # of each start of a piece, whether it is one that its own characters merge to
         self.starts = {p[:k]: False for p in vocabulary.scores for k in range(1, len(p) + 1)}
         self.starts |= {p: True for p in vocabulary.scores if len(p) == 1 or self.merged(p) == [p]}
+        self.ends: dict[str, str | None] = {}  # the piece that ends the best path of a word's beginning, which words share
+        # what can be a piece of a path: single characters of pieces too
+        self.steps = {p for p, whole in self.starts.items() if whole or len(p) == 1}
         # words with the spaces before them; no piece reaches over these bounds
         self.words = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
 
     def merged(self, chars: Iterable[str]) -> list[str]:
         """Merge neighbours pair by pair, best score first, of equal ones the leftmost. For short strings only."""
-        parts = list(chars)
-        while len(parts) > 1:
-            best = None
-            for i in range(len(parts) - 1):
-                s = self.v.scores.get(parts[i] + parts[i + 1])
-                if s and (best is None or s[0] > best[0]):
-                    best = (s[0], i)
-            if best is None:
+        parts, scores = list(chars), self.v.scores
+        none = (float("-inf"), 0)
+        by = [scores.get(a + b, none)[0] for a, b in zip(parts, parts[1:], strict=False)]
+        while by:
+            best = max(by)
+            if best == none[0]:
                 break
-            i = best[1]
+            i = by.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del by[i]
+            for k in (i - 1, i):
+                if 0 <= k < len(by):
+                    by[k] = scores.get(parts[k] + parts[k + 1], none)[0]
         return parts
 
     def fits(self, a: str, b: str) -> bool:
@@ -151,6 +173,33 @@ class Encoder:
                     before, window, ended, todo = out[-1], window[meet:], [None, *ended[meet + 1 :]], max(0, todo - meet)
         yield from self.trace(ended, len(window))
 
+    def search_word(self, w: str) -> list[str]:
+        """The pieces that `search` gives, of a word that one window holds: the same backpointers without anything to commit on the way."""
+        ended: list[str | None] = [None]
+        steps, pairs, longest, ends = self.steps, self.pairs, self.longest, self.ends
+        if len(ends) >= REMEMBERED:
+            ends.clear()
+        for k in range(1, len(w) + 1):
+            head = w[:k]
+            p = ends.get(head)
+            if p is None:
+                for at in range(max(0, k - longest), k):  # of the pieces that end here the longest that fits
+                    p = w[at:k]
+                    if p in steps:
+                        last = ended[at]
+                        if last is None:
+                            break
+                        fit = pairs.get(last, _NONE).get(p)
+                        if fit is None:
+                            fit = self.fits(last, p)
+                        if fit:
+                            break
+                else:
+                    p = None if p in steps else p  # a character of no piece; nothing merges with it
+                ends[head] = p
+            ended.append(p)
+        return self.trace(ended, len(w))
+
     @staticmethod
     def trace(ended: list[str | None], at: int) -> list[str]:
         out = []
@@ -160,19 +209,13 @@ class Encoder:
         return out[::-1]
 
     def word(self, w: str) -> array:
-        got = self.known.get(w)
-        if got is None:
-            got = array("i")
-            for p in self.search(w):
-                s = self.v.scores.get(p)
-                if s:
-                    got.append(s[1])
-                else:
-                    got.extend(self.v.byte_ids[b] for b in p.encode())
-            if len(w) <= 64:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[w] = got
+        got = array("i")
+        for p in self.search_word(w) if len(w) <= ONE_WINDOW else self.search(w):
+            s = self.v.scores.get(p)
+            if s:
+                got.append(s[1])
+            else:
+                got.extend(self.v.byte_ids[b] for b in p.encode())
         return got
 
     def encode(self, text: str) -> array:
@@ -180,12 +223,11 @@ class Encoder:
         ids = array("i")
         if not text:
             return ids
-        known, word, extend = self.known, self.word, ids.extend
+        known = self.known.__getitem__
         for k, part in enumerate(text.split(SPACE)):
             if k:
-                extend(self.v.byte_ids[b] for b in SPACE.encode())
-            for w in self.words.findall((SPACE if not k else "") + part.replace(" ", SPACE)):
-                extend(known.get(w) or word(w))
+                ids.extend(self.v.byte_ids[b] for b in SPACE.encode())
+            ids.frombytes(b"".join(map(known, self.words.findall((SPACE if not k else "") + part.replace(" ", SPACE)))))
         return ids
 
     def decode(self, ids: Iterable[int]) -> str:

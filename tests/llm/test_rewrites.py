@@ -250,3 +250,13 @@ def test_licenses_without_their_old_keyword(spark):
 def test_license_scan_runs_no_python(spark, sf):
     plan = queries.op8_license_scan(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_words_share_their_beginnings():
+    """The search of one word gives the pieces of the streaming search, from what other words left behind too."""
+    e = pieces.Encoder(pieces.Vocabulary(pieces.DEFAULT_MODEL))
+    rng = random.Random(3)
+    words = ["▁" * rng.randint(0, 2) + "".join(rng.choice("aeinorsté中\u0000'9") for _ in range(rng.randint(1, pieces.ONE_WINDOW - 2))) for _ in range(400)]
+    words += [w[: rng.randint(1, len(w))] + rng.choice("aet") for w in words]
+    assert [e.search_word(w) for w in words] == [list(e.search(w)) for w in words]
+    assert 0 < len(e.ends) < sum(map(len, words))
