@@ -211,20 +211,39 @@ def settle(rows: list[dict], low: int, high: int, at_start: bool, at_end: bool,
         rows[-1]["end0"] = rows[-1]["raw_end"]
     last, known = rows[-1], high < len(rows)
     before = (last.get("start0"), last.get("start1"), last.get("base"), last.get("end0"), last.get("end1"))
-    for s in rows:
-        s["start"], s["end"] = s["start0"], s["end0"]
-    for sweep in (1, 2):
-        if not at_start:  # the silence before the window is shared as it was
-            rows[0]["start"] = rows[0]["start1"] if sweep == 1 else rows[0]["base"]
-        for a, b in zip(rows, rows[1:], strict=False):
-            pair = ((a["chars"], b["chars"]), a["raw_end"], b["raw_start"], (a["start"], a["end"]), (b["start"], b["end"]))
-            if pair not in known_shares:
-                known_shares[pair] = better_share(*pair)
-            a["end"], b["start"] = known_shares[pair]
-        if not at_end:
-            if not known or last["start"] != (before[1] if sweep == 1 else before[2]) or last["end"] != (before[3] if sweep == 1 else before[4]):
-                return False
-            last["end"] = before[4] if sweep == 1 else last["base_end"]
+    # shares change from the last segment but one before the new ones on, by the second sweep from one before that, and behind them until a segment starts where it did
+    same_from = len(rows)
+    for sweep, (begin, finish) in enumerate((("start1", "end1"), ("base", "base_end")), 1):
+        first = max(0, low - 1 - sweep)
+        if sweep == 1:
+            for s in rows[first:]:
+                s["start"], s["end"] = s["start0"], s["end0"]
+        else:
+            for s in rows[first : max(0, low - 2)]:  # what the first sweep did not look at
+                s["start"], s["end"] = s["start1"], s["end1"]
+        if first or not at_start:
+            rows[first]["start"] = rows[first][begin]
+        for s in rows[:first]:
+            s["start"], s["end"] = s[begin], s[finish]
+        settled_from = high if sweep == 1 else max(high, same_from)
+        for k in range(first, len(rows) - 1):
+            a, b = rows[k], rows[k + 1]
+            pair = (a["chars"], b["chars"], a["raw_end"], b["raw_start"], a["start"], a["end"], b["start"], b["end"])
+            got = known_shares.get(pair)
+            if got is None:
+                got = known_shares[pair] = better_share(pair[:2], pair[2], pair[3], pair[4:6], pair[6:])
+            a["end"], b["start"] = got
+            if k + 1 >= settled_from and got[1] == b[begin]:
+                for s in rows[k + 1 :]:
+                    s["start"], s["end"] = s[begin], s[finish]
+                same_from = k + 1
+                break
+        else:
+            same_from = len(rows)
+            if not at_end:
+                if not known or last["start"] != (before[1] if sweep == 1 else before[2]) or last["end"] != (before[3] if sweep == 1 else before[4]):
+                    return False
+                last["end"] = before[4] if sweep == 1 else last["base_end"]
     return True
 
 
@@ -244,8 +263,8 @@ def _score(rows: list[dict]) -> list[float]:
 def try_focus(window: list[dict]) -> tuple[bool, int, int, list[int]] | None:
     """(settled, segment of the first and the last span to replace, starts of the new ones) for the best change around a focus; null if none helps.
 
-    `window` has the segments around the focus in their order, each with the focus' own number `focus`, its document's `n_segments`, totals and
-    `fastest` segments.
+    `window` has the segments around the focus in their order, each with the focus' own number `focus`, its document's `n_segments` and totals, and
+    the first one with the document's `fastest` segments.
     """
     head = window[0]
     f, n, rules = head["focus"], head["n_segments"], rules_of(head["language"])
@@ -310,7 +329,9 @@ def _best_changes(segments: DataFrame, totals: DataFrame, foci: DataFrame, key:
     columns = ["segment", "language", *SPAN_NAMES, "start0", "end0", "start1", "end1"]
     rows = segments.select(key, *columns, F.col("start").alias("base"), F.col("end").alias("base_end"), F.col("items")[0]["word"].alias("first_word"), "items")
     rows = wanted.join(rows, [key, "segment"]).withColumn("items", F.when(near, F.col("items")))
-    rows = rows.join(totals.withColumn("n_segments", F.col("segments")), key).join(fastest, key)
+    # lists of structs are dear to hand over: a window's first row has them
+    head = F.col("segment") == F.greatest(F.lit(1), F.col("focus") - 1 - BEFORE)
+    rows = rows.join(totals.withColumn("n_segments", F.col("segments")), key).join(fastest, key).withColumn("fastest", F.when(head, F.col("fastest")))
     kind = dict(segments.dtypes)
 
     def step(held: list, row: dict | None) -> list:

@@ -17,6 +17,7 @@ from lumenreel.tables import running, scan, shared_checkpoint
 # Characters of a line and a block, words and seconds of a block, reading speeds, seconds of a short block, marks that end a sentence, marks cut off words, most seconds taken from a gap.
 LINE, BLOCK, MOST_WORDS, MOST_SECONDS = 42, 84, 24, 7.0
 FAST, FASTER, FASTEST, SHORT, CAP = 18.0, 24.0, 30.0, 1.2, 0.75
+REMEMBERED = 100_000  # words of one language whose rules a task keeps
 STRONG, STRIP = ".?!;:", "\"“”‘’«»()[]{}.,;:!?"
 
 
@@ -25,6 +26,7 @@ class Rules:
 
     def __init__(self, language: str) -> None:
         self.short = frozenset(L.ABBREVIATIONS.get(language, L.ABBREVIATIONS["en"]))
+        self.known: dict[str, tuple[int, int, bool]] = {}
         self.no_start, self.no_end, self.good_end = (self._ready(t.get(language, t["en"])) for t in (L.NO_START, L.NO_END, L.GOOD_END))
 
     @staticmethod
@@ -36,21 +38,27 @@ class Rules:
         w = word.strip().strip(STRIP).lower()
         return bool(w) and (w in rules[0] or re.sub(r"\W+", "", w) in rules[1] or w.startswith(rules[2]))
 
+    def costs(self, word: str) -> tuple[int, int, bool]:
+        """How bad it is to end with a word, to start with it, and whether it is good to end with; the latest words are remembered."""
+        got = self.known.get(word)
+        if got is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            bad = 3 + 2 * ("'" in word)
+            got = self.known[word] = (bad * self.among(word, self.no_end), bad * self.among(word, self.no_start), self.among(word, self.good_end))
+        return got
+
     def between(self, left: str, right: str) -> int:
         """How bad a break between two words is."""
-        cost = 0
-        for word, rules in ((left, self.no_end), (right, self.no_start)):
-            if self.among(word, rules):
-                cost += 3 + 2 * ("'" in word)
-        return cost
+        return self.costs(left)[0] + self.costs(right)[1]
 
     def weak(self, left: str) -> int:
         """1 if a line ends without a mark or a good word."""
-        return 0 if left[-1:] in STRONG or self.among(left, self.good_end) else 1
+        return 0 if left[-1:] in STRONG or self.costs(left)[2] else 1
 
     def weak_behind(self, word: str, trailing: str) -> int:
         """1 if a span ends behind the word without a mark or a good word."""
-        return 0 if any(m in trailing for m in STRONG) or self.among(word, self.good_end) else 1
+        return 0 if any(m in trailing for m in STRONG) or self.costs(word)[2] else 1
 
     def ends(self, word: str, trailing: str) -> bool:
         """Whether a sentence ends behind a word."""
@@ -75,15 +83,21 @@ class Breaks:
 
     def lines(self, i: int, j: int) -> tuple[int | None, bool, int, int]:
         """(last token of the first line, whether they fit, how bad the break is, characters) of the tokens i to j in one or two lines: the first of the best breaks."""
-        begin, end = self.upto[i], self.upto[j + 1] - 1
+        upto = self.upto
+        begin, end = upto[i], upto[j + 1] - 1
         size = end - begin
         if size <= LINE or i == j:
             return None, size <= LINE, 0 if size <= LINE else 4, size
         # breaks that leave both lines within the limit beat all others, and lie next to each other
-        low, high = bisect_left(self.upto, end - LINE) - 1, bisect_right(self.upto, begin + LINE + 1) - 2
+        low, high = max(i, bisect_left(upto, end - LINE) - 1), min(j - 1, bisect_right(upto, begin + LINE + 1) - 2)
+        if low <= high:
+            # the best of them by how bad it is, whether a mark or good word ends the line, evenness, place
+            both = begin + end + 1
+            bad, weak, _, k = min([(self.bad[k], self.weak[k], abs(2 * upto[k + 1] - both), k) for k in range(low, high + 1)])
+            return k, True, bad + weak, size - 1
         best = None
-        for k in range(max(i, low), min(j - 1, high) + 1) or range(i, j):
-            a, b = self.upto[k + 1] - 1 - begin, end - self.upto[k + 1]
+        for k in range(i, j):
+            a, b = upto[k + 1] - 1 - begin, end - upto[k + 1]
             cost = (max(0, a - LINE) + max(0, b - LINE), self.bad[k], self.weak[k], abs(a - b), k)
             if best is None or cost < best:
                 best = cost
@@ -360,8 +374,12 @@ def better_share(chars: tuple[int, int], raw_end: float, raw_start: float, left:
     tried = sorted({round(x, 3) for x in (now[0], low, high, *steps)})
     best = None
     for x, y in (now, *((x, max(0.0, min(most, total - x))) for x in tried if x >= low - 1e-9)):
-        v, w = chars[0] / max(own[0] + x, 0.01), chars[1] / max(own[1] + y, 0.01)
-        cost = ((v > FAST) + (w > FAST), (v > FASTER) + (w > FASTER), (v > FASTEST) + (w > FASTEST), max(v, w), max(0.0, v - FAST) + max(0.0, w - FAST))
+        v, w = chars[0] / (own[0] + x), chars[1] / (own[1] + y)
+        top, low_one = (v, w) if v > w else (w, v)
+        if top > FAST:
+            cost = ((top > FAST) + (low_one > FAST), (top > FASTER) + (low_one > FASTER), (top > FASTEST) + (low_one > FASTEST), top, max(0.0, v - FAST) + max(0.0, w - FAST))
+        else:
+            cost = (0, 0, 0, top, 0.0)
         if best is None or cost < best[0]:
             best = (cost, x, y)
     if best[1:] == now:

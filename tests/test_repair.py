@@ -1,5 +1,6 @@
 """Repair of fast subtitles against a loop over whole documents that works everything out anew for every change."""
 
+import copy
 import itertools
 import random
 
@@ -226,3 +227,49 @@ def test_a_range_against_all_its_cuts(seed):
     assert costs[tuple(got)][:2] == best[:2]
     if best[1] == 18.0:
         assert costs[tuple(got)] == best
+
+
+def test_settle_stops_where_shares_are_as_they_were():
+    """A window's shares are those of the whole document swept anew, and pairs beyond those that a change reaches are not looked at."""
+
+    rng = random.Random(5)
+    seen = every = settled = 0
+
+    def swept(rows):
+        rows = copy.deepcopy(rows)
+        for k, s in enumerate(rows):
+            s["start0"] = s["raw_start"] - (min(max(s["raw_start"], 0.0), repair.CAP, repair._need(s)) if k == 0 else 0.0)
+            s["end0"] = s["raw_end"]
+        for a, b in zip(rows, rows[1:], strict=False):
+            gap = max(b["raw_start"] - a["raw_end"], 0.0)
+            a["end0"], b["start0"] = a["raw_end"] + repair._allocated(gap, repair._need(a), repair._need(b)), b["raw_start"] - repair._allocated(gap, repair._need(b), repair._need(a))
+        for s in rows:
+            s["start"], s["end"] = s["start0"], s["end0"]
+        for begin, finish in (("start1", "end1"), ("base", "base_end")):
+            for a, b in zip(rows, rows[1:], strict=False):
+                a["end"], b["start"] = repair.better_share((a["chars"], b["chars"]), a["raw_end"], b["raw_start"], (a["start"], a["end"]), (b["start"], b["end"]))
+            for s in rows:
+                s[begin], s[finish] = s["start"], s["end"]
+        return rows
+
+    for _ in range(300):
+        n, at, rows = rng.randint(1, 30), rng.choice([0.0, 0.4]), []
+        for k in range(n):
+            end = at + rng.uniform(0.3, 3.0)
+            rows.append({"segment": k, "raw_start": at, "raw_end": end, "chars": rng.randint(3, 80)})
+            at = end + rng.choice([0.0, 0.1, 0.6, 1.7])
+        was, f = swept(rows), rng.randrange(n)
+        for s in rows[max(0, f - 1) : f + 2]:
+            s["chars"] = rng.randint(3, 80)
+        want = swept(rows)
+        lo, hi = max(0, f - 1 - repair.BEFORE), min(n, f + 2 + repair.BEHIND)
+        new_lo, new_hi = max(0, f - 1), min(n, f + 2)
+        window = [dict(s) | ({"chars": rows[s["segment"]]["chars"]} if new_lo <= s["segment"] < new_hi else {}) for s in was[lo:hi]]
+        shares = {}
+        if repair.settle(window, new_lo - lo, new_hi - lo, lo == 0, hi == n, shares):
+            settled += 1
+            assert [(s["start"], s["end"]) for s in window] == [(s["start"], s["end"]) for s in want[lo:hi]]
+        if n > 20 and 5 < f < n - 12:
+            seen, every = seen + len(shares), every + 2 * (len(window) - 1)
+    assert settled > 200
+    assert seen < 0.6 * every, (seen, every)
