@@ -261,11 +261,20 @@ def timeline(content: Column, asset_file: Column | None = None) -> Column:
     return T.let(whole, of)
 
 
+#: Parts into which rows that meet nothing in a join are dealt, so that they don't go to one task.
+DEALS = 1 << 16
+
+
 def translation_preview(statuses: DataFrame, episodes: DataFrame, files: DataFrame, reports: DataFrame, episode: str, language: str) -> DataFrame:
-    """(episode, language, original, translated, translation_status, error_message) of each language: the script file, else the text in the report (translated_script, error_message)."""
-    f = files.select(F.col("path").alias("script_path"), F.col("content").alias("_file"))
+    """(episode, language, original, translated, translation_status, error_message) of each language: the script file, else the text in the report (translated_script, error_message).
+
+    Rows without a path meet no file; they are dealt out by themselves, as they would all go to one task by their path.
+    """
+    deal = lambda *by: F.pmod(F.xxhash64(*by), F.lit(DEALS))
+    f = files.select(F.col("path").alias("script_path"), F.col("content").alias("_file")).withColumn("_deal", deal("script_path"))
     e = episodes.select(episode, F.coalesce("script_text", F.lit("")).alias("original"))
-    rows = statuses.join(e, episode).join(f, "script_path", "left").join(reports.select(episode, language, "translated_script", F.col("error_message").alias("_said")), [episode, language], "left")
+    dealt = statuses.withColumn("_deal", F.when(F.col("script_path").isNull(), deal(episode, language)).otherwise(deal("script_path")))
+    rows = dealt.join(e, episode).join(f, ["script_path", "_deal"], "left").join(reports.select(episode, language, "translated_script", F.col("error_message").alias("_said")), [episode, language], "left")
     translated = F.coalesce(F.nullif(F.col("_file"), F.lit("")), F.trim(F.coalesce("translated_script", F.lit(""))))
     error = F.trim(F.coalesce(F.nullif(F.col("error_message"), F.lit("")), F.nullif(F.col("_said"), F.lit("")), F.lit("")))
     return rows.select(episode, language, "original", translated.alias("translated"), F.coalesce("translation_status", F.lit("pending")).alias("translation_status"), error.alias("error_message"))

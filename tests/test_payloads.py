@@ -1,6 +1,7 @@
 """Cases of guides, prompts, timelines and waiting episodes; gap sweeps against a plain loop."""
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -105,3 +106,20 @@ def test_gap_sweeps_against_a_plain_loop(spark, sf):
     want = {(r["l_orderkey"], r["segment"]): (r["start"], r["end"]) for rows in docs.values() for r in rows}
     off = [r for r in got if max(abs(x - y) for x, y in zip(want[r["l_orderkey"], r["segment"]], (r["start"], r["end"]), strict=True)) > 1e-6]
     assert not off and len(want) == len(got)
+
+
+def test_previews_without_a_path_are_dealt_out(spark):
+    """Rows without a path, a third of them or all, are not partitioned by their path alone: that is one task."""
+    statuses = spark.createDataFrame([(1, "de", None, "done", None), (1, "fr", "a", None, " e "), (2, "de", "b", None, ""), (3, "de", "c", None, None)], "e int, l string, script_path string, translation_status string, error_message string")
+    episodes = spark.createDataFrame([(1, "one"), (2, None), (3, "three")], "e int, script_text string")
+    files = spark.createDataFrame([("a", "A"), ("b", ""), (None, "nowhere")], "path string, content string")
+    reports = spark.createDataFrame([(1, "de", " said ", None), (2, "de", "x", "y")], "e int, l string, translated_script string, error_message string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = payloads.translation_preview(statuses, episodes, files, reports, "e", "l")
+        assert not re.search(r"hashpartitioning\(script_path#\d+, \d+\)", out._jdf.queryExecution().executedPlan().toString())
+        got = sorted(map(tuple, out.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == [(1, "de", "one", "said", "done", ""), (1, "fr", "one", "A", "pending", "e"), (2, "de", "", "x", "pending", "y"), (3, "de", "three", "", "pending", "")]
