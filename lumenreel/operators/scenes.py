@@ -50,11 +50,12 @@ def rebase(scenes: DataFrame, chunks: DataFrame, chunk: str) -> DataFrame:
     first scene lies over five seconds before it, and its last one ends no more than three seconds
     after the chunk's length.
     """
-    span = scenes.groupBy(chunk).agg(F.min("start_ms").alias("_low"), F.max("end_ms").alias("_high"))
-    move = (F.col("from_ms") > 1000) & (F.col("to_ms") > F.col("from_ms")) & (F.col("_low") < F.col("from_ms") - 5000) & (F.col("_high") <= F.col("to_ms") - F.col("from_ms") + 3000)
-    by = chunks.join(span, chunk).select(chunk, F.when(move, F.col("from_ms")).otherwise(F.lit(0)).alias("_by"))
-    out = scenes.join(by, chunk, "left").withColumn("_by", F.coalesce("_by", F.lit(0)))
-    return out.withColumns({"start_ms": F.col("start_ms") + F.col("_by"), "end_ms": F.col("end_ms") + F.col("_by"), "rebased": F.col("_by") > 0}).drop("_by")
+    own = Window.partitionBy(chunk)
+    met = scenes.join(chunks.select(chunk, F.col("from_ms").alias("_from"), F.col("to_ms").alias("_to")), chunk, "left")
+    rows = met.withColumns({"_low": F.min("start_ms").over(own), "_high": F.max("end_ms").over(own)})
+    move = (F.col("_from") > 1000) & (F.col("_to") > F.col("_from")) & (F.col("_low") < F.col("_from") - 5000) & (F.col("_high") <= F.col("_to") - F.col("_from") + 3000)
+    out = rows.withColumn("_by", F.when(move, F.col("_from")).otherwise(F.lit(0)))
+    return out.withColumns({"start_ms": F.col("start_ms") + F.col("_by"), "end_ms": F.col("end_ms") + F.col("_by"), "rebased": F.col("_by") > 0}).drop("_by", "_from", "_to", "_low", "_high")
 
 
 def owned(scenes: DataFrame, windows: DataFrame, document: str, chunk: str, overlap_ms: int) -> DataFrame:

@@ -58,3 +58,13 @@ def test_checkpoints_never_lie_on_one_machine_of_several():
     assert checkpoint_folder(None, "s3a://b/w", "yarn") == "s3a://b/w/_checkpoints"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         checkpoint_folder(None, "file:/w", "spark://m:7077")
+
+
+def test_lines_keep_their_parts(spark, sf):
+    """Lines are dealt by order into the session's number of parts, not put together by their compressed size, and no step by order deals them again."""
+    from lumenreel.plans import registry, work
+    from lumenreel.plans import scenes as plans
+
+    assert work.lines(registry.Tables(spark, sf)).rdd.getNumPartitions() == 4
+    plan = plans.rebased_scenes(registry.Tables(spark, sf))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(l_orderkey#") == 1
