@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenreel.functions import text as T
-from lumenreel.tables import first_of_key, running, scan
+from lumenreel.tables import first_of_key, places, running, scan
 
 # Fixed values, in milliseconds: tolerances, and lengths of scenes.
 OVERLAP_ERROR, OVERLAP_REPAIR, COVERAGE, DURATION_OFF, GAP_WARNING, SNAP = 50, 250, 3000, 350, 500, 500
@@ -221,12 +221,8 @@ def zipped(groups: DataFrame, metadata: DataFrame, key: str, position: str) -> D
     Positions count from 0 by themselves on both sides, whatever gaps they have.
     """
     extra = [c for c in metadata.columns if c not in (key, position)]
-    count = lambda df, name: df.groupBy(key).agg(F.countDistinct(position).alias(name))
-    same = count(groups, "_g").join(count(metadata, "_m"), key).where("_g = _m").select(key)
-    place = lambda df: running(df.select(key, position).distinct(), [key], [position], number="_place")
-    paired = place(groups).join(place(metadata).withColumnRenamed(position, "_other"), [key, "_place"]).join(same, key, "left_semi")
-    found = paired.join(metadata.withColumnRenamed(position, "_other"), [key, "_other"]).select(key, position, *extra)
-    return groups.join(found, [key, position], "left")
+    found = places(metadata, key, position, "_place", "_n").select(key, "_place", "_n", *extra)
+    return places(groups, key, position, "_place", "_n").join(found, [key, "_place", "_n"], "left").select(*groups.columns, *extra)
 
 
 def with_prompts(scenes: DataFrame, sources: list[tuple[DataFrame, str]], key: str) -> DataFrame:

@@ -27,6 +27,16 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a key that one task may sort; parts into which keys are counted to see that none has more.
+TASK_ROWS, KEY_PARTS = 1_000_000, 1 << 12
+
+
+def small_keys(df: DataFrame, keys: list[str], most: int | None = None) -> bool:
+    """Whether no key has more than `most` rows (TASK_ROWS), for sure: rows are counted by hash parts of the keys, a few numbers from each task."""
+    parts = df.groupBy(F.pmod(F.xxhash64(*keys), F.lit(KEY_PARTS)).alias("part")).count()
+    return (parts.agg(F.max("count")).first()[0] or 0) <= (TASK_ROWS if most is None else most)
+
+
 def running(df: DataFrame, keys: list[str], order: list[str], number: str | None = "n", largest: dict[str, Column] | None = None, **sums: Column) -> DataFrame:
     """`df` with the row number by key in the order, and sums, or the `largest` values, of all rows up to each one.
 
@@ -51,6 +61,20 @@ def running(df: DataFrame, keys: list[str], order: list[str], number: str | None
     return p.join(o, same).select(*[F.col(f"p.{c}") for c in cols], *moved)
 
 
+def places(df: DataFrame, key: str, position: str, place: str, n: str) -> DataFrame:
+    """`df` with the place of each row's position among the different positions of its key, from 1, and how many of those there are; null where the position is.
+
+    Where no key can hold more than TASK_ROWS, a key's rows are sorted in one task; else places are numbered by `running`, whatever share of the rows a key holds.
+    """
+    if small_keys(df, [key]):
+        w = Window.partitionBy(key)
+        ranked = df.withColumn(place, F.when(F.col(position).isNotNull(), F.dense_rank().over(w.orderBy(F.asc_nulls_last(position))).cast("bigint")))
+        return ranked.withColumn(n, F.when(F.col(position).isNotNull(), F.max(place).over(w)))
+    different = running(df.where(F.col(position).isNotNull()).select(key, position).distinct(), [key], [position], number=place)
+    totals = different.groupBy(key).agg(F.max(place).alias(n))
+    return df.join(different.join(totals, key), [key, position], "left").select(*df.columns, place, n)
+
+
 def first_of_key(df: DataFrame, keys: list[str], order: list[Column], n: int = 1, rank: str | None = None) -> DataFrame:
     """The first n rows of each key, with their rank if it is named. Spark cuts to n rows a key in each task before it deals rows by key."""
     w = Window.partitionBy(*keys).orderBy(*order)

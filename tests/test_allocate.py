@@ -7,7 +7,8 @@ from itertools import accumulate
 import pytest
 from pyspark.sql import functions as F
 
-from lumenreel.operators import cues
+from lumenreel import tables
+from lumenreel.operators import cues, scenes
 from lumenreel.tables import checkpoint_folder, running
 
 
@@ -60,6 +61,20 @@ def test_checkpoints_never_lie_on_one_machine_of_several():
         checkpoint_folder(None, "file:/w", "spark://m:7077")
 
 
+@pytest.mark.parametrize("most", [tables.TASK_ROWS, 0])
+def test_zipped_by_places(spark, monkeypatch, most):
+    """Chunks at the same place of documents with equally many; rows of one position share a place, rows without one have none."""
+    written = []
+    monkeypatch.setattr(tables, "TASK_ROWS", most)
+    monkeypatch.setattr(tables, "shared_checkpoint", lambda df, real=tables.shared_checkpoint: written.append(1) or real(df))
+    groups = spark.createDataFrame([("a", 1, "p"), ("a", 1, "q"), ("a", 9, "r"), ("a", None, "s"), ("b", 1, "t"), (None, 1, "u"), ("c", 2, "v")], "d string, at int, g string")
+    meta = spark.createDataFrame([("a", 4, "x"), ("a", 5, "y"), ("a", 5, "z"), ("b", 1, "x"), ("b", 2, "y"), (None, 1, "z")], "d string, at int, m string")
+    out = scenes.zipped(groups, meta, "d", "at")
+    assert out.columns == ["d", "at", "g", "m"]
+    assert sorted(map(tuple, out.select("g", "m").collect()), key=str) == [("p", "x"), ("q", "x"), ("r", "y"), ("r", "z"), ("s", None), ("t", None), ("u", None), ("v", None)]
+    assert bool(written) == (most == 0)
+
+
 def test_lines_keep_their_parts(spark, sf):
     """Lines are dealt by order into the session's number of parts, not put together by their compressed size, and no step by order deals them again."""
     from lumenreel.plans import registry, work
