@@ -392,28 +392,42 @@ def _better_share(left: dict, right: dict) -> None:
     left["end"], right["start"] = better_share((left["chars"], right["chars"]), left["raw_end"], right["raw_start"], (left["start"], left["end"]), (right["start"], right["end"]))
 
 
+#: Sweeps over each document's silences.
+SWEEPS = 2
+
+
 def sweep_gaps(segments: DataFrame, key: str) -> DataFrame:
     """`segments` (key, segment, raw_start, raw_end, start, end, chars, ...) after two sweeps over each document that try the shares of every silence in steps of 0.05 s.
 
     Fewest segments over the three tiers of speed count first, then the top speed, then what is above
     the limit. A share depends on the one before it, so a document is one state in one task; the task
-    holds one segment.
+    holds one segment a sweep, and the sweeps follow each other through the rows.
     """
     schema = ", ".join(f"{c} {t}" for c, t in segments.dtypes)
 
-    def step(held: list, row: dict | None) -> list:
-        done = [tuple(held[0].values())] if held and row is None else []
+    def passed(sweeps: list, row: dict) -> list:
+        """What comes out of the sweeps once the first one gets the row: a segment goes on to the next sweep when its own is through with it."""
+        for k, held in enumerate(sweeps):
+            if held is None:
+                sweeps[k] = row
+                return []
+            _better_share(held, row)
+            sweeps[k], row = row, held
+        return [tuple(row.values())]
+
+    def step(sweeps: list, row: dict | None) -> list:
         if row is not None:
-            if held:
-                _better_share(held[0], row)
-                done = [tuple(held[0].values())]
-            held[:] = [row]
-        return done
-
-    out = segments
-    for _ in range(2):
-        out = scan(out, [key], ["segment"], list, step, schema)
-    return out
+            return passed(sweeps, row)
+        rest = []
+        for k, held in enumerate(sweeps):
+            # what the sweep still holds goes through those behind it
+            if held is not None:
+                behind = sweeps[k + 1 :]
+                rest += passed(behind, held)
+                sweeps[k + 1 :] = behind
+        return rest
+
+    return scan(segments, [key], ["segment"], lambda: [None] * SWEEPS, step, schema)
 
 
 def density(speed: Column, seconds: Column, chars: Column, words: Column, limit: float = FAST) -> dict[str, Column]:

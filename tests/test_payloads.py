@@ -123,3 +123,19 @@ def test_previews_without_a_path_are_dealt_out(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert got == [(1, "de", "one", "said", "done", ""), (1, "fr", "one", "A", "pending", "e"), (2, "de", "", "x", "pending", "y"), (3, "de", "three", "", "pending", "")]
+
+
+def test_sweeps_follow_each_other_in_one_pass(spark):
+    """Segments are dealt, sorted and handed to Python once, however many sweeps there are; documents of one segment and of several."""
+    from lumenreel.operators import segmentation
+
+    rows = [("a", k, 3.0 * k, 3.0 * k + 1 + k % 2, 20 + 17 * (k % 4)) for k in range(6)] + [("b", 0, 1.0, 2.0, 90)]
+    df = segmentation.share_gaps(spark.createDataFrame(rows, "doc string, segment int, raw_start double, raw_end double, chars int").selectExpr("*", "raw_start AS start", "raw_end AS end"), "doc")
+    got = segmentation.sweep_gaps(df, "doc")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    want = {d: [r.asDict() for r in sorted(df.where(f"doc = '{d}'").collect(), key=lambda r: r.segment)] for d in "ab"}
+    for rs in want.values():
+        for _ in range(2):
+            for left, right in zip(rs, rs[1:], strict=False):
+                segmentation._better_share(left, right)
+    assert [r.asDict() for r in got.orderBy("doc", "segment").collect()] == want["a"] + want["b"]
