@@ -197,6 +197,6 @@ def accepted_updates(t: Tables) -> DataFrame:
 def swept_gaps(t: Tables) -> DataFrame:
     """No SQL: each share depends on the one before it. Tested against a plain loop."""
     start = F.col("l_linenumber") * 3.0
-    rows = lines(t).select("l_orderkey", F.col("l_linenumber").cast("int").alias("segment"), start.alias("start"), (start + F.col("l_quantity").cast("double") / 18).alias("end"), (F.col("l_partkey") % 80 + 5).cast("int").alias("chars"))
+    rows = lines(t, dealt=True).select("l_orderkey", F.col("l_linenumber").cast("int").alias("segment"), start.alias("start"), (start + F.col("l_quantity").cast("double") / 18).alias("end"), (F.col("l_partkey") % 80 + 5).cast("int").alias("chars"))
     shared = segmentation.share_gaps(rows.withColumns({"raw_start": F.col("start"), "raw_end": F.col("end")}), "l_orderkey")
     return segmentation.sweep_gaps(shared, "l_orderkey")

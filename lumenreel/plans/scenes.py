@@ -80,7 +80,7 @@ def rebased_scenes(t: Tables) -> DataFrame:
     start = F.col("o_custkey") % 5 * 4000
     chunks = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), start.alias("from_ms"), (start + 9000).alias("to_ms"))
     at = F.col("l_linenumber") * 1000 + F.when(F.col("l_orderkey") % 2 == 0, F.col("from_ms")).otherwise(0)
-    rows = lines(t).join(chunks, "l_orderkey").select("l_orderkey", "l_linenumber", at.alias("start_ms"), (at + 1500).alias("end_ms"))
+    rows = lines(t, dealt=True).join(chunks, "l_orderkey").select("l_orderkey", "l_linenumber", at.alias("start_ms"), (at + 1500).alias("end_ms"))
     return scenes.rebase(rows, chunks, "l_orderkey").select("l_orderkey", "l_linenumber", "start_ms", "end_ms", "rebased")
 
 

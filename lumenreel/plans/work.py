@@ -23,14 +23,15 @@ def now():
 LINES = "(SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_quantity) AS l_quantity, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY ALL)"
 
 
-def lines(t: Tables) -> DataFrame:
+def lines(t: Tables, dealt: bool = False) -> DataFrame:
     """One row for each order and line number.
 
-    Lines are dealt by order once, in a number of parts of its own: joins and windows by order need no other exchange, and parts
+    `dealt` lines are dealt by order once, in a number of parts of its own: joins and windows by order need no other exchange, and parts
     that look small by their compressed bytes are not put together into few large tasks.
     """
     n = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
-    return t.lineitem.repartition(n, "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_quantity", "l_returnflag")])
+    rows = t.lineitem.repartition(n, "l_orderkey") if dealt else t.lineitem
+    return rows.groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_quantity", "l_returnflag")])
 
 
 def text_of(c) -> F.Column:
@@ -123,8 +124,8 @@ WITH g AS (SELECT l_orderkey, l_linenumber, dense_rank() OVER (PARTITION BY l_or
 m AS (SELECT l_orderkey, l_linenumber * 10 AS chunk, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS place, count(*) OVER (PARTITION BY l_orderkey) AS n FROM {LINES} WHERE l_orderkey % 3 > 0 OR l_linenumber > 1)
 SELECT g.l_orderkey, l_linenumber, chunk FROM g LEFT JOIN m ON m.l_orderkey = g.l_orderkey AND m.place = g.place AND m.n = g.n""")
 def zipped_chunks(t: Tables) -> DataFrame:
-    groups = lines(t).select("l_orderkey", "l_linenumber")
-    meta = lines(t).where("l_orderkey % 3 > 0 or l_linenumber > 1").select("l_orderkey", F.col("l_linenumber").alias("at"), (F.col("l_linenumber") * 10).alias("chunk"))
+    groups = lines(t, dealt=True).select("l_orderkey", "l_linenumber")
+    meta = lines(t, dealt=True).where("l_orderkey % 3 > 0 or l_linenumber > 1").select("l_orderkey", F.col("l_linenumber").alias("at"), (F.col("l_linenumber") * 10).alias("chunk"))
     return scenes.zipped(groups, meta.withColumnRenamed("at", "l_linenumber"), "l_orderkey", "l_linenumber")
 
 

@@ -80,6 +80,6 @@ def test_lines_keep_their_parts(spark, sf):
     from lumenreel.plans import registry, work
     from lumenreel.plans import scenes as plans
 
-    assert work.lines(registry.Tables(spark, sf)).rdd.getNumPartitions() == 4
+    assert work.lines(registry.Tables(spark, sf), dealt=True).rdd.getNumPartitions() == 4
     plan = plans.rebased_scenes(registry.Tables(spark, sf))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(l_orderkey#") == 1
