@@ -99,8 +99,13 @@ NUMBER_PLACES = (r"(?i)prompt\s*(\d+)", r"(?i)scene[_\s]*(\d+)", r"(?i)asset[_\s
 
 
 def number_in_name(c: Column) -> Column:
-    """The number of a file name as bigint; null if it has none."""
-    return F.coalesce(*[F.nullif(F.regexp_extract(c, p, 1), F.lit("")).try_cast("bigint") for p in NUMBER_PLACES])
+    """The number of a file name as bigint; null if it has none. Names without the words or a bracket need no pattern: only digits at their beginning count."""
+    marked = [F.nullif(F.regexp_extract(c, p, 1), F.lit("")).try_cast("bigint") for p in NUMBER_PLACES[:-1]]
+    any_mark = F.contains(c, F.lit("("))
+    for word in ("prompt", "scene", "asset"):
+        any_mark = any_mark | F.contains(F.lower(c), F.lit(word))
+    digits = F.left(c, F.length(c) - F.length(F.ltrim(c, F.lit("0123456789"))))
+    return F.coalesce(F.when(any_mark, F.coalesce(*marked)), F.nullif(digits, F.lit("")).try_cast("bigint"))
 
 
 #: File suffixes by class.
@@ -114,16 +119,26 @@ SUFFIX_CLASSES = {
 
 
 def suffix(c: Column) -> Column:
-    return F.lower(F.regexp_extract(c, r"(\.[^./]+)$", 1))
+    """The last dot and what follows it, in lower case; '' if nothing, or a slash, follows it."""
+    end = F.substring_index(c, ".", -1)
+    return F.when(_no_suffix(c, end), F.lit("")).otherwise(F.lower(F.concat(F.lit("."), end)))
+
+
+def stem(c: Column) -> Column:
+    """A name without its suffix."""
+    end = F.substring_index(c, ".", -1)
+    return F.when(_no_suffix(c, end), c).otherwise(F.left(c, F.length(c) - F.length(end) - 1))
+
+
+def _no_suffix(c: Column, end: Column) -> Column:
+    return (end == "") | (end == c) | F.contains(end, F.lit("/"))
 
 
 def suffix_class(c: Column) -> Column:
     """image, video, audio, json, text, binary for other suffixes and '' for none."""
-    s = suffix(c)
-    out = F.when(s == "", F.lit(""))
-    for name, suffixes in SUFFIX_CLASSES.items():
-        out = out.when(s.isin(*suffixes), F.lit(name))
-    return out.otherwise(F.lit("binary"))
+    classes = F.create_map(*[F.lit(x) for name, suffixes in SUFFIX_CLASSES.items() for s in suffixes for x in (s.removeprefix("."), name)])
+    known = F.when(F.contains(c, F.lit(".")), F.try_element_at(classes, F.lower(F.substring_index(c, ".", -1))))
+    return F.coalesce(known, F.when(suffix(c) == "", F.lit("")).otherwise(F.lit("binary")))
 
 
 def progress(c: Column) -> Column:
