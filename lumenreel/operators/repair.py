@@ -5,9 +5,11 @@ of every document, tries all changes around each of them at once, and takes the
 improves the document's score; at most four passes, and only documents that changed go on.
 
 No document is held: a change touches three spans, and the silence that neighbours share settles again some
-segments on. So each focus gets a window of segments, the totals of its document, and the fastest
-segments outside; what a change does is worked out in the window and taken off and added to the totals. Where
-the silence has not settled at the end of a window, that focus is looked at again with a longer one.
+segments on. So segments are dealt in groups of GROUP neighbours, and each focus of a group gets a window of them, the
+totals of its document, and the fastest segments outside; what a change does is worked out in the window and taken off and
+added to the totals. What no share of the silence can make better than the best change so far is not
+worked out. Where the silence has not settled at the end of a window, that focus is looked at again with a longer one.
+Spans that a pass does not change keep what is known of their words.
 """
 
 from __future__ import annotations
@@ -21,10 +23,11 @@ from lumenreel.operators.segmentation import (
     FAST,
     FASTER,
     FASTEST,
+    ITEM_NAMES,
+    LAID_NAMES,
     LINE,
     MOST_SECONDS,
     MOST_WORDS,
-    MOST_WORDS,
     SHORT,
     SPAN_NAMES,
     Breaks,
@@ -35,6 +38,7 @@ from lumenreel.operators.segmentation import (
     dense,
     dense_order,
     lay_out,
+    lay_out_items,
     layout,
     rules_of,
     share_gaps,
@@ -43,34 +47,46 @@ from lumenreel.tables import first_of_key, scan, shared_checkpoint
 
 # Passes, foci of a pass, words and characters below which a segment is tiny.
 PASSES, FOCI, TINY_WORDS, TINY_CHARS = 4, 12, 2, 10
-#: Ranks up to which foci are looked at together.
-WAVES = (2, FOCI)
-#: Segments before a change that it can reach through the silence, and behind it at first.
-BEFORE, BEHIND = 3, 8
+#: Segments before a change that it can reach through the silence, and behind it at first; neighbours that are dealt together.
+BEFORE, BEHIND, GROUP = 3, 8, 64
 
 SCORE = ["over_limits", "over_30", "over_24", "tiny", "short", "top_speed", "over_18", "overflow", "bad", "segments"]
+TOP = SCORE.index("top_speed")
+TIMES = ["start", "end", "start0", "end0", "start1", "end1"]
+#: What is worked out of a change: a window's segments by these columns. Shares are tried in steps that are rounded to milliseconds, so a bound of what they can reach has some slack.
+SLIM = ["chars", "words", "lines", "longest", "line_bad", "next_bad", "raw_start", "raw_end", "start0", "end0", "start1", "end1", "base", "base_end"]
+SLACK = 0.01
 
 
 def timed(laid: DataFrame, key: str) -> DataFrame:
     """`laid` with start and end, and what they were before the first and the second sweep over the silences (start0, end0, start1, end1)."""
-    shared = share_gaps(laid.withColumns({"start": F.col("raw_start"), "end": F.col("raw_end")}), key)
-    slim = shared.select(key, "segment", "raw_start", "raw_end", "chars", "start", "end")
-    for k in (0, 1):
-        slim = slim.withColumns({f"start{k}": F.col("start"), f"end{k}": F.col("end")})
-        schema = ", ".join(f"{c} {t}" for c, t in slim.dtypes)
-        slim = scan(slim, [key], ["segment"], list, _sweep_step, schema)
-    return laid.join(slim.drop("raw_start", "raw_end", "chars"), [key, "segment"])
+    shared = share_gaps(laid.select(key, "segment", "raw_start", "raw_end", "chars", F.col("raw_start").alias("start"), F.col("raw_end").alias("end")), key)
+    kind = dict(shared.dtypes)
+    swept = scan(shared, [key], ["segment"], lambda: [None, None], _sweep_step, f"{key} {kind[key]}, segment {kind['segment']}, " + ", ".join(f"{c} double" for c in TIMES))
+    return laid.join(swept, [key, "segment"])
 
 
 def _sweep_step(held: list, row: dict | None) -> list:
-    """One segment at a time: its share of the silence before the next one."""
-    done = [tuple(held[0].values())] if held and row is None else []
-    if row is not None:
-        if held:
-            _better_share(held[0], row)
-            done = [tuple(held[0].values())]
-        held[:] = [row]
-    return done
+    """One segment at a time through both sweeps: its share of the silence before the next one. `held` has the segment that waits in each."""
+
+    def second(s: dict) -> list:
+        s["start1"], s["end1"] = s["start"], s["end"]
+        before, held[1] = held[1], s
+        if before is None:
+            return []
+        _better_share(before, s)
+        return [before]
+
+    if row is None:
+        done = [*second(held[0]), held[1]]
+    else:
+        row["start0"], row["end0"] = row["start"], row["end"]
+        before, held[0] = held[0], row
+        done = []
+        if before is not None:
+            _better_share(before, row)
+            done = second(before)
+    return [tuple(s[c] for c in s if c not in ("raw_start", "raw_end", "chars")) for s in done]
 
 
 def speed(chars: Column, start: Column, end: Column) -> Column:
@@ -115,35 +131,49 @@ def cut_scores(segments: DataFrame, key: str, seconds: Column, bad: Column, open
     return segments.groupBy(key).agg((F.sum(parts["over_limits"]) == 0).alias("whole"), cut.alias("cut")).withColumn("cut", F.when(F.col("whole"), F.col("cut")))
 
 
-def cut_range(items: list[dict], before: float, behind: float | None, following: str | None, rules: Rules) -> list[int]:
+def cut_range(items: list[dict], before: float, behind: float | None, following: str | None, rules: Rules, shown: Breaks | None = None) -> list[int]:
     """Where the best cut of a range of words in a repair starts its spans; `before` and `behind` are the end and the start of the words around it.
 
     Fewest spans over 30, over 24, tiny and short ones, the lowest top speed, fewest over the limit, the least
     above it, the best breaks, the fewest spans; of equals the one that ends its first span first.
     """
     n = len(items)
-    shown = Breaks([w["leading"] + w["word"] + w["trailing"] for w in items], rules)
+    shown = shown or Breaks([w["leading"] + w["word"] + w["trailing"] for w in items], rules)
     at = [before, *(w["end"] for w in items)]
     to = [w["start"] for w in items] + [behind if behind is not None else items[-1]["end"]]
-    begin = [max(0.0, to[k] - min(max(0.0, to[k] - at[k]) / 2, CAP)) for k in range(n)]
-    end = [at[k + 1] + min(max(0.0, to[k + 1] - at[k + 1]) / 2, CAP) for k in range(n)]
-    next_words = [w["word"] for w in items[1:]] + [following or ""]
+    gaps = [min(max(0.0, b - a) / 2, CAP) for a, b in zip(at, to, strict=True)]
+    begin = [max(0.0, to[k] - gaps[k]) for k in range(n)]
+    end = [at[k + 1] + gaps[k + 1] for k in range(n)]
+    costs = [rules.costs(w["word"]) for w in items]
+    next_bad = [a[0] + b for a, b in zip(costs, [*(c[1] for c in costs[1:]), rules.costs(following or "")[1]], strict=True)]
+    upto = shown.upto
     best: list = [None] * n + [((0, 0, 0, 0, FAST, 0, 0.0, 0, 0), n)]
     for i in range(n - 1, -1, -1):
+        least, cut = None, n
         for j in range(i, min(n, i + MOST_WORDS)):
-            length = max(end[j] - begin[i], 0.01)
-            _, fits, bad, chars = shown.lines(i, j)
-            beyond = end[j] - begin[i] > MOST_SECONDS or chars > BLOCK or not fits
-            if beyond and j > i:
+            seconds, size = end[j] - begin[i], upto[j + 1] - 1 - upto[i]
+            if j > i and (size > BLOCK + 1 or seconds > MOST_SECONDS):
                 break
-            rest, v = best[j + 1][0], chars / length
-            bad += rules.between(items[j]["word"], next_words[j])
+            length, rest, chars = max(seconds, 0.01), best[j + 1][0], size if size <= LINE or i == j else size - 1
+            v = chars / length
+            fastest = rest[0] + (v > FASTEST)
+            if least is not None and fastest > least[0]:
+                continue
             tiny = j - i + 1 < TINY_WORDS or chars < TINY_CHARS
-            cost = (rest[0] + (v > FASTEST), rest[1] + (v > FASTER), rest[2] + tiny, rest[3] + (length < SHORT), max(v, FAST, rest[4]), rest[5] + (v > FAST), rest[6] + max(0.0, v - FAST), rest[7] + bad, rest[8] + 1)
-            if best[i] is None or cost < best[i][0]:
-                best[i] = (cost, j + 1)
+            cost = (fastest, rest[1] + (v > FASTER), rest[2] + tiny, rest[3] + (length < SHORT), max(v, FAST, rest[4]), rest[5] + (v > FAST), rest[6] + max(0.0, v - FAST))
+            # lines are looked at where they may matter; if these words don't fit, more of them don't either
+            if least is not None and cost > least[:7]:
+                continue
+            fits, bad = (True, 0) if size <= LINE else shown.lines(i, j)[1:3]
+            beyond = seconds > MOST_SECONDS or chars > BLOCK or not fits
+            if beyond and j > i:
+                break
+            cost = (*cost, rest[7] + bad + next_bad[j], rest[8] + 1)
+            if least is None or cost < least:
+                least, cut = cost, j + 1
             if beyond:
                 break
+        best[i] = (least, cut)
     starts, i = [], 0
     while i < n:
         starts.append(i)
@@ -260,44 +290,74 @@ def _score(rows: list[dict]) -> list[float]:
     return total
 
 
-def try_focus(window: list[dict]) -> tuple[bool, int, int, list[int]] | None:
-    """(settled, segment of the first and the last span to replace, starts of the new ones) for the best change around a focus; null if none helps.
+def _least(s: dict, before: float, behind: float) -> list:
+    """What a segment adds to a score at the least, with all it can get of the silences before and behind it."""
+    raw = s["raw_end"] - s["raw_start"]
+    most = max(raw + min(max(before, 0.0), CAP) + min(max(behind, 0.0), CAP) + SLACK, 0.01)
+    v = s["chars"] / most
+    over = s["chars"] > BLOCK or s["lines"] > 2 or s["longest"] > LINE or raw > MOST_SECONDS + SLACK
+    return [over, v > FASTEST, v > FASTER, s["words"] < TINY_WORDS or s["chars"] < TINY_CHARS, most < SHORT, v, v > FAST, max(0.0, v - FAST), s["line_bad"] + s["next_bad"], 1]
+
 
-    `window` has the segments around the focus in their order, each with the focus' own number `focus`, its document's `n_segments` and totals, and
-    the first one with the document's `fastest` segments.
+def _together(parts: list[list]) -> list:
+    """What segments add to a score together; of the speeds the largest counts."""
+    return [max(x) if k == TOP else sum(x) for k, x in enumerate(zip(*parts, strict=True))] if parts else [0, 0, 0, 0, 0, FAST, 0, 0.0, 0, 0]
+
+
+def _rounded(score: list) -> tuple:
+    return tuple(round(x, 6) if c in ("top_speed", "overflow") else x for c, x in zip(SCORE, score, strict=True))
+
+
+def try_focus(window: list[dict], f: int, head: dict, known_shares: dict) -> tuple[bool, int, int, list[int]] | None:
+    """(settled, segment of the first and the last span to replace, starts of the new ones) for the best change around segment f; null if none helps.
+
+    `window` has the segments around the focus in their order; `head` the document's `n_segments`, totals and
+    `fastest` segments (segment, speed); `known_shares` keeps what was worked out before.
+
+    Changes are looked at in the order of what they can reach at best, and of equal ones the first counts; those that can't be better than the best so far are left.
     """
-    head = window[0]
-    f, n, rules = head["focus"], head["n_segments"], rules_of(head["language"])
-    number = {s["segment"]: k for k, s in enumerate(window)}
+    n, rules = head["n_segments"], rules_of(window[0]["language"])
+    first = window[0]["segment"]
     w0, w1 = max(1, f - 1), min(n, f + 1)
-    low, high = number[w0], number[w1] + 1
+    low, high = w0 - first, w1 - first + 1
     spans = [(s["first"], s["last"]) for s in window[low:high]]
-    items = [x if isinstance(x, dict) else x.asDict() for s in window[low:high] for x in s["items"]]
+    items = [dict(zip(ITEM_NAMES, x, strict=True)) for s in window[low:high] for x in zip(*(s[c] for c in ITEM_NAMES), strict=True)]
+    shown = Breaks([w["leading"] + w["word"] + w["trailing"] for w in items], rules)
     base = spans[0][0]
     before = window[low - 1]["raw_end"] if w0 > 1 else 0.0
-    behind = window[high]["raw_start"] if w1 < n else None
-    following = window[high]["first_word"] if w1 < n else None
-    best = [base + k for k in cut_range(items, before, behind, following, rules)]
-    a, b = window[number[f]]["first"], window[number[f]]["last"]
+    behind, following = (window[high]["raw_start"], window[high]["word"][0]) if w1 < n else (None, None)
+    best = [base + k for k in cut_range(items, before, behind, following, rules, shown)]
+    a, b = spans[f - w0]
     places = best_places([(p, rules.weak_behind(items[p - 1 - base]["word"], items[p - 1 - base]["trailing"]), rules.between(items[p - 1 - base]["word"], items[p - base]["word"])) for p in range(a + 1, b + 1)], a, b)
-    outside = [x["speed"] for x in head["fastest"] if x["segment"] not in number]
-    was = [s | {"start": s["base"], "end": s["base_end"]} for s in window]
-    gone, at_start, at_end = _score(was), window[0]["segment"] == 1, window[-1]["segment"] == n
-    now = tuple(round(head[c], 6) if c in ("top_speed", "overflow") else head[c] for c in SCORE)
-    words, known_shares = {}, {}
+    rows_of = [{c: s[c] for c in SLIM} for s in window]
+    at_start, at_end = first == 1, window[-1]["segment"] == n
+    gone = _score([s | {"start": s["base"], "end": s["base_end"]} for s in rows_of])
+    own = [head[c] for c in SCORE]
+    now = _rounded(own)
+    outside = max([FAST, *(v for s, v in head["fastest"] if not first <= s < first + len(window))])
+    edges = [window[0]["raw_start"] if at_start else CAP, *(t["raw_start"] - s["raw_end"] for s, t in zip(window, window[1:], strict=False)), 0.0 if at_end else CAP]
+    least = [_least(s, edges[k], edges[k + 1]) for k, s in enumerate(rows_of)]
+    # of the segments before each one, and from each one on
+    upto, since = [_together([])], [_together([])]
+    for x, y in zip(least, reversed(least), strict=True):
+        upto.append(_together([upto[-1], x]))
+        since.append(_together([since[-1], y]))
+    since.reverse()
+    words: dict[tuple[int, int], dict] = {}
 
     def laid(span: tuple[int, int]) -> dict:
         if span not in words:
             i, j = span[0] - base, span[1] - base
-            behind_it = items[j + 1]["word"] if j + 1 < len(items) else following
-            words[span] = dict(zip(SPAN_NAMES, layout(items[i : j + 1], span[0], behind_it, rules)[0], strict=True))
+            got, _ = layout(shown, i, j, items[j]["word"], items[j]["trailing"], items[j + 1]["word"] if j + 1 < len(items) else following, rules)
+            words[span] = dict(zip(LAID_NAMES, got, strict=True)) | {"raw_start": items[i]["start"], "raw_end": items[j]["end"]}
         return dict(words[span])
 
-    settled, found = True, None
+    def with_window(parts: list) -> tuple:
+        return _rounded([max(outside, parts[k]) if k == TOP else own[k] - gone[k] + parts[k] for k in range(len(SCORE))])
+
     for group in changes(spans, f - w0, best, places):
-        if found is not None:
-            break
-        for new in group:
+        tried = []
+        for number, new in enumerate(group):
             # spans that stay at either side of the change keep what is known of them
             same = 0
             while same < min(len(spans), len(new)) and spans[same] == new[same]:
@@ -305,43 +365,66 @@ def try_focus(window: list[dict]) -> tuple[bool, int, int, list[int]] | None:
             tail = 0
             while tail < min(len(spans), len(new)) - same and spans[-1 - tail] == new[-1 - tail]:
                 tail += 1
-            rows = [dict(s) for s in window[: low + same]] + [laid(s) for s in new[same : len(new) - tail]] + [dict(s) for s in window[high - tail :]]
-            start, stop = low + same, low + len(new) - tail
-            if not settle(rows, start, stop, at_start, at_end, known_shares):
-                settled = False
+            made = [laid(s) for s in new[same : len(new) - tail]]
+            gaps = [edges[low + same], *(t["raw_start"] - s["raw_end"] for s, t in zip(made, made[1:], strict=False)), edges[high - tail]]
+            bound = with_window(_together([upto[low + same], *(_least(s, gaps[k], gaps[k + 1]) for k, s in enumerate(made)), since[high - tail]]))
+            if bound < now:
+                tried.append((bound, number, new, low + same, high - tail, made))
+        found, open_ = None, []
+        for bound, number, new, start, stop, made in sorted(tried, key=lambda x: x[:2]):
+            if found and bound > found[0]:
+                break
+            rows = [dict(s) for s in rows_of[:start]] + [dict(s) for s in made] + [dict(s) for s in rows_of[stop:]]
+            if not settle(rows, start, start + len(made), at_start, at_end, known_shares):
+                open_.append(bound)
                 continue
-            got = _score(rows)
-            score = tuple(max(FAST, *outside, got[5]) if c == "top_speed" else head[c] - gone[k] + got[k] for k, c in enumerate(SCORE))
-            score = tuple(round(x, 6) if c in ("top_speed", "overflow") else x for x, c in zip(score, SCORE, strict=True))
-            if score < (found[0] if found else now):
-                found = (score, new)
-    if not settled:
-        return False, w0, w1, []
-    return None if found is None else (True, w0, w1, [s[0] for s in found[1]])
+            score = with_window(_score(rows))
+            if score < now and (found is None or (score, number) < found[:2]):
+                found = (score, number, new)
+        if any(found is None or bound <= found[0] for bound in open_):
+            return False, w0, w1, []
+        if found is not None:
+            return True, w0, w1, [s[0] for s in found[2]]
+    return None
 
 
 def _best_changes(segments: DataFrame, totals: DataFrame, foci: DataFrame, key: str, behind: int) -> DataFrame:
-    """(key, rank, focus, settled, w0, w1, starts, end) of the foci (key, rank, focus) where a change helps, or could not be judged in a window of `behind` segments."""
-    fast = first_of_key(segments.withColumn("speed", speed(F.col("chars"), F.col("start"), F.col("end"))), [key], [F.col("speed").desc(), F.col("segment")], 2 * BEFORE + behind + 6)
-    fastest = fast.groupBy(key).agg(F.collect_list(F.struct("segment", "speed")).alias("fastest"))  # so many a document at most
-    wanted = foci.select("*", F.explode(F.sequence(F.col("focus") - 1 - BEFORE, F.col("focus") + 1 + behind)).alias("segment"))
-    near = F.abs(F.col("segment") - F.col("focus")) <= 1
-    columns = ["segment", "language", *SPAN_NAMES, "start0", "end0", "start1", "end1"]
-    rows = segments.select(key, *columns, F.col("start").alias("base"), F.col("end").alias("base_end"), F.col("items")[0]["word"].alias("first_word"), "items")
-    rows = wanted.join(rows, [key, "segment"]).withColumn("items", F.when(near, F.col("items")))
-    # lists of structs are dear to hand over: a window's first row has them
-    head = F.col("segment") == F.greatest(F.lit(1), F.col("focus") - 1 - BEFORE)
-    rows = rows.join(totals.withColumn("n_segments", F.col("segments")), key).join(fastest, key).withColumn("fastest", F.when(head, F.col("fastest")))
+    """(key, rank, focus, settled, w0, w1, starts, end) of foci (key, rank, focus) where a change helps, or could not be judged in a window of `behind` segments.
+
+    Segments are dealt in groups of GROUP neighbours with those around them that windows reach; of a group's foci the first that a change helps counts, and those behind it are left.
+    """
+    fast = first_of_key(segments.select(key, "segment", speed(F.col("chars"), F.col("start"), F.col("end")).alias("speed")), [key], [F.col("speed").desc(), F.col("segment")], 2 * BEFORE + behind + 6)
+    fastest = fast.groupBy(key).agg(F.collect_list("segment").alias("fast_segments"), F.collect_list("speed").alias("fast_speeds"))  # so many a document at most
+    groups = foci.groupBy(key, F.floor((F.col("focus") - 1) / GROUP).cast("int").alias("_group")).agg(F.array_sort(F.collect_list(F.struct("rank", "focus"))).alias("_foci"))
+    groups = groups.select(key, "_group", F.col("_foci.rank").alias("ranks"), F.col("_foci.focus").alias("foci"))
+    groups = groups.join(totals.withColumn("n_segments", F.col("segments")), key).join(fastest, key)
+    heads = [c for c in groups.columns if c not in (key, "_group")]
+    at = F.col("segment")
+    of_groups = F.sequence(F.greatest(F.lit(0), F.ceil((at - 1 - behind) / GROUP) - 1).cast("int"), F.floor((at + BEFORE) / GROUP).cast("int"))
+    own = segments.select(key, "segment", "language", *SPAN_NAMES, "start0", "end0", "start1", "end1", F.col("start").alias("base"), F.col("end").alias("base_end"), *[F.col(f"items.{c}").alias(f"_{c}") for c in ITEM_NAMES], F.explode(of_groups).alias("_group"))
+    # a group's first row has what is known of the document
+    first = at == F.greatest(F.lit(1), F.col("_group") * GROUP - BEFORE)
+    rows = own.join(groups, [key, "_group"]).withColumns({c: F.when(first, F.col(c)) for c in heads})
     kind = dict(segments.dtypes)
 
     def step(held: list, row: dict | None) -> list:
         if row is not None:
             held.append(row)
             return []
-        found = try_focus(held)
-        return [] if found is None else [(held[0][key], held[0]["rank"], held[0]["focus"], found[0], found[1], found[2], found[3])]
-
-    return scan(rows, [key, "rank"], ["segment"], list, step, f"{key} {kind[key]}, rank int, focus int, settled boolean, w0 int, w1 int, starts array<int>")
+        for s in held:
+            s |= {c: s.pop(f"_{c}").tolist() for c in ITEM_NAMES}
+        head, at, known_shares, out = held[0], held[0]["segment"], {}, []
+        head["fastest"] = list(zip(head["fast_segments"].tolist(), head["fast_speeds"].tolist(), strict=True))
+        head |= {c: int(head[c]) for c in [*SCORE, "n_segments"] if c not in ("top_speed", "overflow")}
+        for rank, f in zip(head["ranks"].tolist(), head["foci"].tolist(), strict=True):
+            found = try_focus(held[max(0, f - 1 - BEFORE - at) : f + 2 + behind - at], f, head, known_shares)
+            if found is not None:
+                out.append((head[key], rank, f, *found))
+                if found[0]:
+                    break
+        return out
+
+    return scan(rows, [key, "_group"], ["segment"], list, step, f"{key} {kind[key]}, rank int, focus int, settled boolean, w0 int, w1 int, starts array<int>")
 
 
 def recut(segments: DataFrame, foci: DataFrame, key: str) -> DataFrame:
@@ -368,37 +451,60 @@ def recut(segments: DataFrame, foci: DataFrame, key: str) -> DataFrame:
     return scan(rows, [key, "focus"], ["segment"], list, step, f"{key} {kind[key]}, focus int, first int")
 
 
-def one_pass(words: DataFrame, spans: DataFrame, key: str, language: str, first: bool) -> tuple[DataFrame, DataFrame]:
-    """(spans of the documents that a change improves, with it; keys of these documents)."""
-    now = spans.select(key, "segment", "first", "last")
-    segments = shared_checkpoint(timed(lay_out(words, spans, key, language), key))
+def one_pass(laid: DataFrame, key: str, first: bool) -> tuple[DataFrame, DataFrame]:
+    """(segments, the best change of each document that one improves: key, w0, w1, starts) of spans as lay_out gives them."""
+    laid = shared_checkpoint(laid)
+    segments = shared_checkpoint(timed(laid, key))
     totals = scores(segments, key, F.col("end") - F.col("start"), F.col("line_bad") + F.col("next_bad"), 15)
-    reads = segments.withColumn("speed", speed(F.col("chars"), F.col("start"), F.col("end")))
+    reads = segments.select(key, "segment", "chars", "words", "lines", speed(F.col("chars"), F.col("start"), F.col("end")).alias("speed"))
     if first:
         reads = reads.join(totals.where("over_18 > 0").select(key), key, "left_semi")
     ranked = first_of_key(dense(reads), [key], dense_order("segment"), FOCI, "rank")
-    foci = shared_checkpoint(ranked.select(key, F.col("rank").cast("int").alias("rank"), F.col("segment").cast("int").alias("focus")))
-    found, upto = None, 0
-    for wave in WAVES:
-        # the densest foci first: a document that one of them improves needs no others
-        waiting, behind = foci.where(F.col("rank").between(upto + 1, wave)), BEHIND
-        if found is not None:
-            waiting = waiting.join(found.select(key).distinct(), key, "left_anti")
-        while not waiting.isEmpty():
-            got = shared_checkpoint(_best_changes(segments, totals, waiting, key, behind))
-            found = got.where("settled") if found is None else found.unionAll(got.where("settled"))
-            waiting, behind = got.where("not settled").select(key, "rank", "focus"), 4 * behind
-        upto = wave
-    if found is None:
-        return now.limit(0), now.select(key).limit(0)
+    waiting, behind, found = ranked.select(key, F.col("rank").cast("int").alias("rank"), F.col("segment").cast("int").alias("focus")), BEHIND, None
+    while True:
+        got = shared_checkpoint(_best_changes(segments, totals, waiting, key, behind))
+        found = got.where("settled") if found is None else found.unionAll(got.where("settled"))
+        waiting, behind = got.where("not settled").select(key, "rank", "focus"), 4 * behind
+        if waiting.isEmpty():
+            break
     taken = found.groupBy(key).agg(F.min_by(F.struct("w0", "w1", "starts"), "rank").alias("t")).select(key, "t.*")
-    joined = segments.select(key, "segment", "first", "last").join(taken, key)
+    return segments, shared_checkpoint(taken)
+
+
+def changed_spans(segments: DataFrame, taken: DataFrame, key: str) -> DataFrame:
+    """Spans as lay_out gives them of the documents with a change (key, w0, w1, starts), after it: new ones are laid out from the words of those that they replace, the others are moved on."""
+    columns = ["language", *SPAN_NAMES, "items"]
+    joined = segments.select(key, "segment", *columns).join(taken, key)
     inside = F.col("segment").between(F.col("w0"), F.col("w1"))
-    moved_on = joined.where(~inside).select(key, (F.col("segment") + F.when(F.col("segment") > F.col("w1"), F.size("starts") - (F.col("w1") - F.col("w0") + 1)).otherwise(0)).cast("int").alias("segment"), "first", "last")
-    ends = joined.where(F.col("segment") == F.col("w1")).select(key, "w0", F.col("last").alias("end"), "starts")
-    each = ends.select(key, "w0", "end", "starts", F.posexplode("starts").alias("k", "first"))
-    new = each.select(key, (F.col("w0") + F.col("k")).cast("int").alias("segment"), "first", F.coalesce(F.try_element_at("starts", F.col("k") + 2) - 1, "end").cast("int").alias("last"))
-    return moved_on.unionAll(new), taken.select(key)
+    longer = F.size("starts") - (F.col("w1") - F.col("w0") + 1)
+    moved_on = joined.where(~inside).select(key, (F.col("segment") + F.when(F.col("segment") > F.col("w1"), longer).otherwise(0)).cast("int").alias("segment"), *columns)
+    # three spans of a document at most, and the first word behind them
+    around = joined.where(inside | (F.col("segment") == F.col("w1") + 1))
+    each = around.groupBy(key).agg(
+        F.min("w0").alias("w0"), F.min_by("language", "segment").alias("language"), F.min("first").alias("base"), F.min_by("starts", "segment").alias("starts"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.when(inside, F.struct("segment", "items")))), lambda s: s["items"])).alias("words"), F.max(F.when(~inside, F.col("items")[0]["word"])).alias("behind"),
+    )
+    each = each.select("*", F.posexplode("starts").alias("k", "start")).withColumn("stop", F.coalesce(F.get("starts", F.col("k") + 1) - F.col("base"), F.size("words")))
+    new = each.select(
+        key, (F.col("w0") + F.col("k")).cast("int").alias("segment"), "language", F.col("start").alias("first"), F.slice("words", F.col("start") - F.col("base") + 1, F.col("stop") - F.col("start") + F.col("base")).alias("items"),
+        F.coalesce(F.get("words", F.col("stop"))["word"], F.col("behind")).alias("following"),
+    )
+    return moved_on.unionByName(lay_out_items(new, key).drop("text"))
+
+
+def repair_laid(words: DataFrame, spans: DataFrame, key: str, language: str, passes: int = PASSES) -> DataFrame:
+    """Segments, as timed gives them, of `spans` after repair, with `passes`; see repair."""
+    kind = dict(spans.dtypes)[key]
+    now = spans.select(F.col(key).cast(kind).alias(key), *[F.col(c).cast("int").alias(c) for c in ("segment", "first", "last")])
+    laid, done = lay_out(words, now, key, language).drop("text"), None
+    for k in range(passes):
+        segments, taken = one_pass(laid, key, k == 0)
+        stay = segments.join(taken, key, "left_anti").withColumn("passes", F.lit(k + 1))
+        done = stay if done is None else done.unionByName(stay)
+        if taken.isEmpty():
+            return done
+        laid = changed_spans(segments, taken, key)
+    return done.unionByName(timed(shared_checkpoint(laid), key).withColumn("passes", F.lit(passes + 1)))
 
 
 def repair(words: DataFrame, spans: DataFrame, key: str, language: str, passes: int = PASSES) -> DataFrame:
@@ -406,25 +512,9 @@ def repair(words: DataFrame, spans: DataFrame, key: str, language: str, passes:
 
     A document that reads within the limit stays as it is. Spans have to cover a document's words from 0 without a gap.
     """
-    kind = dict(spans.dtypes)[key]
-    now = spans.select(F.col(key).cast(kind).alias(key), *[F.col(c).cast("int").alias(c) for c in ("segment", "first", "last")])
-    # every pass reads them again
-    words = shared_checkpoint(words.select(key, "index", "word", "leading", "trailing", "start", "end", language))
-    done = None
-    for k in range(passes):
-        better, changed = one_pass(words, now, key, language, k == 0)
-        better, changed = shared_checkpoint(better), shared_checkpoint(changed)
-        stay = now.join(changed, key, "left_anti").withColumn("passes", F.lit(k + 1))
-        done = stay if done is None else done.unionAll(stay)
-        now = better
-        if changed.isEmpty():
-            return done
-        words = words.join(changed, key, "left_semi")
-    return done.unionAll(now.withColumn("passes", F.lit(passes + 1)))
+    return repair_laid(words, spans, key, language, passes).select(key, "segment", "first", "last", "passes")
 
 
 def repaired_segments(words: DataFrame, spans: DataFrame, key: str, language: str) -> DataFrame:
     """(key, segment, first, last, start, end, chars, words, lines, passes) after repair, silences shared and swept."""
-    fixed = shared_checkpoint(repair(words, spans, key, language))
-    segments = timed(lay_out(words, fixed, key, language), key)
-    return segments.join(fixed.select(key, "segment", "passes"), [key, "segment"]).select(key, "segment", "first", "last", "start", "end", "chars", "words", "lines", "passes")
+    return repair_laid(words, spans, key, language).select(key, "segment", "first", "last", "start", "end", "chars", "words", "lines", "passes")

@@ -78,8 +78,10 @@ class Breaks:
         self.upto = [0]
         for t in tokens:
             self.upto.append(self.upto[-1] + len(t) + 1)
-        self.bad = [rules.between(a, b) for a, b in zip(tokens, tokens[1:], strict=False)]
-        self.weak = [rules.weak(t) for t in tokens]
+        costs = [rules.costs(t) for t in tokens]
+        self.bad = [a[0] + b[1] for a, b in zip(costs, costs[1:], strict=False)]
+        self.weak = [0 if t[-1:] in STRONG or c[2] else 1 for t, c in zip(tokens, costs, strict=True)]
+        self.broken = any("\n" in t for t in tokens)
 
     def lines(self, i: int, j: int) -> tuple[int | None, bool, int, int]:
         """(last token of the first line, whether they fit, how bad the break is, characters) of the tokens i to j in one or two lines: the first of the best breaks."""
@@ -108,40 +110,60 @@ class Breaks:
         first = self.tokens[i : j + 1] if k is None else self.tokens[i : k + 1]
         return " ".join(first) + ("" if k is None else "\n" + " ".join(self.tokens[k + 1 : j + 1]))
 
+    def shape(self, i: int, k: int | None, j: int) -> tuple[int, int]:
+        """How many lines the text has, and the length of the longest one."""
+        if self.broken:
+            lines = self.text(i, k, j).split("\n")
+            return len(lines), max(map(len, lines))
+        begin, end = self.upto[i], self.upto[j + 1] - 1
+        return (1, end - begin) if k is None else (2, max(self.upto[k + 1] - 1 - begin, end - self.upto[k + 1]))
+
 
 SPAN = "first int, last int, raw_start double, raw_end double, chars int, words int, lines int, longest int, line_bad int, next_bad int, open_end boolean"
-ITEM = "struct<word:string,leading:string,trailing:string,start:double,end:double>"
 SPAN_NAMES = [c.split()[0] for c in SPAN.split(", ")]
+ITEM_NAMES = ["word", "leading", "trailing", "start", "end"]
+LAID = SPAN[SPAN.index("chars") :]
+LAID_NAMES = [c.split()[0] for c in LAID.split(", ")]
 
 
-def layout(words: list[dict], first: int, following: str | None, rules: Rules) -> tuple[tuple, str]:
-    """SPAN of the words of one span, and its text; `following` is the word behind them, null at a document's end."""
-    shown = Breaks([w["leading"] + w["word"] + w["trailing"] for w in words], rules)
-    n = len(words)
-    cut, _, bad, chars = shown.lines(0, n - 1)
-    text = shown.text(0, cut, n - 1)
-    lines = text.split("\n")
-    next_bad = rules.between(words[-1]["word"], following) if following is not None else 0
-    open_end = not rules.ends(words[-1]["word"], words[-1]["trailing"])
-    return (first, first + n - 1, words[0]["start"], words[-1]["end"], chars, n, len(lines), max(map(len, lines)), bad if cut is not None else 0, next_bad, open_end), text
+def layout(shown: Breaks, i: int, j: int, word: str, trailing: str, following: str | None, rules: Rules) -> tuple[tuple, int | None]:
+    """(chars, words, lines, longest, line_bad, next_bad, open_end) of the tokens i to j as one span, and the last token of its first line; `word` and `trailing` are the last word's, `following` is the word behind it, null at a document's end."""
+    cut, _, bad, chars = shown.lines(i, j)
+    next_bad = rules.between(word, following) if following is not None else 0
+    return (chars, j - i + 1, *shown.shape(i, cut, j), bad if cut is not None else 0, next_bad, not rules.ends(word, trailing)), cut
 
 
 def lay_out(words: DataFrame, spans: DataFrame, key: str, language: str) -> DataFrame:
     """(key, segment, language, SPAN, text, items) of spans (key, segment, first, last) of words (key, index from 0, word, leading, trailing, start, end, language)."""
     wanted = spans.select(key, "segment", "first", "last", F.explode(F.sequence("first", F.col("last") + 1)).alias("index"))
     rows = wanted.join(words.select(key, F.col("index").cast("int").alias("index"), "word", "leading", "trailing", "start", "end", F.col(language).alias("language")), [key, "index"])
-
-    def step(held: list, row: dict | None) -> list:
-        if row is not None:
-            held.append(row)
-            return []
-        own, behind = [r for r in held if r["index"] <= r["last"]], [r for r in held if r["index"] > r["last"]]
-        items = [{c: r[c] for c in ("word", "leading", "trailing", "start", "end")} for r in own]
-        span, text = layout(items, own[0]["first"], behind[0]["word"] if behind else None, rules_of(own[0]["language"]))
-        return [(own[0][key], own[0]["segment"], own[0]["language"], *span, text, items)]
-
-    kind = dict(spans.dtypes)
-    return scan(rows, [key, "segment"], ["index"], list, step, f"{key} {kind[key]}, segment {kind['segment']}, language string, {SPAN}, text string, items array<{ITEM}>")
+    own = F.col("index") <= F.col("last")
+    item = F.struct("index", "word", "leading", "trailing", "start", "end")
+    held = rows.groupBy(key, "segment").agg(
+        F.min_by("language", "index").alias("language"), F.min("first").cast("int").alias("first"), F.array_sort(F.collect_list(F.when(own, item))).alias("_own"), F.max(F.when(~own, F.col("word"))).alias("following")
+    ).where(F.size("_own") > 0)
+    laid = held.withColumn("items", F.transform("_own", lambda x: F.struct(*[x[c].alias(c) for c in ITEM_NAMES]))).drop("_own")
+    # a number of its own and a hash: see scan
+    return lay_out_items(laid.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(key, "segment")), key)
+
+
+def lay_out_items(spans: DataFrame, key: str) -> DataFrame:
+    """(key, segment, language, SPAN, text, items) of spans (key, segment, language, first, items, following): the words of each, and the word behind them or null."""
+
+    @F.pandas_udf(f"{LAID}, text string")
+    def laid(leading: pd.Series, word: pd.Series, trailing: pd.Series, language: pd.Series, following: pd.Series) -> pd.DataFrame:
+        out = []
+        for before, words, behind, name, after in zip(leading, word, trailing, language, following, strict=True):
+            rules, n = rules_of(name), len(words)
+            shown = Breaks([a + w + b for a, w, b in zip(before, words, behind, strict=True)], rules)
+            got, cut = layout(shown, 0, n - 1, words[-1], behind[-1], after, rules)
+            out.append((*got, shown.text(0, cut, n - 1)))
+        return pd.DataFrame(out, columns=[*LAID_NAMES, "text"])
+
+    n = F.size("items")
+    with_text = spans.withColumn("_laid", laid("items.leading", "items.word", "items.trailing", "language", "following"))
+    span = {"last": F.col("first") + n - 1, "raw_start": F.col("items")[0]["start"], "raw_end": F.element_at("items", -1)["end"]} | {c: F.col("_laid")[c] for c in LAID_NAMES}
+    return with_text.select(key, "segment", "language", *[span.get(c, F.col(c)).alias(c) for c in SPAN_NAMES], F.col("_laid.text").alias("text"), "items")
 
 
 #: Places of a block. What a cut of a document costs, part by part: fast blocks; their top speed; speed above the limit in

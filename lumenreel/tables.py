@@ -112,4 +112,5 @@ def scan(df: DataFrame, keys: list[str], order: list[str], start, step, schema:
 
     # a number of its own: partitions that look small by their bytes are not put together, as steps cost more than rows
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    # by a hash of the keys: rows that a join has dealt by the keys themselves would not be dealt again, and the join may yet change to one that doesn't deal them
+    return df.repartition(n, F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

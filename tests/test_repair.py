@@ -185,6 +185,12 @@ def test_silence_that_settles_beyond_a_window(spark, monkeypatch):
     assert repaired(spark, documents) == {d: plain_repair(w, s, w[0]["language"]) for d, (w, s) in documents.items()}
 
 
+def test_groups_of_few_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(repair, "GROUP", 5)
+    documents = some_documents(21, 12)
+    assert repaired(spark, documents) == {d: plain_repair(w, s, w[0]["language"]) for d, (w, s) in documents.items()}
+
+
 def test_segments_and_scores_of_whole_documents(spark):
     documents = some_documents(8, 20)
     words, spans = frames(spark, documents)
@@ -273,3 +279,52 @@ def test_settle_stops_where_shares_are_as_they_were():
             seen, every = seen + len(shares), every + 2 * (len(window) - 1)
     assert settled > 200
     assert seen < 0.6 * every, (seen, every)
+
+
+def test_changes_that_cannot_win_are_not_worked_out(monkeypatch):
+    """Most changes around a focus are left by what they can reach at best, and the change taken is that of whole documents."""
+    rng, seen = random.Random(3), [0, 0]
+    settle, make = repair.settle, repair.changes
+    monkeypatch.setattr(repair, "settle", lambda *a: (seen.__setitem__(0, seen[0] + 1), settle(*a))[1])
+    monkeypatch.setattr(repair, "changes", lambda *a: (lambda got: (seen.__setitem__(1, seen[1] + sum(map(len, got))), got)[1])(make(*a)))
+    for _ in range(40):
+        words, rules = document(rng, 60), Rules("en")
+        spans = cut(rng, 60)
+        window = segments_of(words, spans, rules)
+        head = {"n_segments": len(spans), "fastest": [], **dict(zip(repair.SCORE, score(words, spans, rules), strict=True))}
+        f = rng.randint(1, len(spans))
+        found = repair.try_focus(window, f, head, {})
+        now = score(words, spans, rules)
+        best = (now, None)
+        for group in tries(words, spans, f - 1, rules):
+            if best[1] is None:
+                for t in group:
+                    if (new := score(words, t, rules)) < best[0]:
+                        best = (new, t)
+        if best[1] is None:
+            assert found is None
+        else:
+            settled, w0, w1, starts = found
+            kept = [s[0] for k, s in enumerate(spans, 1) if k < w0] + starts + [s[0] for k, s in enumerate(spans, 1) if k > w1]
+            assert settled and kept == [s[0] for s in best[1]]
+    assert seen[0] < 0.6 * seen[1], seen
+
+
+def segments_of(words, spans, rules):
+    """Segments of a whole document as a window of its own, with their times before, between and after the sweeps."""
+    rows = []
+    for k, (a, b) in enumerate(spans, 1):
+        shown = Breaks([w["leading"] + w["word"] + w["trailing"] for w in words[a : b + 1]], rules)
+        got, _ = segmentation.layout(shown, 0, b - a, words[b]["word"], words[b]["trailing"], words[b + 1]["word"] if b + 1 < len(words) else None, rules)
+        rows.append({"segment": k, "language": "en", "first": a, "last": b, "raw_start": words[a]["start"], "raw_end": words[b]["end"], **dict(zip(segmentation.LAID_NAMES, got, strict=True)), **{c: [w[c] for w in words[a : b + 1]] for c in segmentation.ITEM_NAMES}})
+    need = [repair._need(s) for s in rows]
+    for k, s in enumerate(rows):
+        s["start0"] = s["raw_start"] - (min(max(s["raw_start"], 0.0), repair.CAP, need[0]) if k == 0 else repair._allocated(max(0.0, s["raw_start"] - rows[k - 1]["raw_end"]), need[k], need[k - 1]))
+        s["end0"] = s["raw_end"] + (repair._allocated(max(0.0, rows[k + 1]["raw_start"] - s["raw_end"]), need[k], need[k + 1]) if k + 1 < len(rows) else 0.0)
+    times = [{"chars": s["chars"], "raw_start": s["raw_start"], "raw_end": s["raw_end"], "start": s["start0"], "end": s["end0"]} for s in rows]
+    for begin, finish in (("start1", "end1"), ("base", "base_end")):
+        for x, y in zip(times, times[1:], strict=False):
+            segmentation._better_share(x, y)
+        for s, t in zip(rows, times, strict=True):
+            s[begin], s[finish] = t["start"], t["end"]
+    return rows
