@@ -9,12 +9,14 @@ further level splits at the median of the last node that has them, so leaves hol
 every size of input. Every vector is put into the index. Vectors that are the same are one class that is indexed once. A pair that shares
 several leaves counts in the first of them. A leaf of more than BLOCK classes is compared block by
 block in tasks of its own, so nothing is left out and no task grows with it; from each comparison
-only sums and the links of spanning stars go on.
+only sums and the links of spanning stars go on. Links within a large group of near copies are counted by products of
+matrices, not pair by pair.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +33,7 @@ SPILL = 4.0  # copies of a vector in one tree at most, in the mean
 SMALL = 1 << 20  # rows of (length, leaf, blocks) that may be broadcast, some 24 MB
 HOT = 256  # classes with more than one in so many of all rows are split where rows meet classes
 SALTS = 64
+DENSE = 32  # linked vectors of a leaf beyond which pairs that share an earlier leaf are found by a product of matrices instead of one by one
 LEAST_IN_LEAF = 8  # sampled vectors, below which a node gets no median of its own
 SEED = 11
 
@@ -115,38 +118,86 @@ class Trees:
         return rows[order], leaves[order]
 
 
-def compare(x: np.ndarray, weight: np.ndarray, side: np.ndarray, pair: bool, leaf: int, leaves: list[np.ndarray], cosine: float) -> tuple[np.ndarray, np.ndarray]:
+def compare(x: np.ndarray, weight: np.ndarray, side: np.ndarray, pair: bool, leaf: int, leaves_of: Callable[[np.ndarray], list[np.ndarray]], cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """(partners, root) of each vector of a leaf: how many vectors it links to here for the first time, and the first row it is connected to.
 
-    pair: only pairs of different sides are compared.
+    pair: only pairs of different sides are compared. `leaves_of` gives the leaves of some of the rows; only those with a link are asked for.
     """
     n = len(x)
     partners, label = np.zeros(n, np.int64), np.arange(n)
-    width = max(map(len, leaves))
-    earlier = np.full((n, width), -1, np.int64)  # the leaves before this one
-    for i, own in enumerate(leaves):
-        own = own[own < leaf]
-        earlier[i, : len(own)] = own
-    step = max(1, 2_000_000 // n)
-    for at in range(0, n, step):
-        a, b = np.nonzero(x[at : at + step] @ x.T >= cosine)
-        a += at
-        ok = (side[a] < side[b]) if pair else (a < b)
-        a, b = a[ok], b[ok]
-        if not len(a):
-            continue
-        label = min_labels(n, label[a], label[b])[label]
+    rows, near = [], []
+    for at in range(0, n, step := max(1, 2_000_000 // n)):
+        hit = x[at : at + step] @ x.T >= cosine
+        own = np.arange(at, at + len(hit))
+        some = np.flatnonzero(np.count_nonzero(hit, axis=1) > hit[np.arange(len(hit)), own])  # more than itself
+        hit, own = hit[some], own[some]
+        hit &= side[own][:, None] < side if pair else own[:, None] < np.arange(n)
+        some = hit.any(axis=1)
+        rows.append(own[some])
+        near.append(hit[some])
+    rows, near = np.concatenate(rows), np.concatenate(near)
+    if not len(rows):
+        return partners, label
+    busy = np.union1d(rows, np.flatnonzero(near.any(axis=0)))
+    links = np.zeros((len(busy), len(busy)), bool)
+    links[np.searchsorted(busy, rows)] = near[:, busy]
+    del near
+    leaves = [own[own < leaf] for own in leaves_of(busy)]  # the leaves before this one
+    few: list[tuple[np.ndarray, np.ndarray]] = []
+    for members in _connected(links):
+        label[busy[members]] = busy[members[0]]
+        if len(members) <= DENSE:
+            a, b = np.nonzero(links[np.ix_(members, members)])
+            few.append((members[a], members[b]))
+        else:
+            got = _first_time(links[np.ix_(members, members)], weight[busy[members]], [leaves[m] for m in members])
+            partners[busy[members]] += got
+    if few:
+        a, b = (np.concatenate(c) for c in zip(*few, strict=True))
+        earlier = np.full((len(busy), max(map(len, leaves))), -1, np.int64)
+        for i, own in enumerate(leaves):
+            earlier[i, : len(own)] = own
         for s in range(0, len(a), 1 << 16):  # shared leaves before this one: the pair was counted there
             i, j = a[s : s + (1 << 16)], b[s : s + (1 << 16)]
             new = np.ones(len(i), bool)
-            for k in range(width):
+            for k in range(earlier.shape[1]):
                 e = earlier[i, k]
                 new &= ~((e >= 0) & (earlier[j] == e[:, None]).any(axis=1))
-            np.add.at(partners, i[new], weight[j[new]])
-            np.add.at(partners, j[new], weight[i[new]])
+            i, j = busy[i[new]], busy[j[new]]
+            np.add.at(partners, i, weight[j])
+            np.add.at(partners, j, weight[i])
     return partners, label
 
 
+def _connected(links: np.ndarray) -> list[np.ndarray]:
+    """The rows of each connected part of a table of links, in their order."""
+    both = links | links.T
+    seen, parts = np.zeros(len(both), bool), []
+    for i in range(len(both)):
+        if not seen[i]:
+            seen[i] = True
+            members, front = [np.array([i])], np.array([i])
+            while len(front):
+                front = np.flatnonzero(both[front].any(axis=0) & ~seen)
+                seen[front] = True
+                members.append(front)
+            parts.append(np.sort(np.concatenate(members)))
+    return parts
+
+
+def _first_time(links: np.ndarray, weight: np.ndarray, leaves: list[np.ndarray]) -> np.ndarray:
+    """How many vectors each row links to that it shares no earlier leaf with; which rows have which leaf is a matrix, and its product with itself says what is shared."""
+    names, at = np.unique(np.concatenate(leaves), return_inverse=True)
+    has = np.zeros((len(leaves), len(names)), np.float32)
+    has[np.repeat(np.arange(len(leaves)), [len(own) for own in leaves]), at] = 1
+    out, heavy = np.zeros(len(links)), weight.astype(np.float64)
+    for s in range(0, len(links), 1024):
+        new = (links[s : s + 1024] & (has[s : s + 1024] @ has.T == 0)).astype(np.float64)
+        out[s : s + 1024] += new @ heavy
+        out += heavy[s : s + 1024] @ new
+    return out.astype(np.int64)
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of `vectors` (vec_id, embedding).
 
@@ -165,26 +216,34 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
     classes = materialize(rows.groupBy("embedding").agg(F.min("vec_id").alias("low"), F.count("*").alias("size")).withColumn("cid", F.monotonically_increasing_id()))
     shared = vectors.sparkSession.sparkContext.broadcast(_fit(classes, cosine, sample))
 
-    def deal(b: pa.RecordBatch) -> pa.RecordBatch:
-        """Rows of (leaf, cid, size, embedding)."""
-        cids, sizes = b.column(0), b.column(1)
-        flat = b.column(2).flatten().to_numpy(zero_copy_only=False)
-        ends = np.cumsum(b.column(2).value_lengths().to_numpy(zero_copy_only=False))
+    def leaves(vectors: pa.Array):
+        """(length, rows, leaf of each) for each length of the vectors."""
+        flat = vectors.flatten().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(vectors.value_lengths().to_numpy(zero_copy_only=False))
         lengths = np.diff(np.concatenate(([0], ends)))
-        take, leaf = [], []
         for d in np.unique(lengths):
             at = np.flatnonzero(lengths == d)
-            x = unit(flat[(ends[at] - d)[:, None] + np.arange(d)])
             trees = shared.value.get(int(d))
-            r, f = trees.leaves(x) if trees else (np.arange(len(at)), np.zeros(len(at), np.int64))
-            take.append(at[r]), leaf.append(f)
-        take = pa.array(np.concatenate(take))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(leaf)), cids.take(take), sizes.take(take), b.column(2).take(take)], ["leaf", "cid", "size", "embedding"])
+            r, f = trees.leaves(unit(flat[(ends[at] - d)[:, None] + np.arange(d)])) if trees else (np.arange(len(at)), np.zeros(len(at), np.int64))
+            yield int(d), at[r], f
+
+    def deal(b: pa.RecordBatch) -> pa.RecordBatch:
+        """Rows of (leaf, cid, size, embedding)."""
+        take, leaf = (np.concatenate(c) for c in list(zip(*leaves(b.column(2)), strict=True))[1:])
+        take = pa.array(take)
+        return pa.RecordBatch.from_arrays([pa.array(leaf), *(b.column(c).take(take) for c in range(3))], ["leaf", "cid", "size", "embedding"])
+
+    def count(b: pa.RecordBatch):
+        """(d, leaf, n): how many vectors of a batch each leaf gets."""
+        for d, _, leaf in leaves(b.column(0)):
+            leaf, n = np.unique(leaf, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(leaf), d, np.int32)), pa.array(leaf), pa.array(n)], ["d", "leaf", "n"])
 
     kind = dict(classes.dtypes)["embedding"]
     dealt = classes.select("cid", "size", "embedding").mapInArrow(lambda bs: (deal(b) for b in bs if b.num_rows), f"leaf bigint, cid bigint, size bigint, embedding {kind}")
     dealt = dealt.withColumn("d", F.size("embedding"))
-    large = materialize(dealt.groupBy("d", "leaf").count().where(F.col("count") > BLOCK).select("d", "leaf", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
+    counted = classes.select("embedding").mapInArrow(lambda bs: (c for b in bs if b.num_rows for c in count(b)), "d int, leaf bigint, n bigint").groupBy("d", "leaf").agg(F.sum("n").alias("n"))
+    large = materialize(counted.where(F.col("n") > BLOCK).select("d", "leaf", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
     few = F.broadcast(large) if large.count() <= SMALL else large
     cut = dealt.join(few, ["d", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
@@ -201,9 +260,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
             x = unit(t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
             cid = col("cid")
             trees = shared.value.get(d)
-            r, f = trees.leaves(x) if trees else (np.arange(len(x)), np.zeros(len(x), np.int64))
-            sets = np.split(f, np.flatnonzero(np.diff(r)) + 1)
-            partners, label = compare(x, col("size"), col("side"), int(t.column("i")[0].as_py()) != int(t.column("j")[0].as_py()), int(t.column("leaf")[0].as_py()), sets, cosine)
+
+            def leaves_of(some: np.ndarray) -> list[np.ndarray]:
+                r, f = trees.leaves(x[some]) if trees else (np.arange(len(some)), np.zeros(len(some), np.int64))
+                return np.split(f, np.flatnonzero(np.diff(r)) + 1)
+
+            partners, label = compare(x, col("size"), col("side"), int(t.column("i")[0].as_py()) != int(t.column("j")[0].as_py()), int(t.column("leaf")[0].as_py()), leaves_of, cosine)
             some = np.flatnonzero((partners > 0) | (label != np.arange(len(cid))))
             return pa.RecordBatch.from_arrays([pa.array(cid[some]), pa.array(partners[some]), pa.array(cid[label[some]])], ["cid", "partners", "root"])
 
@@ -216,9 +278,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
             for k in range(stop):
                 # the hash of two groups may be the same
                 part = t.slice(starts[k], starts[k + 1] - starts[k])
-                names = list(zip(*(part.column(c).to_pylist() for c in ("d", "leaf", "i", "j")), strict=True))
-                for name in sorted(set(names)):
-                    yield of_group(part if len(set(names)) == 1 else part.filter(pa.array([n == name for n in names])))
+                names, which = np.unique(np.stack([part.column(c).to_numpy().astype(np.int64) for c in ("d", "leaf", "i", "j")], axis=1), axis=0, return_inverse=True)
+                for name in range(len(names)):
+                    yield of_group(part if len(names) == 1 else part.filter(pa.array(which.ravel() == name)))
             held = [] if last else t.slice(starts[stop]).combine_chunks().to_batches()
 
         for b in batches:

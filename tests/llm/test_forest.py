@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from lumenreel.llm import forest, queries
 from lumenreel.llm.common import min_labels, read
@@ -120,3 +121,29 @@ def test_hot_vectors_are_dealt_out(spark):
     assert len(got) == len(rows)
     same = [r for r in got if r["vec_id"] is not None and r["vec_id"] % 3 == 0]
     assert len({r["component_id"] for r in same}) == 1 and min(r["n_links"] for r in same) >= 299
+
+
+@pytest.mark.parametrize("pair", [False, True])
+def test_links_of_a_leaf_against_all_its_pairs(pair):
+    """Large and small groups of near copies: links, those counted in an earlier leaf left out, and groups; leaves are asked for only where there is a link."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 64))
+    x = np.concatenate([centres[np.repeat(np.arange(3), (150, 40, 5))] + 0.05 * rng.normal(size=(195, 64)), centres[3:]])
+    x = forest.unit(x[rng.permutation(len(x))])
+    n, leaf = len(x), 500
+    weight, side = rng.integers(1, 4, n), rng.integers(0, 2, n)
+    sets = [np.unique(np.append(rng.choice(60, 1) + 470, leaf)) for _ in range(n)]
+    asked = []
+    partners, root = forest.compare(x, weight, side, pair, leaf, lambda rows: (asked.extend(rows), [sets[r] for r in rows])[1], 0.95)
+    want, links = np.zeros(n, int), []
+    for a in range(n):
+        for b in range(a + 1, n):
+            if x[a] @ x[b] >= 0.95 and (not pair or side[a] != side[b]):
+                links.append((a, b))
+                if not any(e < leaf and e in sets[b] for e in sets[a]):
+                    want[a] += weight[b]
+                    want[b] += weight[a]
+    assert partners.tolist() == want.tolist() and want.sum() > 5000
+    a, b = np.array(links).T
+    assert root.tolist() == forest.min_labels(n, a, b).tolist()
+    assert sorted(asked) == sorted({r for link in links for r in link}) and len(asked) < n
