@@ -174,8 +174,8 @@ _PAIR = 1 << 31
 _FAR = {"speed": np.inf} | dict.fromkeys(("fast", "over", "open_short", "count_bad"), np.int64(1) << 61)
 
 
-def _edges(held: list[dict], key: str, places: int) -> tuple:
-    """The ways from each place of a block of words: how many a place has, where each leads to from the block's first place on, and what it weighs."""
+def _ready(held: list[dict], places: int) -> tuple:
+    """Of a block's words and those behind it: how many are its own, the tokens, where a span may begin and end, and how bad it is to end one behind each word."""
     block = held[0]["block"]
     own = [r for r in held if r["index"] >= block * places]
     size = sum(r["index"] < (block + 1) * places for r in own)
@@ -188,6 +188,13 @@ def _edges(held: list[dict], key: str, places: int) -> tuple:
     end = [t1[k] + min(gaps[k + 1] / 2, CAP) for k in range(n)]
     between = [rules.between(a, b) for a, b in zip(word, [*word[1:], ""], strict=True)]
     open_end = [(not rules.ends(a, b)) * _PAIR for a, b in zip(word, trail, strict=True)]
+    return size, shown, begin, end, between, open_end
+
+
+def _edges(held: list[dict], key: str, places: int) -> tuple:
+    """The ways from each place of a block of words: how many a place has, where each leads to from the block's first place on, and what it weighs."""
+    size, shown, begin, end, between, open_end = _ready(held, places)
+    n = len(begin)
     ways, to, weights = [], [], {w: [] for w in WEIGHTS}
     for i in range(size):
         for j in range(i, min(n, i + MOST_WORDS)):
@@ -203,7 +210,40 @@ def _edges(held: list[dict], key: str, places: int) -> tuple:
             if beyond:
                 break
         ways.append(len(to))
-    return (held[0][key], block, size, ways, to, *weights.values())
+    return (held[0][key], held[0]["block"], size, ways, to, *weights.values())
+
+
+def _best_ways(held: list[dict], key: str, places: int) -> tuple:
+    """The row of the only block of a document with the best way alone from each place: nothing passes into it, so the parts of the cost are compared together from the last word on."""
+    n, shown, begin, end, between, open_end = _ready(held, places)
+    upto, to = shown.upto, [0] * n
+    best: list = [None] * n + [(0, FAST, 0, 0, 0)]
+    for i in range(n - 1, -1, -1):
+        least = None
+        for j in range(i, min(n, i + MOST_WORDS)):
+            size, length = upto[j + 1] - 1 - upto[i], max(end[j] - begin[i], 0.01)
+            if j > i and (size > BLOCK + 1 or length > MOST_SECONDS):
+                break
+            rest, chars = best[j + 1], size if size <= LINE or i == j else size - 1
+            v = chars / length
+            fast = rest[0] + (v > FAST)
+            if least is not None and fast > least[0]:
+                continue
+            cost = (fast, max(v, FAST, rest[1]), rest[2] + round(max(0.0, v - FAST) * 1e7), rest[3] + open_end[j] + (length < SHORT))
+            # lines are looked at where they may matter; if these words don't fit, more of them don't either
+            if least is not None and cost > least[:4]:
+                continue
+            fits, bad = (True, 0) if size <= LINE else shown.lines(i, j)[1:3]
+            beyond = length > MOST_SECONDS or chars > BLOCK or not fits
+            if beyond and j > i:
+                break
+            cost = (*cost, rest[4] + _PAIR + bad + between[j])
+            if least is None or cost < least:
+                least, to[i] = cost, j + 1
+            if beyond:
+                break
+        best[i] = least
+    return (held[0][key], held[0]["block"], n, list(range(1, n + 1)), to, *([] for _ in WEIGHTS))
 
 
 def _along(op: str, weight: np.ndarray, rest: np.ndarray) -> np.ndarray:
@@ -293,22 +333,14 @@ def best_spans(words: DataFrame, key: str, language: str, places: int = PLACES)
     to_blocks = F.array_compact(F.array(inside, F.when((at <= MOST_WORDS) & (inside > 0), inside - 1), F.when(at == places - 1, inside + 1)))
     rows = words.select(key, index.alias("index"), "word", "leading", "trailing", "start", "end", F.col(language).alias("language"), F.explode(to_blocks).alias("block"))
 
-    names = [key, "block", "size", "ways", "to", *WEIGHTS]
-
     def ways(held: list, row: dict | None) -> list:
         if row is not None:
             held.append(row)
             return []
         if held[-1]["index"] < held[0]["block"] * places:  # the block behind the last one has only the word before it
             return []
-        made = _edges(held, key, places)
-        alone = held[0]["block"] == 0 and len(held) == made[2]
-        if alone:  # nothing passes into the only block of a document
-            row = dict(zip(names, made, strict=True))
-            for weight in WEIGHTS:
-                row = _kept(row, weight, _start(weight))
-            made = tuple(row.values())
-        return [(*made, alone)]
+        alone = held[0]["block"] == 0 and held[-1]["index"] < places
+        return [(*(_best_ways if alone else _edges)(held, key, places), alone)]
 
     numbers = ", ".join(f"{w} array<{'double' if w == 'speed' else 'bigint'}>" for w in WEIGHTS)
     blocks = shared_checkpoint(scan(rows, [key, "block"], ["index"], list, ways, f"{key} {kind}, block int, size int, ways array<bigint>, to array<bigint>, {numbers}, alone boolean"))

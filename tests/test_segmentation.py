@@ -86,3 +86,24 @@ def test_every_turn_of_the_table(spark, sf):
     for r in words.orderBy("key", "index").collect():
         documents.setdefault(r["key"], []).append(r.asDict())
     assert collected(segmentation.segment(words, "key", "language"), "key") == {d: plain_cut(ws, "en") for d, ws in documents.items()}
+
+
+def test_lines_of_short_documents_are_looked_at_where_they_matter(monkeypatch):
+    """The cut of a document of one block looks at the lines of few of its spans, and is that of all of them."""
+    rng, looked = random.Random(9), [0]
+    real = Breaks.lines
+    monkeypatch.setattr(Breaks, "lines", lambda self, i, j: (looked.__setitem__(0, looked[0] + 1), real(self, i, j))[1])
+    for n in (1, 2, 30, 120, 250):
+        words = document(rng, n)
+        held = [w | {"doc": "d", "index": k, "block": 0} for k, w in enumerate(words)]
+        looked[0] = 0
+        _, _, size, ways, to, *_ = segmentation._best_ways(held, "doc", 256)
+        own = looked[0]
+        assert (size, len(ways)) == (n, n)
+        spans, at = [], 0
+        while at < n:
+            spans.append((at, to[at] - 1))
+            at = to[at]
+        looked[0] = 0
+        assert spans == plain_cut(words, "en")
+        assert own < 0.5 * looked[0] or n == 1
