@@ -168,7 +168,7 @@ def lay_out_items(spans: DataFrame, key: str) -> DataFrame:
 
 #: Places of a block. What a cut of a document costs, part by part: fast blocks; their top speed; speed above the limit in
 #: ten-millionths; ends without a mark and short blocks; blocks and bad breaks (two counts in one number).
-PLACES = 256
+PLACES = 512
 WEIGHTS = ["fast", "speed", "over", "open_short", "count_bad"]
 _PAIR = 1 << 31
 _FAR = {"speed": np.inf} | dict.fromkeys(("fast", "over", "open_short", "count_bad"), np.int64(1) << 61)
